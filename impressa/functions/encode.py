@@ -14,6 +14,30 @@ from impressa.schema import CATEGORICAL_COLS, FEATURE_INDEX, FIRST_CATEGORICAL,
 HEX32 = r"^[0-9A-Fa-f]{1,8}$"
 
 
+# SQL-text builders.  Bulk projections (39 features per row) are passed to
+# ``selectExpr`` as text: one py4j call per projection instead of one per
+# function node, which otherwise dominates the cost of building the plan.
+
+def hex_to_uint_sql(c: str) -> str:
+    return f"CASE WHEN {c} RLIKE '{HEX32}' THEN CAST(conv({c}, 16, 10) AS BIGINT) END"
+
+
+def uint_to_hex8_sql(v: str) -> str:
+    return f"lpad(lower(hex({v})), 8, '0')"
+
+
+def log_square_sql(c: str) -> str:
+    return f"CAST(CASE WHEN {c} > 2 THEN floor(pow(ln({c}), 2)) ELSE {c} END AS BIGINT)"
+
+
+def libsvm_line_sql(label: str = "label", numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> str:
+    parts = [f"CAST({label} AS STRING)"]
+    parts += [f"concat('{FEATURE_INDEX[c]}:', CAST({c} AS STRING))" for c in numeric]
+    parts += [f"concat('{FEATURE_INDEX[c]}:', CAST({hex_to_uint_sql(c)} AS STRING))"
+              for c in categorical]
+    return "concat_ws(' ', " + ", ".join(parts) + ")"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,6 +48,8 @@ def hex_to_uint(c, strict: bool = False) -> Column:
     ``conv`` alone turns malformed text into 0; here malformed text becomes
     null (default) or raises (``strict``), never 0.
     """
+    if isinstance(c, str) and not strict:
+        return F.expr(hex_to_uint_sql(c))
     c = _col(c)
     ok = c.rlike(HEX32)
     parsed = F.conv(c, 16, 10).cast("bigint")
@@ -40,6 +66,8 @@ def uint_to_hex8(v) -> Column:
 
 def log_square_bucket(v) -> Column:
     """V -> floor(ln(v)^2) for v > 2, else v unchanged (negatives too)."""
+    if isinstance(v, str):
+        return F.expr(log_square_sql(v))
     v = _col(v)
     return F.when(v > 2, F.floor(F.pow(F.log(v), 2))).otherwise(v).cast("bigint")
 
@@ -60,6 +88,8 @@ def libsvm_line(label="label", numeric=NUMERIC_COLS, categorical=CATEGORICAL_COL
     ``concat`` is null when its input is null and ``concat_ws`` skips nulls, so
     null features drop out without a branch per column.
     """
+    if isinstance(label, str):
+        return F.expr(libsvm_line_sql(label, numeric, categorical))
     return F.concat_ws(" ", _col(label).cast("string"), *libsvm_pairs(numeric, categorical))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impressa.functions.encode import hex_to_uint, log_square_bucket, uint_to_hex8
+from impressa.functions.encode import hex_to_uint_sql, log_square_sql, uint_to_hex8_sql
 from impressa.schema import CATEGORICAL_COLS, DEFAULT_HASH_SPACE, FEATURE_INDEX, NUMERIC_COLS
 
 MAX_HASH_SPACE = 3_000_000_000
@@ -32,44 +32,46 @@ def md5_hex(c) -> Column:
     return F.md5(c.cast("string"))
 
 
-def _le_word(h: Column, first_byte: int) -> Column:
+def _le_word_sql(h: str, first_byte: int) -> str:
     # bytes first_byte..first_byte+3 of the digest, little-endian -> BIGINT
-    pieces = [F.substring(h, 2 * b + 1, 2) for b in range(first_byte + 3, first_byte - 1, -1)]
-    return F.conv(F.concat(*pieces), 16, 10).cast("bigint")
+    pieces = ", ".join(f"substr({h}, {2 * b + 1}, 2)" for b in range(first_byte + 3, first_byte - 1, -1))
+    return f"CAST(conv(concat({pieces}), 16, 10) AS BIGINT)"
 
 
-def digest_to_index(h: Column, m: int) -> Column:
+def digest_to_index_sql(h: str, m: int) -> str:
     m = _check_m(m)
-    lo, hi = _le_word(h, 0), _le_word(h, 4)
-    return (((hi % m) * F.lit((1 << 32) % m) + lo % m) % m).cast("int")
+    lo, hi = _le_word_sql(h, 0), _le_word_sql(h, 4)
+    return f"CAST((({hi} % {m}) * {(1 << 32) % m} + {lo} % {m}) % {m} AS INT)"
 
 
-def hash_index(token, m: int = DEFAULT_HASH_SPACE) -> Column:
-    """P10: token -> index in [0, m)."""
-    token = F.col(token) if isinstance(token, str) else token
-    return digest_to_index(F.md5(token), m)
+def hash_index(token: str, m: int = DEFAULT_HASH_SPACE) -> Column:
+    """P10: token column (by name) -> index in [0, m).
+
+    The digest appears in eight slices; whole-stage codegen's common
+    subexpression elimination computes it once.
+    """
+    return F.expr(digest_to_index_sql(f"md5(`{token}`)", m))
 
 
-def token_columns(numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> list[Column]:
-    """One ``idx_value`` token per feature (null for a null feature).
+def token_sql(numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> list[str]:
+    """One ``idx_value`` token per feature, as SQL text (null for a null feature).
 
     Numerics are log-square bucketed; categoricals are rendered as 8-digit
     lowercase hex of their parsed value (malformed hex -> null token).
     """
-    toks = [F.concat(F.lit(f"{FEATURE_INDEX[c]}_"), log_square_bucket(c).cast("string"))
-            for c in numeric]
-    toks += [F.concat(F.lit(f"{FEATURE_INDEX[c]}_"), uint_to_hex8(hex_to_uint(c)))
+    toks = [f"concat('{FEATURE_INDEX[c]}_', CAST({log_square_sql(c)} AS STRING))" for c in numeric]
+    toks += [f"concat('{FEATURE_INDEX[c]}_', {uint_to_hex8_sql(hex_to_uint_sql(c))})"
              for c in categorical]
     return toks
 
 
 def feature_tokens(numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> Column:
     """ARRAY<STRING> of the 39 tokens (nulls kept, position = feature index - 1)."""
-    return F.array(*token_columns(numeric, categorical))
+    return F.expr("array(" + ", ".join(token_sql(numeric, categorical)) + ")")
 
 
 def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "indices",
-                        tokens: list[Column] | None = None) -> DataFrame:
+                        tokens: list[str] | None = None) -> DataFrame:
     """P10+P11: add ``out`` = strictly ascending distinct ARRAY<INT> of token hashes.
 
     Two flat projections and no lambda functions: the first computes one md5
@@ -78,9 +80,9 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
     expressions such as md5 when collapsing), so each digest is computed once,
     and everything stays in whole-stage codegen.
     """
-    toks = token_columns() if tokens is None else tokens
+    toks = token_sql() if tokens is None else tokens
     names = [f"_d{k}" for k in range(len(toks))]
-    digests = df.select("*", *[F.md5(t).alias(n) for t, n in zip(toks, names)])
-    idx = F.array(*[digest_to_index(F.col(n), m) for n in names])
-    return digests.select(*[F.col(c) for c in df.columns],
-                          F.array_sort(F.array_distinct(F.array_compact(idx))).alias(out))
+    digests = df.selectExpr("*", *[f"md5({t}) AS {n}" for t, n in zip(toks, names)])
+    idx = "array(" + ", ".join(digest_to_index_sql(n, m) for n in names) + ")"
+    keep = [f"`{c}`" for c in df.columns]
+    return digests.selectExpr(*keep, f"array_sort(array_distinct(array_compact({idx}))) AS `{out}`")

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impressa.sources.sinks import stage
+
 SCALE = 1_000_000_000
 BROADCAST_MAX_ROWS = 1 << 22  # 4M (idx INT, w BIGINT) rows, ~50 MB
 
@@ -52,6 +54,9 @@ def fit_bernoulli_bayes(rows: DataFrame, m: int, label: str = "label", indices:
     log-odds equal ``intercept + sum over present j of w[j]`` with
     w[j] = logit(theta[j,1]) - logit(theta[j,0]) and an intercept that folds in
     the absent-feature terms of all m indices.
+
+    The weight table (at most m rows) is staged: it is read by the intercept
+    aggregate and by every scoring job.
     """
     y = F.col(label).cast("bigint")
     tot = rows.agg(F.sum(y).alias("n1"), F.count(F.lit(1)).alias("n")).first()
@@ -67,11 +72,11 @@ def fit_bernoulli_bayes(rows: DataFrame, m: int, label: str = "label", indices:
     lt0 = F.log(F.col("c0") + alpha) - F.lit(d0)
     ln1 = F.log(F.lit(n1 + 2 * alpha) - F.col("c1") - alpha) - F.lit(d1)
     ln0 = F.log(F.lit(n0 + 2 * alpha) - F.col("c0") - alpha) - F.lit(d0)
-    weights = counts.select(
+    weights = stage(counts.select(
         F.col("idx").cast("int").alias("idx"),
         F.round((lt1 - ln1 - lt0 + ln0) * scale).cast("bigint").alias("w"),
         F.round((ln1 - ln0) * scale).cast("bigint").alias("absent"),
-    )
+    ), "bayes-weights")
     seen = weights.agg(F.count(F.lit(1)).alias("k"), F.sum("absent").alias("s")).first()
     k_seen, absent_seen = int(seen["k"]), int(seen["s"] or 0)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from impressa.operators.ordering import prefix_sums
 from impressa.schema import LOGLOSS_EPS
+from impressa.sources.sinks import stage
 
 D38 = "decimal(38,0)"
 
@@ -51,7 +52,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "p",
     the threshold +inf row.  Class totals are one aggregate row read back as
     two literals.
     """
-    hist = score_histogram(df, label, score).withColumn("neg_score", -F.col("score"))
+    hist = stage(score_histogram(df, label, score), "roc-hist").withColumn("neg_score", -F.col("score"))
     tot = hist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = int(tot["P"] or 0), int(tot["N"] or 0)
     cum = prefix_sums(hist, ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")},
@@ -94,18 +95,18 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p",
 
     Null when only one class is present.
     """
-    return metrics_from_histogram(score_histogram(df, label, score), buckets=buckets) \
-        .select("roc_auc")
+    return binary_metrics(df, label, score, buckets=buckets).select("roc_auc")
 
 
 def binary_metrics(df: DataFrame, label: str = "label", p: str = "p",
                    eps: float = LOGLOSS_EPS, buckets: int | None = None) -> DataFrame:
     """A8 (without the curve): one row (n, positives, roc_auc, log_loss).
 
-    The scored input is aggregated once into a per-score histogram; the
-    histogram is small next to the input (at most one row per distinct score).
+    The scored input is aggregated once into a per-score histogram (at most
+    one row per distinct score), which is staged so the prefix-sum passes
+    read it instead of re-running the scoring.
     """
-    return metrics_from_histogram(score_histogram(df, label, p), eps, buckets)
+    return metrics_from_histogram(stage(score_histogram(df, label, p), "score-hist"), eps, buckets)
 
 
 def evaluator_auc(predictions: DataFrame, label: str = "label",

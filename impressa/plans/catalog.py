@@ -17,6 +17,7 @@ from impressa.operators import linear, metrics, ordering, sampling
 from impressa.plans import oracle as O
 from impressa.schema import CATEGORICAL_COLS, DEFAULT_HASH_SPACE, FEATURE_COLS, NUMERIC_COLS
 from impressa.sources.events import load_impressions
+from impressa.sources.sinks import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,7 +239,8 @@ def hashed_rows(spark, sf, m=M):
 
 
 def bayes_train_test(spark, sf, m=M):
-    rows = hashed_rows(spark, sf, m)
+    # encode once: the hashed rows are staged by day, so the split is partition pruning
+    rows = stage(hashed_rows(spark, sf, m), "hashed-rows", partition_by="day")
     train, test = sampling.holdout_split(rows)
     model = linear.fit_bernoulli_bayes(train, m)
     return model, train, test

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from impressa.schema import CATEGORICAL_COLS, NUMERIC_COLS
 
@@ -27,55 +26,54 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _md5_hex(prefix: str, src: Column, digits: int) -> Column:
-    return F.substring(F.md5(F.concat(F.lit(prefix), src.cast("string"))), 1, digits)
+def _md5_hex(prefix: str, src: str, digits: int) -> str:
+    return f"substr(md5(concat('{prefix}', CAST({src} AS STRING))), 1, {digits})"
 
 
 def impressions_from_events(events: DataFrame) -> DataFrame:
-    """events -> (event_id, day, label_click, label, i1..i13, c14..c39)."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    base = events.select(
-        F.col("event_id").cast("bigint").alias("event_id"),
-        F.col("ts"),
-        F.col("user_id").cast("bigint").alias("user_id"),
-        F.col("event_type"),
-        F.col("value").cast("double").alias("value"),
-        k.alias("k"),
-        F.hour("ts").cast("bigint").alias("hr"),
+    """events -> (event_id, day, label_click, label, i1..i13, c14..c39).
+
+    Two ``selectExpr`` projections (Catalyst collapses them into one).
+    """
+    base = events.selectExpr(
+        "CAST(event_id AS BIGINT) AS event_id", "ts",
+        "CAST(user_id AS BIGINT) AS user_id", "event_type",
+        "CAST(value AS DOUBLE) AS value",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "CAST(hour(ts) AS BIGINT) AS hr",
     )
-    u = F.conv(_md5_hex("y_", F.col("event_id"), 7), 16, 10).cast("bigint")
-    threshold = (F.lit(LABEL_BASE)
-                 + F.when(F.col("k") >= 50, LABEL_K_BONUS).otherwise(0)
-                 + F.when(F.col("hr") < 6, LABEL_NIGHT_BONUS).otherwise(0))
+    u = f"CAST(conv({_md5_hex('y_', 'event_id', 7)}, 16, 10) AS BIGINT)"
+    thr = (f"({LABEL_BASE} + CASE WHEN k >= 50 THEN {LABEL_K_BONUS} ELSE 0 END"
+           f" + CASE WHEN hr < 6 THEN {LABEL_NIGHT_BONUS} ELSE 0 END)")
     numeric = {
-        "i1": F.floor("value"),
-        "i2": F.col("user_id") - 3,
-        "i3": F.col("hr"),
-        "i4": F.minute("ts"),
-        "i5": F.second("ts"),
-        "i6": F.col("k"),
-        "i7": F.col("k") * F.col("k"),
-        "i8": F.col("user_id") * 37,
-        "i9": F.floor(F.col("value") * 100),
-        "i10": F.when(F.col("k") % 5 != 0, F.col("k") - 2),
-        "i11": F.when(F.col("user_id") % 7 != 0, F.col("user_id") * F.col("user_id")),
-        "i12": F.col("event_id") % 11,
-        "i13": F.dayofmonth("ts"),
+        "i1": "floor(value)",
+        "i2": "user_id - 3",
+        "i3": "hr",
+        "i4": "minute(ts)",
+        "i5": "second(ts)",
+        "i6": "k",
+        "i7": "k * k",
+        "i8": "user_id * 37",
+        "i9": "floor(value * 100)",
+        "i10": "CASE WHEN k % 5 <> 0 THEN k - 2 END",
+        "i11": "CASE WHEN user_id % 7 <> 0 THEN user_id * user_id END",
+        "i12": "event_id % 11",
+        "i13": "dayofmonth(ts)",
     }
-    sources = {0: F.col("user_id"), 1: F.col("k"), 2: F.col("hr"), 3: F.col("event_id") % 1000}
+    sources = {0: "user_id", 1: "k", 2: "hr", 3: "(event_id % 1000)"}
     cats = []
     for name in CATEGORICAL_COLS:
         i = int(name[1:])
         c = _md5_hex(f"c{i}_", sources[i % 4], 8)
         if i in NULLABLE_CATEGORICALS:
-            c = F.when(F.col("k") % (i - 9) != 0, c)
-        cats.append(c.alias(name))
-    return base.select(
-        F.col("event_id"),
-        F.datediff(F.to_date("ts"), F.lit(EPOCH).cast("date")).cast("int").alias("day"),
-        F.when(F.col("event_type") == "click", 1).otherwise(0).cast("int").alias("label_click"),
-        F.when(u % 1000 < threshold, 1).otherwise(0).cast("int").alias("label"),
-        *[numeric[c].cast("bigint").alias(c) for c in NUMERIC_COLS],
+            c = f"CASE WHEN k % {i - 9} <> 0 THEN {c} END"
+        cats.append(f"{c} AS {name}")
+    return base.selectExpr(
+        "event_id",
+        f"CAST(datediff(to_date(ts), DATE'{EPOCH}') AS INT) AS day",
+        "CAST(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS INT) AS label_click",
+        f"CAST(CASE WHEN {u} % 1000 < {thr} THEN 1 ELSE 0 END AS INT) AS label",
+        *[f"CAST({numeric[c]} AS BIGINT) AS {c}" for c in NUMERIC_COLS],
         *cats,
     )
 
