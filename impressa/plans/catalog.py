@@ -383,3 +383,210 @@ def m9_cardinality(spark, sf):
     imp = load_impressions(spark, sf)
     long = imp.unpivot([], CATEGORICAL_COLS, "feature", "value")
     return long.groupBy("feature").agg(F.count_distinct("value").alias("n_distinct"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+def _raw_root(spark, sf) -> str:
+    """Impressions written once in the raw TSV layout (day=N directories)."""
+    from impressa.session import staging_dir
+    from impressa.sources.impressions import write_raw
+
+    root = staging_dir(spark, "raw-tsv")
+    write_raw(load_impressions(spark, sf), root)
+    return root
+
+
+@register("s1_scan_tsv", W("SELECT " + ", ".join(ALL_COLS) + ", day FROM imp"))
+def s1_scan_tsv(spark, sf):
+    """Raw TSV written from the impressions, read back with the explicit schema."""
+    from impressa.sources.impressions import read_raw
+
+    root = _raw_root(spark, sf)
+    return read_raw(spark, root).select(*ALL_COLS, "day")
+
+
+@register("s3_scan_days", W(
+    "SELECT day, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives FROM imp GROUP BY day"))
+def s3_scan_days(spark, sf):
+    """Many days as one dataset through a glob; day parsed from the path."""
+    from impressa.sources.impressions import read_raw
+
+    root = _raw_root(spark, sf)
+    df = read_raw(spark, f"{root}/day=*")
+    return df.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"),
+                                 F.sum("label").cast("bigint").alias("positives"))
+
+
+@register("u1_union_days", W(
+    "SELECT day, count(*) AS n_rows FROM imp GROUP BY day"))
+def u1_union_days(spark, sf):
+    """Per-day datasets read one by one and unioned (the reference's union reduce)."""
+    from impressa.sources.impressions import read_raw, union_days
+
+    root = _raw_root(spark, sf)
+    days = [r[0] for r in load_impressions(spark, sf).select("day").distinct().collect()]
+    parts = [read_raw(spark, f"{root}/day={d}") for d in sorted(days)]
+    return union_days(parts).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("s2_scan_text", W("SELECT " + O.libsvm_line() + " AS value FROM imp"))
+def s2_scan_text(spark, sf):
+    """K1 + K5 + S2: LibSVM lines written as text, count verified, read back."""
+    from impressa.session import staging_dir
+    from impressa.sources import sinks
+    from impressa.sources.impressions import read_lines
+
+    imp = load_impressions(spark, sf)
+    path = staging_dir(spark, "libsvm-text")
+    sinks.write_text(imp.select(encode.libsvm_line().alias("value")), path)
+    sinks.verify_count(spark, path, imp.count())
+    return read_lines(spark, path)
+
+
+@register("s6_label_score_files", W(
+    "SELECT t.event_id, t.label, s.score FROM test t JOIN scored s ON t.event_id = s.event_id",
+    *_bayes_score_ctes()))
+def s6_label_score_files(spark, sf):
+    """Label file and score file (``<row id> <value>`` lines) read and paired by row id."""
+    from impressa.operators.pairing import pair_by_key
+    from impressa.session import staging_dir
+    from impressa.sources import sinks
+    from impressa.sources.impressions import read_key_value_lines
+
+    model, _, test = bayes_train_test(spark, sf)
+    scores = linear.linear_scores(test, model, key="event_id", keep=())
+    lp, sp = staging_dir(spark, "labels"), staging_dir(spark, "scores")
+    sinks.write_text(test.select(F.concat_ws(" ", "event_id", "label").alias("value")), lp)
+    sinks.write_text(scores.select(F.concat_ws(" ", "event_id", "score").alias("value")), sp)
+    labels = read_key_value_lines(spark, lp, "event_id", "label", "int")
+    sc = read_key_value_lines(spark, sp, "event_id", "score", "bigint")
+    return pair_by_key(labels, sc, "event_id")
+
+
+# ---------------------------------------------------------------- sample ladder
+
+R3_SIZES = [1000, 3000, 10000, 30000]
+
+
+@register("r3_sample_ladder", W(
+    "SELECT name AS sample, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS key_sum, "
+    "min(event_id) AS key_min, max(event_id) AS key_max FROM (SELECT s.name, i.event_id FROM "
+    "(VALUES " + ", ".join(f"({n}, '{names.py_size_to_name(n)}')" for n in R3_SIZES) +
+    ") s(size, name) JOIN imp i ON TRUE QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY "
+    "md5(s.name || ':' || CAST(i.event_id AS VARCHAR)), i.event_id) <= s.size) GROUP BY name"))
+def r3_sample_ladder(spark, sf):
+    """Exact samples of each ladder size written resumably as LibSVM text with the
+    row id, verified by count, then summarised from the written files."""
+    from impressa.plans.prepare import sample_and_save
+    from impressa.session import staging_dir
+    from impressa.sources.impressions import read_key_value_lines
+
+    imp = load_impressions(spark, sf)
+    data = stage(imp.select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"),
+                                                      encode.libsvm_line()).alias("value")),
+                 "ladder-input")
+    root = staging_dir(spark, "ladder")
+    done = sample_and_save(spark, data, R3_SIZES, root + "/{}", key="event_id", files=4)
+    parts = [read_key_value_lines(spark, f"{root}/{name}", "event_id", "label", "int")
+             .withColumn("sample", F.lit(name)) for name, _ in done]
+    from impressa.sources.impressions import union_days
+
+    return union_days(parts).groupBy("sample").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").cast("bigint").alias("key_sum"),
+        F.min("event_id").alias("key_min"), F.max("event_id").alias("key_max"))
+
+
+# ---------------------------------------------------------------- sweeps and reports
+
+def _sweep_sql(body: str) -> str:
+    from impressa.plans.experiment import SWEEP_HASH_SPACES, SWEEP_LADDER
+
+    ctes = O.bayes_sweep_ctes(SWEEP_LADDER, list(SWEEP_HASH_SPACES),
+                              [names.py_size_to_name(n) for n in SWEEP_LADDER])
+    ctes.append("sweep AS (SELECT CASE m WHEN 30000 THEN 'bayes-30k' ELSE 'bayes-100k' END AS engine, "
+                "CAST(size AS BIGINT) AS train_size, roc_auc, log_loss FROM met)")
+    return W(body, *ctes)
+
+
+def _sweep(spark, sf):
+    from impressa.plans.experiment import metric_table
+
+    return metric_table(spark, sf)
+
+
+@register("m6_learning_curve", _sweep_sql("SELECT * FROM sweep"))
+def m6_learning_curve(spark, sf):
+    """Learning curve x hash-space sweep (M6 + M7) of naive Bayes in SQL form."""
+    return _sweep(spark, sf)
+
+
+ENGINES = ["bayes-100k", "bayes-30k"]
+
+
+@register("v1_pivot_metric", _sweep_sql(
+    "SELECT train_size, max(CASE WHEN engine = 'bayes-100k' THEN log_loss END) AS \"bayes-100k\", "
+    "max(CASE WHEN engine = 'bayes-30k' THEN log_loss END) AS \"bayes-30k\" FROM sweep GROUP BY train_size"))
+def v1_pivot_metric(spark, sf):
+    from impressa.operators import report
+
+    return report.pivot_metric(_sweep(spark, sf), "log_loss", series_values=ENGINES)
+
+
+@register("j1_outer_merge", _sweep_sql(
+    "SELECT COALESCE(a.train_size, b.train_size) AS train_size, a.roc_auc AS \"bayes-100k\", "
+    "b.roc_auc AS \"bayes-30k\" FROM (SELECT * FROM sweep WHERE engine = 'bayes-100k') a "
+    "FULL OUTER JOIN (SELECT * FROM sweep WHERE engine = 'bayes-30k') b ON a.train_size = b.train_size"))
+def j1_outer_merge(spark, sf):
+    from impressa.operators import report
+
+    return report.outer_merge(_sweep(spark, sf), "roc_auc", series_values=ENGINES)
+
+
+@register("v2_best_engine", _sweep_sql(
+    "SELECT engine, train_size, roc_auc, log_loss FROM sweep WHERE log_loss IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY train_size ORDER BY log_loss, engine) = 1"))
+def v2_best_engine(spark, sf):
+    from impressa.operators import report
+
+    return report.best_per_size(_sweep(spark, sf), "log_loss", lower_is_better=True)
+
+
+@register("v3_metric_ratio", _sweep_sql(
+    "SELECT a.train_size, a.log_loss AS a_value, b.log_loss AS b_value, "
+    "a.log_loss / b.log_loss AS ratio, (SELECT min(a2.train_size) FROM sweep a2 JOIN sweep b2 "
+    "ON a2.train_size = b2.train_size WHERE a2.engine = 'bayes-30k' AND b2.engine = 'bayes-100k' "
+    "AND a2.log_loss < b2.log_loss) AS a_better_from FROM sweep a JOIN sweep b "
+    "ON a.train_size = b.train_size WHERE a.engine = 'bayes-30k' AND b.engine = 'bayes-100k'"))
+def v3_metric_ratio(spark, sf):
+    from impressa.operators import report
+
+    return report.ratio_between(_sweep(spark, sf), "bayes-30k", "bayes-100k", "log_loss")
+
+
+@register("v4_combine_tables", _sweep_sql(
+    "SELECT engine, train_size, roc_auc, log_loss FROM sweep UNION ALL "
+    "SELECT engine, train_size, roc_auc, log_loss FROM sweep WHERE engine = 'bayes-100k'"))
+def v4_combine_tables(spark, sf):
+    """Two result tables with different extra columns, combined on shared columns."""
+    from impressa.operators import report
+
+    sw = _sweep(spark, sf)
+    a = sw.withColumn("hash_space", F.when(F.col("engine") == "bayes-30k", 30000).otherwise(100000))
+    b = sw.filter(F.col("engine") == "bayes-100k").withColumn("test_day", F.lit(29))
+    return report.combine_common([a, b])
+
+
+@register("s7_scan_metrics", _sweep_sql(
+    "SELECT engine, train_size, roc_auc, log_loss, CAST(NULL AS DOUBLE) AS train_time FROM sweep"))
+def s7_scan_metrics(spark, sf):
+    """K6 + S7: metric rows appended as TSV (header per append), read back typed."""
+    from impressa.session import staging_dir
+    from impressa.sources import sinks
+    from impressa.sources.impressions import read_metrics
+
+    sw = _sweep(spark, sf).withColumn("train_time", F.lit(None).cast("double"))
+    path = staging_dir(spark, "metrics-tsv")
+    for eng in ENGINES:
+        sinks.append_metrics(sw.filter(F.col("engine") == eng), path)
+    return read_metrics(spark, path)

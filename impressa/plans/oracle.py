@@ -107,3 +107,62 @@ def hashed_rows_cte(m: int, name: str = "hrows", src: str = "imp") -> str:
 
 def sample_hash(key: str, salt: str) -> str:
     return f"md5('{salt}:' || CAST({key} AS VARCHAR))"
+
+
+_LN = "ln"
+
+
+def bayes_sweep_ctes(sizes: list[int], hash_spaces: list[int], names: list[str]) -> list[str]:
+    """CTEs ending in ``met(m, size, roc_auc, log_loss)``: naive Bayes in SQL form per
+    (hash space, ladder size), the ladder cut after the first size covering the train rows."""
+    hr = " UNION ALL ".join(
+        f"SELECT CAST({m} AS BIGINT) AS m, event_id, day, label, {hashed_indices(m)} AS indices FROM imp"
+        for m in hash_spaces)
+    ladder = ", ".join(f"({n}, '{nm}')" for n, nm in zip(sizes, names))
+    a1 = "(n1 + 2.0)"
+    a0 = "(n0 + 2.0)"
+    return [
+        f"hrows AS ({hr})",
+        "maxday AS (SELECT max(day) AS d FROM imp)",
+        "train AS (SELECT h.* FROM hrows h, maxday WHERE h.day < maxday.d)",
+        "test AS (SELECT h.* FROM hrows h, maxday WHERE h.day = maxday.d)",
+        "ntrain AS (SELECT count(*) AS n FROM imp, maxday WHERE day < maxday.d)",
+        f"ladder AS (SELECT * FROM (VALUES {ladder}) t(size, name))",
+        "sizes AS (SELECT size, name FROM ladder WHERE size <= (SELECT n FROM ntrain) OR size = "
+        "(SELECT min(size) FROM ladder WHERE size >= (SELECT n FROM ntrain)))",
+        "samp AS (SELECT s.size, t.* FROM sizes s JOIN train t ON TRUE QUALIFY row_number() OVER "
+        "(PARTITION BY t.m, s.size ORDER BY md5(s.name || ':' || CAST(t.event_id AS VARCHAR)), t.event_id) "
+        "<= s.size)",
+        "n AS (SELECT m, size, CAST(sum(label) AS BIGINT) AS n1, CAST(count(*) - sum(label) AS BIGINT) AS n0 "
+        "FROM samp GROUP BY m, size)",
+        "cnt AS (SELECT m, size, idx, sum(label) AS c1, sum(1 - label) AS c0 FROM "
+        "(SELECT m, size, label, unnest(indices) AS idx FROM samp) GROUP BY m, size, idx)",
+        f"w AS (SELECT cnt.m, cnt.size, idx, "
+        f"CAST(round(((ln(c1 + 1.0) - ln{a1}) - (ln({a1} - c1 - 1.0) - ln{a1}) "
+        f"- (ln(c0 + 1.0) - ln{a0}) + (ln({a0} - c0 - 1.0) - ln{a0})) * 1e9) AS BIGINT) AS w, "
+        f"CAST(round(((ln({a1} - c1 - 1.0) - ln{a1}) - (ln({a0} - c0 - 1.0) - ln{a0})) * 1e9) AS BIGINT) "
+        "AS absent FROM cnt JOIN n ON cnt.m = n.m AND cnt.size = n.size)",
+        "wst AS (SELECT m, size, count(*) AS k, CAST(sum(absent) AS BIGINT) AS s FROM w GROUP BY m, size)",
+        f"model AS (SELECT n.m, n.size, "
+        f"CAST(round(((ln(1.0) - ln{a1}) - (ln(n1 + 1.0) - ln{a1}) - (ln(1.0) - ln{a0}) "
+        f"+ (ln(n0 + 1.0) - ln{a0})) * 1e9) AS BIGINT) AS default_w, "
+        f"CAST(round((ln(n1 + 1.0) - ln(n0 + 1.0)) * 1e9) AS BIGINT) + wst.s + "
+        f"CAST(round((n.m - wst.k) * ((ln(n1 + 1.0) - ln{a1}) - (ln(n0 + 1.0) - ln{a0})) * 1e9) AS BIGINT) "
+        "AS intercept FROM n JOIN wst ON n.m = wst.m AND n.size = wst.size)",
+        "tx AS (SELECT m, event_id, unnest(indices) AS idx FROM test)",
+        "scored AS (SELECT mo.m, mo.size, t.event_id, t.label, CAST(mo.intercept + "
+        "COALESCE(sum(CASE WHEN x.idx IS NULL THEN 0 ELSE COALESCE(w.w, mo.default_w) END), 0) AS BIGINT) "
+        "AS score FROM model mo JOIN test t ON t.m = mo.m LEFT JOIN tx x ON x.m = t.m AND x.event_id = t.event_id "
+        "LEFT JOIN w ON w.m = mo.m AND w.size = mo.size AND w.idx = x.idx "
+        "GROUP BY mo.m, mo.size, t.event_id, t.label, mo.intercept)",
+        "pred AS (SELECT m, size, label, 1.0 / (1.0 + exp(-(CAST(score AS DOUBLE) / 1e9))) AS p FROM scored)",
+        "hist AS (SELECT m, size, p AS score, CAST(sum(label) AS BIGINT) AS pos, "
+        "CAST(sum(1 - label) AS BIGINT) AS neg FROM pred GROUP BY m, size, p)",
+        "met AS (SELECT m, size, "
+        "CAST(sum(2 * CAST(pos AS HUGEINT) * neg_below + CAST(pos AS HUGEINT) * neg) AS DOUBLE) / "
+        "CAST(2 * CAST(sum(pos) AS HUGEINT) * sum(neg) AS DOUBLE) AS roc_auc, "
+        "round(sum(pos * -ln(least(greatest(score, 1e-15), 1 - 1e-15)) + "
+        "neg * -ln(1.0 - least(greatest(score, 1e-15), 1 - 1e-15))) / (sum(pos) + sum(neg)), 9) AS log_loss "
+        "FROM (SELECT *, sum(neg) OVER (PARTITION BY m, size ORDER BY score ROWS BETWEEN UNBOUNDED "
+        "PRECEDING AND CURRENT ROW) - neg AS neg_below FROM hist) GROUP BY m, size)",
+    ]
