@@ -590,3 +590,130 @@ def s7_scan_metrics(spark, sf):
     for eng in ENGINES:
         sinks.append_metrics(sw.filter(F.col("engine") == eng), path)
     return read_metrics(spark, path)
+
+
+# ---------------------------------------------------------------- chunk conversion, VW
+
+@register("k3_convert_days", W(
+    "SELECT day, count(*) AS n_rows, CAST(sum(CAST(split_part(value, ' ', 1) AS INTEGER)) AS BIGINT) "
+    "AS positives FROM (SELECT day, " + O.libsvm_line() + " AS value FROM imp) GROUP BY day"))
+def k3_convert_days(spark, sf):
+    """Raw TSV days -> LibSVM text per day, resumable; a second pass skips every day."""
+    from impressa.plans.prepare import convert_chunks, impressions_to_libsvm
+    from impressa.session import staging_dir
+    from impressa.sources.impressions import read_lines, read_raw
+
+    raw = _raw_root(spark, sf)
+    out = staging_dir(spark, "libsvm-days")
+    days = sorted(r[0] for r in read_raw(spark, raw).select("day").distinct().collect())
+    load = lambda p: read_raw(spark, p)
+    convert_chunks(spark, days, raw + "/day={}", out + "/day={}", load, impressions_to_libsvm)
+    again = convert_chunks(spark, days, raw + "/day={}", out + "/day={}", load, impressions_to_libsvm)
+    assert again == [], "resumed conversion rewrote complete chunks"
+    lines = read_lines(spark, out + "/day=*").withColumn(
+        "day", F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d+)", 1).cast("int"))
+    return lines.groupBy("day").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.split_part("value", F.lit(" "), F.lit(1)).cast("int")).cast("bigint").alias("positives"))
+
+
+@register("o1_vw_shuffled_text", W("SELECT " + _vw_sql() + " AS value FROM imp"))
+def o1_vw_shuffled_text(spark, sf):
+    """LibSVM text -> VW lines in md5(row index) order, written and read back."""
+    from impressa.plans.prepare import libsvm_to_vw, random_sort
+    from impressa.session import staging_dir
+    from impressa.sources import sinks
+    from impressa.sources.impressions import read_lines
+
+    imp = load_impressions(spark, sf)
+    src = staging_dir(spark, "libsvm-for-vw")
+    sinks.write_text(imp.select(encode.libsvm_line().alias("value")), src)
+    dst = staging_dir(spark, "vw-shuffled")
+    sinks.write_text(random_sort(libsvm_to_vw(read_lines(spark, src))), dst)
+    return read_lines(spark, dst)
+
+
+# ---------------------------------------------------------------- Spark ML (rows-only)
+
+def _fit(kind, **over):
+    def q(spark, sf):
+        from impressa.plans.experiment import fit_and_evaluate
+
+        return fit_and_evaluate(spark, sf, kind, over or None)
+    return q
+
+
+register("m1_logistic_regression")(_fit("lr"))
+register("m2_random_forest")(_fit("rf"))
+register("m4_boosted_trees")(_fit("gbt"))
+register("m5_decision_tree")(_fit("tree"))
+register("m5_naive_bayes")(_fit("bayes"))
+
+
+@register("m6_lr_learning_curve")
+def m6_lr_learning_curve(spark, sf):
+    from impressa.plans.experiment import ml_sweep
+
+    return ml_sweep(spark, sf, ["lr"], names.ladder(3, 9))
+
+
+@register("m8_cross_validation")
+def m8_cross_validation(spark, sf):
+    from impressa.plans.experiment import cross_validate
+
+    return cross_validate(spark, sf)
+
+
+@register("m10_parallelism_sweep")
+def m10_parallelism_sweep(spark, sf):
+    from impressa.plans.experiment import parallelism_sweep
+
+    return parallelism_sweep(spark, sf)
+
+
+@register("a7_evaluator_auc")
+def a7_evaluator_auc(spark, sf):
+    from impressa.plans.experiment import evaluator_agreement
+
+    return evaluator_agreement(spark, sf)
+
+
+@register("s4_load_hashed")
+def s4_load_hashed(spark, sf):
+    """Sample written as LibSVM text, loaded as a hashed-vector ML dataset."""
+    from impressa.session import staging_dir
+    from impressa.sources import mldata, sinks
+
+    root = staging_dir(spark, "s4")
+    imp = load_impressions(spark, sf)
+    sinks.write_text(imp.select(encode.libsvm_line().alias("value")), root + "/10kk")
+    df = mldata.load_ml_data(spark, root + "/{}", 10_000_000, partitions=8)
+    return df.select("label", F.udf(lambda v: int(v.numNonzeros()), "int")("features").alias("nnz"))
+
+
+@register("s5_load_asis")
+def s5_load_asis(spark, sf):
+    """Sample written as LibSVM text, loaded as an as-is ML dataset."""
+    from impressa.session import staging_dir
+    from impressa.sources import mldata, sinks
+
+    root = staging_dir(spark, "s5")
+    imp = load_impressions(spark, sf)
+    sinks.write_text(imp.select(encode.libsvm_line().alias("value")), root + "/10kk")
+    df = mldata.load_ml_data_asis(spark, root + "/{}", 10_000_000, partitions=8)
+    from pyspark.ml.functions import vector_to_array
+
+    return df.select("label", F.aggregate(vector_to_array("features"), F.lit(0.0),
+                                          lambda a, b: a + b).alias("value_sum"))
+
+
+@register("p16_positive_probability")
+def p16_positive_probability(spark, sf):
+    """Test-day probabilities of class 1 from a fitted logistic regression."""
+    from impressa.operators import learn
+    from impressa.plans.experiment import ml_datasets
+
+    train, test = ml_datasets(spark, sf, "lr")
+    with learn.persisted(train.select("label", "features")) as cached:
+        model = learn.make_classifier("lr").fit(cached)
+    return learn.predictions(model, test, key="event_id")

@@ -142,3 +142,28 @@ def parallelism_sweep(spark: SparkSession, sf_dir: str, partitions=(1, 2, 4, 8),
             learn.make_classifier("lr").fit(cached)
             rows.append((int(p), int(n), time.perf_counter() - t0))
     return spark.createDataFrame(rows, "partitions int, train_rows bigint, train_time double")
+
+
+def fit_and_evaluate(spark: SparkSession, sf_dir: str, kind: str, overrides: dict | None = None
+                     ) -> DataFrame:
+    """One classifier on all train rows: (engine, train_size, roc_auc, log_loss, train_time)."""
+    train, test = ml_datasets(spark, sf_dir, kind)
+    with learn.persisted(train.select("label", "features")) as cached:
+        n = cached.count()
+        model, secs = learn.fit_timed(learn.make_classifier(kind, **(overrides or {})), cached)
+    ev = learn.evaluate(model, test)
+    return spark.createDataFrame(
+        [(kind, int(n), ev["test_roc_auc"], ev["test_log_loss"], float(secs))],
+        "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
+
+
+def evaluator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 vs A6: Spark ML's exact evaluator AUC against the distributed exact AUC."""
+    train, test = ml_datasets(spark, sf_dir, "lr")
+    with learn.persisted(train.select("label", "features")) as cached:
+        model = learn.make_classifier("lr").fit(cached)
+    pred = model.transform(test)
+    ev = metrics.evaluator_auc(pred, "label", "probability", exact=True)
+    ours = metrics.roc_auc(learn.predictions(model, test), "label", "p").first()[0]
+    return spark.createDataFrame([(ev, ours, abs(ev - ours))],
+                                 "evaluator_auc double, exact_auc double, abs_diff double")
