@@ -55,6 +55,8 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None,
     """Add ``_bucket`` (INT, non-decreasing in ``key``); returns (df, bucket count)."""
     if splits is None:
         splits = range_splits(df, key, buckets or default_buckets(df))
+    if len(splits) < 3:  # one range (one bucket, or a single distinct key value)
+        return df.withColumn(BUCKET, F.lit(0)), 1
     tmp = "_bucket_key"
     staged = df.withColumn(tmp, F.col(key).cast("double"))
     out = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET,
