@@ -717,3 +717,23 @@ def p16_positive_probability(spark, sf):
     with learn.persisted(train.select("label", "features")) as cached:
         model = learn.make_classifier("lr").fit(cached)
     return learn.predictions(model, test, key="event_id")
+
+
+# ---------------------------------------------------------------- streaming form of K3
+
+@register("k3_stream_convert", W(
+    "SELECT day, " + O.libsvm_line() + " AS value FROM imp"))
+def k3_stream_convert(spark, sf):
+    """Raw TSV files converted by an availableNow file stream; a second run finds
+    nothing new (checkpointed), and the output is read back."""
+    from impressa.session import staging_dir
+    from impressa.streaming.convert import convert_stream
+
+    raw = _raw_root(spark, sf)
+    out, ckpt = staging_dir(spark, "stream-libsvm"), staging_dir(spark, "stream-ckpt")
+    convert_stream(spark, raw + "/day=*", out, ckpt, max_files_per_trigger=8)
+    convert_stream(spark, raw + "/day=*", out, ckpt)
+    lines = spark.read.text(out + "/day=*")
+    return lines.select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d+)", 1).cast("int").alias("day"),
+        "value")

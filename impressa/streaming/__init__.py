@@ -1 +1 @@
-"""impressa.streaming."""
+"""Structured Streaming form of the resumable chunk conversion (K3)."""
