@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impressa.functions.encode import hex_to_uint_sql, log_square_sql, uint_to_hex8_sql
+from impressa.functions.encode import HEX32, log_square_sql
 from impressa.schema import CATEGORICAL_COLS, DEFAULT_HASH_SPACE, FEATURE_INDEX, NUMERIC_COLS
 
 MAX_HASH_SPACE = 3_000_000_000
@@ -32,18 +32,27 @@ def md5_hex(c) -> Column:
     return F.md5(c.cast("string"))
 
 
-def _le_word_sql(h: str, first_byte: int) -> str:
-    # bytes first_byte..first_byte+3 of the digest, little-endian -> BIGINT
-    pieces = ", ".join(f"substr({h}, {2 * b + 1}, 2)" for b in range(first_byte + 3, first_byte - 1, -1))
-    return f"CAST(conv(concat({pieces}), 16, 10) AS BIGINT)"
+def _be_word_sql(h: str, first_byte: int) -> str:
+    # digest bytes first_byte..first_byte+3 read big-endian (hex text order)
+    return f"CAST(conv(substr({h}, {2 * first_byte + 1}, 8), 16, 10) AS BIGINT)"
 
 
-def digest_to_index_sql(h: str, m: int) -> str:
+def _bswap32_sql(w: str) -> str:
+    return (f"(shiftleft({w} & 255, 24) | shiftleft(shiftright({w}, 8) & 255, 16) | "
+            f"shiftleft(shiftright({w}, 16) & 255, 8) | (shiftright({w}, 24) & 255))")
+
+
+def words_to_index_sql(w0: str, w1: str, m: int) -> str:
+    """Index from the two big-endian digest words (bytes 0-3, 4-7)."""
     m = _check_m(m)
-    lo, hi = _le_word_sql(h, 0), _le_word_sql(h, 4)
+    lo, hi = _bswap32_sql(w0), _bswap32_sql(w1)
     return f"CAST((({hi} % {m}) * {(1 << 32) % m} + {lo} % {m}) % {m} AS INT)"
 
 
+def digest_to_index_sql(h: str, m: int) -> str:
+    return words_to_index_sql(_be_word_sql(h, 0), _be_word_sql(h, 4), m)
+
+
 def hash_index(token: str, m: int = DEFAULT_HASH_SPACE) -> Column:
     """P10: token column (by name) -> index in [0, m).
 
@@ -60,7 +69,8 @@ def token_sql(numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> list[str]:
     lowercase hex of their parsed value (malformed hex -> null token).
     """
     toks = [f"concat('{FEATURE_INDEX[c]}_', CAST({log_square_sql(c)} AS STRING))" for c in numeric]
-    toks += [f"concat('{FEATURE_INDEX[c]}_', {uint_to_hex8_sql(hex_to_uint_sql(c))})"
+    # for hex that passes the check, lpad(lower(c)) equals hex8 of the parsed value
+    toks += [f"CASE WHEN {c} RLIKE '{HEX32}' THEN concat('{FEATURE_INDEX[c]}_', lpad(lower({c}), 8, '0')) END"
              for c in categorical]
     return toks
 
@@ -74,15 +84,19 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
                         tokens: list[str] | None = None) -> DataFrame:
     """P10+P11: add ``out`` = strictly ascending distinct ARRAY<INT> of token hashes.
 
-    Two flat projections and no lambda functions: the first computes one md5
-    digest column per token, the second slices each digest into the index.
+    Flat projections and no lambda functions: one md5 digest column per
+    token, then its two 32-bit words, then the index from the byte-swapped
+    words.
     Catalyst keeps the projections apart (it does not duplicate non-cheap
     expressions such as md5 when collapsing), so each digest is computed once,
     and everything stays in whole-stage codegen.
     """
     toks = token_sql() if tokens is None else tokens
-    names = [f"_d{k}" for k in range(len(toks))]
-    digests = df.selectExpr("*", *[f"md5({t}) AS {n}" for t, n in zip(toks, names)])
-    idx = "array(" + ", ".join(digest_to_index_sql(n, m) for n in names) + ")"
+    dn = [f"_d{k}" for k in range(len(toks))]
+    digests = df.selectExpr("*", *[f"md5({t}) AS {n}" for t, n in zip(toks, dn)])
+    words = digests.selectExpr(*[f"`{c}`" for c in df.columns],
+                               *[f"{_be_word_sql(n, 0)} AS {n}a" for n in dn],
+                               *[f"{_be_word_sql(n, 4)} AS {n}b" for n in dn])
+    idx = "array(" + ", ".join(words_to_index_sql(f"{n}a", f"{n}b", m) for n in dn) + ")"
     keep = [f"`{c}`" for c in df.columns]
-    return digests.selectExpr(*keep, f"array_sort(array_distinct(array_compact({idx}))) AS `{out}`")
+    return words.selectExpr(*keep, f"array_sort(array_distinct(array_compact({idx}))) AS `{out}`")

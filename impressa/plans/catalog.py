@@ -737,3 +737,23 @@ def k3_stream_convert(spark, sf):
     return lines.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d+)", 1).cast("int").alias("day"),
         "value")
+
+
+@register("v2_best_overall", _sweep_sql(
+    "SELECT engine, train_size, roc_auc, log_loss FROM sweep WHERE roc_auc IS NOT NULL "
+    "ORDER BY roc_auc DESC, engine, train_size LIMIT 1"))
+def v2_best_overall(spark, sf):
+    """Single best cell of the sweep by AUC (a top-1 report)."""
+    from impressa.operators import report
+
+    return report.best_overall(_sweep(spark, sf), "roc_auc", lower_is_better=False)
+
+
+@register("m9_one_hot_encoding")
+def m9_one_hot_encoding(spark, sf):
+    """One-hot encoding of the categoricals (the option the reference rejected for its
+    width): per column, labels learned and one-hot vector size, on the train days."""
+    from impressa.operators.learn import one_hot_widths
+
+    train, _ = sampling.holdout_split(load_impressions(spark, sf))
+    return one_hot_widths(train, CATEGORICAL_COLS)

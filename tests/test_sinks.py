@@ -31,3 +31,12 @@ def test_verify_count_raises(spark):
     sinks.write_text(spark.range(3).selectExpr("CAST(id AS STRING) AS value"), path)
     with pytest.raises(sinks.CountMismatch):
         sinks.verify_count(spark, path, 4)
+
+
+def test_persisted_scope(spark):
+    from impressa.operators.learn import persisted
+
+    df = spark.range(10)
+    with persisted(df) as d:
+        assert d.is_cached and d.count() == 10
+    assert not df.is_cached
