@@ -86,7 +86,13 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
 
     Flat projections and no lambda functions: one md5 digest column per
     token, then its two 32-bit words, then the index from the byte-swapped
-    words.
+    words.  ``array_except`` against ``[NULL]`` drops null tokens and
+    duplicates and ``sort_array`` orders the result; both have generated code
+    (``array_compact`` and comparator-free ``array_sort`` are lambda functions,
+    which would evaluate the whole index expression interpreted).  With 39
+    tokens the fused projection exceeds the 64 KB method limit of whole-stage
+    codegen; Spark then runs it with per-expression generated code, which is
+    still faster than the interpreted path.
     Catalyst keeps the projections apart (it does not duplicate non-cheap
     expressions such as md5 when collapsing), so each digest is computed once,
     and everything stays in whole-stage codegen.
@@ -99,4 +105,4 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
                                *[f"{_be_word_sql(n, 4)} AS {n}b" for n in dn])
     idx = "array(" + ", ".join(words_to_index_sql(f"{n}a", f"{n}b", m) for n in dn) + ")"
     keep = [f"`{c}`" for c in df.columns]
-    return words.selectExpr(*keep, f"array_sort(array_distinct(array_compact({idx}))) AS `{out}`")
+    return words.selectExpr(*keep, f"sort_array(array_except({idx}, array(CAST(NULL AS INT)))) AS `{out}`")
