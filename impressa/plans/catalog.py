@@ -678,7 +678,8 @@ def a7_evaluator_auc(spark, sf):
     return evaluator_agreement(spark, sf)
 
 
-@register("s4_load_hashed")
+@register("s4_load_hashed", W(
+    f"SELECT CAST(label AS DOUBLE) AS label, CAST(len({O.hashed_indices(M)}) AS INTEGER) AS nnz FROM imp"))
 def s4_load_hashed(spark, sf):
     """Sample written as LibSVM text, loaded as a hashed-vector ML dataset."""
     from impressa.session import staging_dir
@@ -691,7 +692,10 @@ def s4_load_hashed(spark, sf):
     return df.select("label", F.udf(lambda v: int(v.numNonzeros()), "int")("features").alias("nnz"))
 
 
-@register("s5_load_asis")
+@register("s5_load_asis", W(
+    "SELECT CAST(label AS DOUBLE) AS label, " + " + ".join(
+        f"COALESCE(CAST({c} AS DOUBLE), 0.0)" for c in NUMERIC_COLS + [O.hex_to_uint(c) for c in CATEGORICAL_COLS])
+    + " AS value_sum FROM imp"))
 def s5_load_asis(spark, sf):
     """Sample written as LibSVM text, loaded as an as-is ML dataset."""
     from impressa.session import staging_dir
