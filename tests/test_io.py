@@ -50,3 +50,19 @@ def test_convert_chunks_resumes(spark):
                                    prepare.libsvm_to_vw)
     assert first == ["0", "1"] and again == []
     assert spark.read.text(dst + "/day_1").first()[0] == "1 | 1:1"
+
+
+def test_read_metrics_quoted_and_plain(spark):
+    import os
+
+    path = staging_dir(spark, "metrics-files")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.tsv"), "w") as f:
+        f.write('"Engine"\t"Train size"\t"ROC AUC"\t"Log loss"\t"Train time"\n')
+        f.write('"vw"\t10000\t0.617\t0.1445\t15.17\n')
+    with open(os.path.join(path, "b.tsv"), "w") as f:
+        f.write("Engine\tTrain size\tROC AUC\tLog loss\tTrain time\n")
+        f.write("lr\t30000\t0.5938\t0.1814\t87.18\n")
+    rows = sorted(impressions.read_metrics(spark, path).collect())
+    assert [(r.engine, r.train_size, r.roc_auc) for r in rows] == [("lr", 30000, 0.5938), ("vw", 10000, 0.617)]
+    assert rows[1].train_time == 15.17
