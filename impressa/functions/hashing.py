@@ -89,13 +89,13 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
     words.  ``array_except`` against ``[NULL]`` drops null tokens and
     duplicates and ``sort_array`` orders the result; both have generated code
     (``array_compact`` and comparator-free ``array_sort`` are lambda functions,
-    which would evaluate the whole index expression interpreted).  With 39
-    tokens the fused projection exceeds the 64 KB method limit of whole-stage
-    codegen; Spark then runs it with per-expression generated code, which is
-    still faster than the interpreted path.
-    Catalyst keeps the projections apart (it does not duplicate non-cheap
-    expressions such as md5 when collapsing), so each digest is computed once,
-    and everything stays in whole-stage codegen.
+    which would evaluate the whole index expression interpreted).  Catalyst
+    keeps the digest projection apart from the rest (it does not duplicate
+    non-cheap expressions such as md5 when collapsing), so each digest is
+    computed once.  Together with the impression projection of the same stage
+    the generated method exceeds the JVM's 64 KB limit; Spark then runs the
+    stage with per-expression generated code, still faster than the
+    interpreted path (see README, Open work).
     """
     toks = token_sql() if tokens is None else tokens
     dn = [f"_d{k}" for k in range(len(toks))]
