@@ -81,3 +81,24 @@ def test_bernoulli_fraction_bounds(spark):
     assert sampling.bernoulli_sample(df, "k", 1.0, "a").count() == 1000
     w = Window.orderBy("k")
     assert w is not None
+
+
+def test_exact_sample_widens_a_short_prefilter(spark):
+    df = _ids(spark, 1000)
+    # an undersized pre-filter must be widened until n rows are available
+    got = {r.k for r in sampling.exact_sample(df, "k", 400, salt="w", oversample=0.25).collect()}
+    want = {r.k for r in sampling.exact_sample(df, "k", 400, salt="w").collect()}
+    assert got == want and len(got) == 400
+
+
+def test_pairing_checks_alignment(spark):
+    import pytest
+
+    from impressa.operators.pairing import PairingError, pair_by_key
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "k bigint, label int")
+    scores = spark.createDataFrame([(i, 0.1 * i) for i in range(9)], "k bigint, p double")
+    with pytest.raises(PairingError):
+        pair_by_key(labels, scores, "k")
+    assert pair_by_key(labels, scores.union(spark.createDataFrame([(9, .9)], "k bigint, p double")),
+                       "k").count() == 10
