@@ -761,3 +761,17 @@ def m9_one_hot_encoding(spark, sf):
 
     train, _ = sampling.holdout_split(load_impressions(spark, sf))
     return one_hot_widths(train, CATEGORICAL_COLS)
+
+
+R2_LARGE_N = 5000
+R2_LARGE_SALT = names.py_size_to_name(R2_LARGE_N)
+
+
+@register("r2_exact_sample_indexed", W(
+    "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY " +
+    O.sample_hash("event_id", R2_LARGE_SALT) + f", event_id) AS rn FROM imp) WHERE rn <= {R2_LARGE_N}"))
+def r2_exact_sample_indexed(spark, sf):
+    """R2 through its large-n path: the cut is the distributed row index (W1) over
+    the salted-hash order instead of TakeOrdered."""
+    imp = load_impressions(spark, sf).select("event_id")
+    return sampling.exact_sample(imp, "event_id", R2_LARGE_N, salt=R2_LARGE_SALT, small_limit=0)
