@@ -775,3 +775,18 @@ def r2_exact_sample_indexed(spark, sf):
     the salted-hash order instead of TakeOrdered."""
     imp = load_impressions(spark, sf).select("event_id")
     return sampling.exact_sample(imp, "event_id", R2_LARGE_N, salt=R2_LARGE_SALT, small_limit=0)
+
+
+TAKE_LARGE_N = 7000
+
+
+@register("o3_take_n_indexed", W(
+    f"SELECT event_id FROM imp ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT {TAKE_LARGE_N}"))
+def o3_take_n_indexed(spark, sf):
+    """O3 through its large-n path: distributed row index then a filter, so no
+    task merges the first n rows."""
+    imp = load_impressions(spark, sf).select("event_id")
+    h, prefix = ordering.md5_order_key("event_id")
+    staged = imp.withColumn("_h", h).withColumn("_hp", prefix)
+    return ordering.take_first(staged, ["_h", "event_id"], TAKE_LARGE_N, "_hp",
+                               small_limit=0).select("event_id")
