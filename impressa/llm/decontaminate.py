@@ -199,13 +199,16 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; same columns."""
-    out = docs
-    for shared in _blocks(bench):
+    def leaks(shared):
         @F.pandas_udf("boolean")
-        def leaks(s: pd.Series, shared=shared) -> pd.Series:
+        def test(s: pd.Series) -> pd.Series:
             return pd.Series([bool(shared.value.hits(x, True)) for x in s], dtype=bool)
 
-        out = out.where(~leaks(text_bytes(text)))
+        return test
+
+    out = docs
+    for shared in _blocks(bench):
+        out = out.where(~leaks(shared)(text_bytes(text)))
     return out
 
 

@@ -205,7 +205,7 @@ def _search(spark, nodes: DataFrame, kind, threshold, trees, leaf, sample, seed)
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     r = r.select("label", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "mult", "data", "sig")
 
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, at, i, j = key
         z = unit(np.frombuffer(b"".join(pdf["data"]), kind).reshape(len(pdf), -1))
         sigs = [np.frombuffer(s, np.int32) for s in pdf["sig"]]

@@ -232,7 +232,7 @@ def filter_segments(texts: DataFrame, segments: int) -> DataFrame:
 
     most = max(64, MAX_BYTES // segments)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
         n = [wide(x, len(a)) for x, a in zip(pdf["n"], h)]
         h, n = np.concatenate(h), np.concatenate(n)

@@ -165,7 +165,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 t, d = zip(*out[i:i + 256])
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(d, pa.binary())], ["bucket", "data"])
 
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["data"]), np.uint64)
         a, b = ball.value.roots(np.sort(x), int(key[0]))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})

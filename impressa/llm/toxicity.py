@@ -28,9 +28,11 @@ gives no rows; other columns pass through.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -231,8 +233,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "score", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxic(parts):
-        import pandas as pd
+    def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = None
         for p in parts:
             one = one or shared.value.scorer()
