@@ -11,7 +11,8 @@ within the radius are verified exactly: multiset Jaccard similarity of the
 shingles, 0.8 or more.
 
 Windows that hold no shingle of any item have similarity 0 and are not
-fingerprinted; shingles of all documents are compared to get there.  Documents
+fingerprinted; to get there all shingles of all documents are compared, from
+the hashes of words that items have (other words hash to zero first).  Documents
 shorter than an item are one window.  Texts are walked in pieces, so memory
 does not grow with their length.
 
@@ -28,16 +29,16 @@ rows; other columns pass through ``remove``.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.common import WORD, text_bytes, words
-from impressa.llm.simhash import shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,6 +48,23 @@ BLOCK_WORDS = 500_000
 STEP = 4096
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hash(w: bytes) -> int:
+    return xxhash.xxh64_intdigest(w, 3) | 1
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all k-word shingles from word hashes; fewer words: of the whole sequence."""
+    k = min(k, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j:len(h) - k + 1 + j]) * _ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _signs(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
@@ -102,10 +120,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         by: dict[int, list] = {}
+        self.words: dict[bytes, int] = {}
         for i, text in items:
-            n = len(words(text))
-            if n:
-                by.setdefault(n, []).append((i, shingle_hashes(text, min(SHINGLE, n))))
+            w = words(text)
+            if w:
+                self.words.update((x, word_hash(x)) for x in w)
+                by.setdefault(len(w), []).append((i, shingles(np.array([self.words[x] for x in w], np.uint64), SHINGLE)))
         self.lengths = {n: LengthIndex(n, x) for n, x in sorted(by.items())}
         self.known = {k: np.unique(np.concatenate([c[0] for x in self.lengths.values() if x.k == k for c in x.counts]))
                       for k in {x.k for x in self.lengths.values()}}
@@ -117,14 +137,20 @@ class Index:
     def hits(self, text: bytes, first: bool = False) -> dict[int, tuple[float, int, int, int]]:
         """item -> (similarity, distance, first word, words); with ``first`` any one item."""
         best: dict[int, tuple] = {}
+        w = words(text)
+        if not w:
+            return best
+        rough = np.fromiter(map(self.words.get, w, repeat(0)), np.uint64, len(w))
+        exact = None
         for k, known in self.known.items():
-            h = shingle_hashes(text, k)
-            if not len(h):
-                continue
+            h = shingles(rough, k)
             on = np.flatnonzero(self.filter[k][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             on = on[known[np.minimum(np.searchsorted(known, h[on]), len(known) - 1)] == h[on]]
             if not len(on):
                 continue
+            if exact is None:
+                exact = np.fromiter((self.words.get(x) or word_hash(x) for x in w), np.uint64, len(w))
+            h = shingles(exact, k)
             widest = max(x.width for x in self.lengths.values() if x.k == k)
             for lo in range(max(0, int(on[0]) - widest), int(on[-1]) + 1, STEP):
                 part = h[lo:lo + STEP + widest]

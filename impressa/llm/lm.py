@@ -8,9 +8,10 @@ its level.  Probabilities are smoothed with those counts: the bigram estimate
 is backed by the unigram one with weight ``SMOOTH`` (Dirichlet prior), and
 that by add-0.1.
 
-Building: tasks count the n-grams of their texts and send packed (hash,
-count) arrays to segments, the n-gram's hash chooses the segment; a segment
-sums the counts and writes its own bit array.  The filter is the segments
+Building: one pass over the texts.  Tasks count the n-grams of their texts and
+send packed (hash, count) arrays to segments, the n-gram's hash chooses the
+segment; a segment sums the counts, writes its own bit array and keeps the
+exact counts of its words (words are known by 64-bit hashes).  The filter is the segments
 side by side.  Its size follows the number of distinct n-grams (about
 ``BITS`` bits for each filter entry) up to ``MAX_BYTES``, the bound of
 what is broadcast; past it nothing is dropped, the false-positive rate rises.
@@ -28,7 +29,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,8 +53,11 @@ PROBES = 3
 LEVELS = 40
 SMOOTH = 2.0
 ADD = 0.1
-SEGMENT_TOKENS = 2_000_000
-MEMO = 300_000
+#: Text bytes that one segment stands for, on average, at most.
+SEGMENT_BYTES = 12_000_000
+MEMO = 500_000
+#: Tokens whose n-grams are probed together.
+PIECE = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -71,31 +76,25 @@ def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w, 7)
 
 
-class Hasher:
-    """Word -> 64-bit hash with a bounded memo."""
+class Hasher(dict):
+    """Word -> 64-bit hash, with a bounded memo."""
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = word_hash(w)
+        return h
 
     def text(self, text: bytes) -> np.ndarray:
         """Hashes of the tokens, the end token last."""
-        seen = self.seen
-        if len(seen) > MEMO:
-            seen.clear()
-        out = []
-        for w in words(text):
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = word_hash(w)
-            out.append(h)
-        out.append(word_hash(END))
-        return np.array(out, np.uint64)
+        if len(self) > MEMO:
+            self.clear()
+        w = words(text)
+        w.append(END)
+        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
 
 
-def grams(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of the unigrams and bigrams of a text (the first bigram starts at the end token)."""
-    before = np.concatenate((tokens[-1:], tokens[:-1]))
-    return np.concatenate((mix(tokens), pair_hash(before, tokens)))
+def bigrams(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of the bigrams of a text; the first starts at the end token."""
+    return pair_hash(np.concatenate((tokens[-1:], tokens[:-1])), tokens)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -134,7 +133,8 @@ class Model:
     data: bytes
     starts: np.ndarray
     bits: np.ndarray
-    frequent: dict[int, int]
+    frequent: np.ndarray
+    frequent_counts: np.ndarray
     total: int
     vocabulary: int
 
@@ -158,67 +158,68 @@ class Model:
             out[live] = j
         return out
 
-    def log10(self, tokens: np.ndarray) -> float:
-        """Smoothed log10 probability of a text's tokens."""
-        g = grams(tokens)
-        distinct, back = np.unique(g, return_inverse=True)
-        c = middle(self.count_levels(distinct))[back]
-        n = len(tokens)
-        uni, bi = c[:n], c[n:]
-        before = np.concatenate((uni[-1:], uni[:-1]))
-        p1 = (uni + ADD) / (self.total + ADD * (self.vocabulary + 1))
-        p = (np.minimum(bi, before) + SMOOTH * p1) / (before + SMOOTH)
-        return float(np.log10(np.maximum(p, 1e-300)).sum())
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return middle(self.count_levels(h))
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        """Exact counts of frequent words, 0 for the others."""
+        if not len(self.frequent):
+            return np.zeros(len(words), np.int64)
+        i = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
+        return np.where(self.frequent[i] == words, self.frequent_counts[i], 0)
+
+    def score(self, texts: list[np.ndarray]) -> Iterator[tuple]:
+        """For each text's token hashes: tokens, known frequent ones, their base terms' sum, the model's
+        log10 probability, and the rare words with their numbers."""
+        size = np.array([len(t) for t in texts])
+        t = np.concatenate(texts)
+        ends = np.cumsum(size)
+        word, back = np.unique(t, return_inverse=True)
+        exact = self.exact(word)
+        whole = self.total + ADD * (self.vocabulary + 1)
+        base = np.where(exact > 0, np.log10((exact + ADD) / whole), 0.0)[back]
+        known = (exact > 0)[back]
+        uni = self.counts(mix(word))[back]
+        pair, pair_back = np.unique(np.concatenate([bigrams(x) for x in texts]), return_inverse=True)
+        bi = self.counts(pair)[pair_back]
+        before = np.empty_like(uni)
+        before[1:] = uni[:-1]
+        before[ends - size] = uni[ends - 1]
+        p1 = (uni + ADD) / whole
+        log = np.log10(np.maximum((np.minimum(bi, before) + SMOOTH * p1) / (before + SMOOTH), 1e-300))
+        for a, b in zip(ends - size, ends):
+            rare, n = np.unique(t[a:b][~known[a:b]], return_counts=True)
+            yield int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(log[a:b].sum()), rare.view(np.int64), n.astype(np.int32)
+
+
+def count(texts: DataFrame, segments: int) -> DataFrame:
+    """(segment, data, words, counts): bit arrays of all unigrams and bigrams, and exact word counts."""
 
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts; tasks send sums, not tokens."""
-
-    def run(batches):
-        own: Counter = Counter()
+    def send(batches):
+        hasher, uni, bi, held = Hasher(), [], [], 0
         for b in batches:
             for x in b.column("text").to_pylist():
-                own.update(words(x))
-                own[END] += 1
-                if len(own) > MEMO:
-                    yield out(own)
-                    own = Counter()
-        if own:
-            yield out(own)
-
-    def out(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
-
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def filter_segments(texts: DataFrame, segments: int) -> DataFrame:
-    """(segment, data): bit arrays of all unigrams and bigrams."""
-
-    def send(batches):
-        hasher, parts, held = Hasher(), [], 0
-
-        def flush():
+                t = hasher.text(x)
+                uni.append(t)
+                bi.append(bigrams(t))
+                held += len(t)
+                if held >= 2_000_000:
+                    yield from flush(uni, bi)
+                    uni, bi, held = [], [], 0
+        if uni:
+            yield from flush(uni, bi)
+
+    def flush(uni, bi):
+        for kind, parts in enumerate((uni, bi)):
             h, n = np.unique(np.concatenate(parts), return_counts=True)
-            order = np.argsort(h % np.uint64(segments), kind="stable")
-            h, n = h[order], n[order].astype(np.uint32)
-            s = (h % np.uint64(segments)).astype(np.int64)
+            s = ((mix(h) if kind == 0 else h) % np.uint64(segments)).astype(np.int64)
+            order = np.argsort(s, kind="stable")
+            h, n, s = h[order], n[order].astype(np.uint32), s[order]
             cut = np.searchsorted(s, np.arange(segments + 1))
-            rows = [(i, h[a:b].tobytes(), narrow(n[a:b])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows = [(i, kind, h[a:b].tobytes(), narrow(n[a:b])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             for i in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 512]), (pa.int32(), pa.binary(), pa.binary()))],
-                                                 ["segment", "h", "n"])
-
-        for b in batches:
-            for x in b.column("text").to_pylist():
-                g = grams(hasher.text(x))
-                parts.append(g)
-                held += len(g)
-                if held >= 4_000_000:
-                    yield from flush()
-                    parts, held = [], 0
-        if parts:
-            yield from flush()
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 512]), kinds)], ["segment", "kind", "h", "n"])
 
     def narrow(n):
         """Counts as one byte each where 1..254, or 255 and then four bytes at the end."""
@@ -232,30 +233,40 @@ def filter_segments(texts: DataFrame, segments: int) -> DataFrame:
 
     most = max(64, MAX_BYTES // segments)
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if not len(pdf):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         h = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
         n = [wide(x, len(a)) for x, a in zip(pdf["n"], h)]
         h, n = np.concatenate(h), np.concatenate(n)
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return pd.DataFrame({"segment": [key[0]], "data": [build_segment(h[first], np.add.reduceat(n, first), most)]})
+        return h[first], np.add.reduceat(n, first)
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (w, c), (h, n) = (added(pdf[pdf["kind"] == k]) for k in (0, 1))
+        data = build_segment(np.concatenate((mix(w), h)), np.concatenate((c, n)), most)
+        return pd.DataFrame({"segment": [key[0]], "data": [data], "words": [w.view(np.int64)], "counts": [c]})
 
-    sent = texts.select("text").mapInArrow(send, "segment int, h binary, n binary")
-    return sent.groupBy("segment").applyInPandas(build, "segment int, data binary")
+    sent = texts.select("text").mapInArrow(send, "segment int, kind int, h binary, n binary")
+    return sent.groupBy("segment").applyInPandas(build, "segment int, data binary, words array<long>, counts array<long>")
 
 
 @dataclass(frozen=True)
 class Fitted:
     model: Model
-    counts: DataFrame  # (word, c), staged
+    counts: DataFrame  # (word, c), the word's hash and its exact count
     rare_below: int
 
 
 def fit(texts: DataFrame) -> Fitted:
     """Learn from all rows of ``texts`` (column text, bytes)."""
     spark = texts.sparkSession
-    counts = stage(word_counts(texts), "lm-words")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    segments = int(min(1 << 14, max(16, 2 * shuffle_partitions(spark), size // SEGMENT_BYTES)))
+    built = stage(count(texts, segments), "lm-segments")
+    counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     by = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}
     total, vocabulary = sum(c * n for c, n in by.items()), sum(by.values())
     held, least = 0, max(by, default=0) + 1
@@ -263,64 +274,52 @@ def fit(texts: DataFrame) -> Fitted:
         if held + by[c] > TOP:
             break
         held, least = held + by[c], c
-    frequent = {word_hash(bytes(r["word"])): r["c"] for r in counts.where(F.col("c") >= least).collect()}
-    segments = int(min(1 << 14, max(16, 2 * shuffle_partitions(spark), total // SEGMENT_TOKENS)))
-    rows = filter_segments(texts, segments).collect() if total else []
-    size = [0] * segments
+    often = counts.where(F.col("c") >= least).orderBy("word").collect()
+    frequent = np.array([r["word"] for r in often], np.int64).view(np.uint64)
+    order = np.argsort(frequent)
     data: list[bytes] = [b"\0" * 8] * segments
-    for r in rows:
+    for r in built.select("segment", "data").collect():
         data[r["segment"]] = bytes(r["data"])
     size = np.array([len(d) for d in data], np.int64)
-    starts = np.cumsum(size) - size
-    return Fitted(Model(b"".join(data), starts, (size * 8).astype(np.uint64), frequent, total, vocabulary), counts, least)
+    return Fitted(Model(b"".join(data), np.cumsum(size) - size, (size * 8).astype(np.uint64), frequent[order],
+                        np.array([r["c"] for r in often], np.int64)[order], total, vocabulary), counts, least)
 
 
 def score(docs: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, base_score and score for each row of ``docs`` (text as bytes)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fitted.model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
     d = docs.select(*keep, "text")
     kept = d.drop("text").schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-                       + ["rid long", "n_tokens long", "known long", "base double", "score double", "rare array<struct<word: binary, n: int>>"])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    own = "rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [own])
+    names = [f.name for f in kept] + [x.split()[0] for x in own.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
     def run(batches):
         m, hasher = shared.value, Hasher()
-        log_all = np.log10(m.total + ADD * (m.vocabulary + 1))
-        part, n = TaskContext.get().partitionId() << 36, 0
+        rid = TaskContext.get().partitionId() << 36
         for b in batches:
-            out = []
+            out, held, size = [], [], 0
             for x in b.column("text").to_pylist():
-                t = hasher.text(x)
-                known, base, rare = 0, [], []
-                for w, f in Counter(words(x)).items():
-                    c = m.frequent.get(hasher.seen[w])
-                    if c is None:
-                        rare.append({"word": w, "n": f})
-                    else:
-                        known += f
-                        base.append(f * (np.log10(c + ADD) - log_all))
-                c = m.frequent.get(word_hash(END))
-                if c is None:
-                    rare.append({"word": END, "n": 1})
-                else:
-                    known += 1
-                    base.append(np.log10(c + ADD) - log_all)
-                out.append((part + n, len(t), known, float(np.sum(base)), m.log10(t), rare))
-                n += 1
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             [f.name for f in kept] + ["rid", "n_tokens", "known", "base", "score", "rare"])
+                held.append(hasher.text(x))
+                size += len(held[-1])
+                if size > PIECE:
+                    out += m.score(held)
+                    held, size = [], 0
+            if held:
+                out += m.score(held)
+            ids = np.arange(rid, rid + len(out))
+            rid += len(out)
+            cols = [ids, *(zip(*out) if out else [[]] * 6)]
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     first = stage(d.mapInArrow(run, schema), "lm-scored")
-    log_all = F.lit(float(np.log10(fitted.model.total + ADD * (fitted.model.vocabulary + 1))))
-    rare = first.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n")
+    log_all = F.lit(math.log10(fitted.model.total + ADD * (fitted.model.vocabulary + 1)))
+    rare = first.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
     seen = fitted.counts.where(F.col("c") < fitted.rare_below)
     term = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + ADD) - log_all)
     sums = rare.join(seen, "word", "left").groupBy("rid").agg(F.sum(term).alias("b2"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k2"))
-    out = first.drop("rare").join(sums, "rid", "left")
+    out = first.drop("rare", "times").join(sums, "rid", "left")
     return out.select(*[F.col(f.name) for f in kept], "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).cast("long").alias("n_known"),
                       (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), "score")
 

@@ -31,7 +31,7 @@ untouched.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -54,14 +54,11 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     w = words(text)
     if not w:
         return np.empty(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    norm = b" ".join(w)
     if len(w) <= k:
-        return np.array([h(norm, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    s, e = starts[: len(w) - k + 1].tolist(), ends[k - 1:].tolist()
-    return np.array([h(norm[i:j], SEED) for i, j in zip(s, e)], np.uint64)
+        grams = [b" ".join(w)]
+    else:
+        grams = map(b" ".join, zip(*(w[i:] for i in range(k))))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64)
 
 
 def fingerprint(text: bytes, k: int, block: int = 1 << 16) -> int:

@@ -8,13 +8,14 @@ a flexible model from driving the estimated negative risk under zero.  Known
 clean labels are used for one number only, the class prior (the toxic share of
 the labelled rows), when it is not given.
 
-Features of a text: which of its words' 4- and 5-grams and whole words occur
-(hashed, boundary marked, words lower-cased).  The ``features`` ones that
-best tell P from U on the sample are kept.  ``models`` classifiers are trained
+Features of a text: which of its words and their 4- and 5-grams occur
+(boundary marked, words lower-cased).  Of those that are more frequent
+in P than in U the ``features`` best by log-likelihood ratio are kept, if
+their ratio exceeds ``evidence``.  ``models`` classifiers are trained
 on different draws of U and their probabilities averaged.
 
 Scale: the fit uses a bounded sample (``max_positive`` and ``max_unlabelled``
-rows of smallest id hash; features, not texts, reach the driver), and the
+rows of smallest id hash; ids and kept features, not texts, reach the driver), and the
 model (``features`` weights per classifier) is what is broadcast.  Scoring is
 one narrow pass over whole texts.
 
@@ -28,20 +29,19 @@ gives no rows; other columns pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.common import text_bytes
 
 TOKEN = re.compile(r"\w+")
-SPACE_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ class Settings:
     """Bounds of the fit sample, and the learner's parameters."""
 
     max_positive: int = 4000
-    max_unlabelled: int = 12000
+    max_unlabelled: int = 8000
     features: int = 4096
+    evidence: float = 16.0
     models: int = 3
     epochs: int = 60
     batches: int = 8
@@ -60,59 +61,74 @@ class Settings:
 
 
 def grams(word: str) -> list[str]:
+    """The word and its 4- and 5-grams, with boundary marks."""
     w = f"<{word}>"
-    out = [w]
-    for n in (4, 5):
-        out += [w[i:i + n] for i in range(len(w) - n + 1)]
-    return out
+    return [w, *(w[i:i + n] for n in (4, 5) for i in range(len(w) - n + 1))]
 
 
-def word_features(word: str) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(g) >> (64 - SPACE_BITS) for g in grams(word)], np.int64))
+class Extractor:
+    """Distinct kept features of a text, by word, with a bounded memo of words."""
 
+    def __init__(self, keep: list[str], memo: int = 200_000):
+        self.number = {g: i for i, g in enumerate(keep)}
+        self.memo, self.seen = memo, {}
 
-class Extractor:
-    """Distinct features of a text, by word, with a bounded memo of words."""
-
-    def __init__(self, keep: np.ndarray | None = None, memo: int = 200_000):
-        self.keep, self.memo, self.seen = keep, memo, {}
-
-    def word(self, w: str) -> np.ndarray:
-        f = self.seen.get(w)
-        if f is None:
-            f = word_features(w)
-            if self.keep is not None:
-                i = np.minimum(np.searchsorted(self.keep, f), len(self.keep) - 1)
-                f = i[self.keep[i] == f]
-            if len(self.seen) >= self.memo:
-                self.seen.clear()
-            self.seen[w] = f
+    def word(self, w: str) -> tuple[int, ...]:
+        number = self.number
+        f = self.seen[w] = tuple({number[g] for g in grams(w) if g in number})
         return f
 
     def text(self, text: bytes) -> np.ndarray:
-        ws = set(TOKEN.findall(text.decode("utf-8", "replace").lower()))
-        found = [f for w in ws if len(f := self.word(w))]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-
-def select_features(pos: list[np.ndarray], unl: list[np.ndarray], n: int) -> np.ndarray:
-    """The ``n`` features whose share in P differs most (two-proportion z) from that in U."""
-    def shares(rows):
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0)
-        return np.unique(np.concatenate(rows), return_counts=True)
-
-    fp, cp = shares(pos)
-    fu, cu = shares(unl)
-    f = np.union1d(fp, fu)
-    p, u = np.zeros(len(f)), np.zeros(len(f))
-    p[np.searchsorted(f, fp)], u[np.searchsorted(f, fu)] = cp, cu
-    both = (p + u) / (len(pos) + len(unl))
-    z = (p / len(pos) - u / len(unl)) / np.sqrt(np.maximum(both * (1 - both), 1e-12))
-    z[p + u < 3] = 0
-    best = np.lexsort((f, -np.abs(z)))[:n]
-    return np.sort(f[best])
+        if len(self.seen) > self.memo:
+            self.seen.clear()
+        seen, found = self.seen, set()
+        for w in set(TOKEN.findall(text.decode("utf-8", "replace").lower())):
+            f = seen.get(w)
+            if f is None:
+                f = self.word(w)
+            if f:
+                found.update(f)
+        return np.array(sorted(found), np.int32)
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(f, p, u): in how many sampled texts of P and of U each feature occurs."""
+
+    def run(batches):
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for x, *sides in zip(*(b.column(c).to_pylist() for c in ("text", "p", "u"))):
+                f = {g for w in set(TOKEN.findall(x.decode("utf-8", "replace").lower())) for g in grams(w)}
+                for own, on in zip(sums, sides):
+                    if on:
+                        own.update(f)
+                if len(sums[1]) + len(sums[0]) > 600_000:
+                    yield flush(sums)
+        yield flush(sums)
+
+    def flush(sums):
+        f = list(sums[0].keys() | sums[1].keys())
+        n = [pa.array([own[g] for g in f], pa.int64()) for own in sums]
+        for own in sums:
+            own.clear()
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), *n], ["f", "p", "u"])
+
+    return sample.mapInArrow(run, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def select_features(sample: DataFrame, n_pos: int, n_unl: int, s: Settings) -> list[str]:
+    """Features more frequent in P than in U, by log-likelihood ratio: the best that exceed ``evidence``."""
+    p, u = F.col("p"), F.col("u")
+    both = (p + u) / F.lit(float(n_pos + n_unl))
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g2 = 2 * (part(p, n_pos * both) + part(u, n_unl * both)
+              + part(n_pos - p, n_pos * (1 - both)) + part(n_unl - u, n_unl * (1 - both)))
+    best = (feature_counts(sample).where(p / F.lit(float(n_pos)) > u / F.lit(float(n_unl))).withColumn("g2", g2)
+            .where(F.col("g2") >= s.evidence).orderBy(F.desc("g2"), "f").limit(s.features).select("f").collect())
+    return sorted(r[0] for r in best)
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +175,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: floa
 
 @dataclass(frozen=True)
 class Model:
-    keep: np.ndarray
+    keep: list[str]
     weights: np.ndarray
     intercepts: np.ndarray
 
@@ -194,31 +210,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, se
     chosen = sorted(pos_set | set(unl_ids))
     if not pos_ids or not unl_ids:
         return None
-    pick = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    unl_set = set(unl_ids)
+    pick = spark.createDataFrame([(i, i in pos_set, i in unl_set) for i in chosen], "doc_id long, p boolean, u boolean")
     sample = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).join(F.broadcast(pick), "doc_id")
+    keep = select_features(sample, len(pos_ids), len(unl_ids), s)
 
     def extract(batches):
-        ex = Extractor()
+        ex = Extractor(keep)
         for b in batches:
             data = [ex.text(x).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "f"])
 
-    rows = {}
-    for r in sample.mapInArrow(extract, "doc_id long, f binary").toLocalIterator():
+    rows: dict[int, bytes] = {}
+    for r in sample.select("doc_id", "text").mapInArrow(extract, "doc_id long, f binary").toLocalIterator():
         have = bytes(r["f"])
-        if r["doc_id"] not in rows or have < rows[r["doc_id"]]:
-            rows[r["doc_id"]] = have
-    feats = {i: np.frombuffer(f, np.int64) for i, f in rows.items()}
+        rows[r["doc_id"]] = min(have, rows.get(r["doc_id"], have))
+    feats = {i: np.frombuffer(f, np.int32) for i, f in rows.items()}
     pos, unl = [feats[i] for i in pos_ids], [feats[i] for i in unl_ids]
-    keep = select_features(pos, unl, s.features)
-    if not len(keep):
-        keep = np.array([-1], np.int64)
-
-    def narrow(f):
-        i = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
-        return i[keep[i] == f]
-
-    pos, unl = [narrow(f) for f in pos], [narrow(f) for f in unl]
     fits = []
     for k in range(s.models):
         own = unl if s.models == 1 else [u for i, u in enumerate(unl) if i % s.models != k] or unl
