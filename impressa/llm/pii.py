@@ -16,8 +16,9 @@ first, in a fixed order) until none is left; redraws lengthen the form where
 its space is small.  Only redrawn entities are joined to mentions; all other
 surrogates are computed in place.
 
-DataFrame functions only.  Mentions travel without their texts; per-document
-arrays of surrogates go back by one join on the document key.
+DataFrame functions only.  Documents without a match are passed on where they
+are; the others are staged, their mentions travel without texts, and
+per-document arrays of surrogates go back by one join on the document key.
 
 Defined results: null text stays null; texts without entities are unchanged;
 repeated rows are one document; null ids are a key of their own; an empty table
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impressa.llm.common import KEY, doc_key
+from impressa.llm.common import KEY, doc_key, shuffle_partitions
 from impressa.sources.sinks import stage
 
 # Patterns of the entity types, titles by gender, given names by
@@ -139,8 +140,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(document key, i, raw, kind, canon, gkind, gcanon): one row per mention; given names of persons in g-columns."""
-    d = docs.where(F.col(text).rlike(HINT))
-    d = d.select(*doc_key(text), F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("i", "raw"))
+    d = docs.select(*doc_key(text), F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("i", "raw"))
     raw, digits = F.col("raw"), F.regexp_replace("raw", "[^0-9]", "")
     title = F.regexp_extract(raw, rf"^({TITLES})\.? ", 1)
     parts = F.split(raw, " ")
@@ -189,22 +189,23 @@ def _render(key: str) -> tuple[Column, Column]:
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and n_entities."""
-    found = stage(mentions(docs, text), "pii-mentions")
+    has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False))
+    hit = stage(docs.where(has), "pii-documents")
+    found = stage(mentions(hit, text), "pii-mentions")
     entities = stage(found.select("kind", "canon").unionByName(found.where("gkind is not null").select(F.col("gkind").alias("kind"), F.col("gcanon").alias("canon")))
                      .distinct(), "pii-entities")
     other = redrawn(entities, key)
     m = found.join(other, ["kind", "canon"], "left")
     m = m.join(other.select(F.col("kind").alias("gkind"), F.col("canon").alias("gcanon"), F.col("attempt").alias("gattempt")), ["gkind", "gcanon"], "left")
     out, s = _render(key)
-    m = m.withColumn("s", s).withColumn("number", F.regexp_replace("s", "[^0-9]", ""))
+    m = m.repartition(shuffle_partitions(docs.sparkSession), *KEY).withColumn("s", s).withColumn("number", F.regexp_replace("s", "[^0-9]", ""))
     m = m.select(*KEY, "i", out.alias("new")).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("i", "new"))).alias("__llm_new"))
     m = stage(m, "pii-surrogates")
-    j = docs.select("*", *doc_key(text)).join(m, KEY, "left")
+    j = hit.select("*", *doc_key(text)).join(m, KEY, "left")
     new = F.col("__llm_new")
     pieces = F.zip_with(F.split(text, ANY, -1), new, lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit(""))))
-    done = F.when(new.isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
-    return j.select(*[done.alias(c) if c == text else F.col(c) for c in docs.columns],
-                    F.coalesce(F.size(new), F.lit(0)).cast("long").alias("n_entities"))
+    done = j.select(*[F.array_join(pieces, "").alias(c) if c == text else F.col(c) for c in docs.columns], F.size(new).cast("long").alias("n_entities"))
+    return docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")).unionByName(done)
 
 
 def query(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
