@@ -22,6 +22,12 @@ def hex_to_uint_sql(c: str) -> str:
     return f"CASE WHEN {c} RLIKE '{HEX32}' THEN CAST(conv({c}, 16, 10) AS BIGINT) END"
 
 
+def strict_hex_to_uint_sql(c: str) -> str:
+    """As ``hex_to_uint_sql``, but malformed text raises."""
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} RLIKE '{HEX32}' THEN CAST(conv({c}, 16, 10) AS BIGINT) "
+            f"ELSE CAST(raise_error(concat('malformed hex: ', {c})) AS BIGINT) END")
+
+
 def uint_to_hex8_sql(v: str) -> str:
     return f"lpad(lower(hex({v})), 8, '0')"
 
@@ -31,9 +37,9 @@ def log_square_sql(c: str) -> str:
 
 
 def libsvm_line_sql(label: str = "label", numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> str:
-    parts = [f"CAST({label} AS STRING)"]
+    parts = [f"coalesce(CAST({label} AS STRING), CAST(raise_error('null label') AS STRING))"]
     parts += [f"concat('{FEATURE_INDEX[c]}:', CAST({c} AS STRING))" for c in numeric]
-    parts += [f"concat('{FEATURE_INDEX[c]}:', CAST({hex_to_uint_sql(c)} AS STRING))"
+    parts += [f"concat('{FEATURE_INDEX[c]}:', CAST({strict_hex_to_uint_sql(c)} AS STRING))"
               for c in categorical]
     return "concat_ws(' ', " + ", ".join(parts) + ")"
 
@@ -78,19 +84,22 @@ def libsvm_pairs(numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> list[Col
     for c in numeric:
         out.append(F.concat(F.lit(f"{FEATURE_INDEX[c]}:"), F.col(c).cast("string")))
     for c in categorical:
-        out.append(F.concat(F.lit(f"{FEATURE_INDEX[c]}:"), hex_to_uint(c).cast("string")))
+        out.append(F.concat(F.lit(f"{FEATURE_INDEX[c]}:"), hex_to_uint(c, strict=True).cast("string")))
     return out
 
 
 def libsvm_line(label="label", numeric=NUMERIC_COLS, categorical=CATEGORICAL_COLS) -> Column:
     """Impression row -> ``label idx:value ...`` (nulls omitted, no trailing space).
 
+    A null label or malformed hex raises.
+
     ``concat`` is null when its input is null and ``concat_ws`` skips nulls, so
     null features drop out without a branch per column.
     """
     if isinstance(label, str):
         return F.expr(libsvm_line_sql(label, numeric, categorical))
-    return F.concat_ws(" ", _col(label).cast("string"), *libsvm_pairs(numeric, categorical))
+    head = F.coalesce(_col(label).cast("string"), F.raise_error(F.lit("null label")).cast("string"))
+    return F.concat_ws(" ", head, *libsvm_pairs(numeric, categorical))
 
 
 def vw_label(label) -> Column:

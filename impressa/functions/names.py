@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def size_to_name(n) -> Column:
-    """Replace each trailing-aligned group of three zeros with ``k``."""
-    n = F.col(n) if isinstance(n, str) else n
-    return F.reverse(F.replace(F.reverse(n.cast("string")), F.lit("000"), F.lit("k")))
+    """Thousands as ``k``: one for every whole factor of 1000."""
+    s = (F.col(n) if isinstance(n, str) else n).cast("string")
+    zeros = F.length(s) - F.length(F.rtrim(s, F.lit("0")))
+    k = F.when(F.rtrim(s, F.lit("0")) == "", F.lit(0)).otherwise(F.floor(zeros / 3)).cast("int")
+    return F.concat(F.substr(s, F.lit(1), F.length(s) - 3 * k), F.repeat(F.lit("k"), k))
 
 
 def name_to_size(s) -> Column:
@@ -20,14 +22,17 @@ def name_to_size(s) -> Column:
 
 
 def py_size_to_name(n: int) -> str:
-    return str(n)[::-1].replace("000", "k")[::-1]
+    thousands = 0
+    while n and n % 1000 == 0:
+        n //= 1000
+        thousands += 1
+    return f"{n}{'k' * thousands}"
 
 
 def py_name_to_size(s: str) -> int:
-    try:
-        return int(s.replace("k", "000"))
-    except ValueError:
-        return 0
+    """Inverse of ``py_size_to_name``; 0 when the text is not a size."""
+    digits = s.rstrip("k")
+    return int(digits) * 1000 ** (len(s) - len(digits)) if digits.isdecimal() else 0
 
 
 def ladder(first_exp: int = 4, last_exp: int = 9) -> list[int]:

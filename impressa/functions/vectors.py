@@ -1,47 +1,51 @@
-"""ML vectors.
+"""ML vectors (P12, P13, P16), built in the JVM.
 
-Spark has no built-in that builds a sparse vector from an index array, so P12
-and P13 are the only Python UDFs in the library; everything that feeds them
-(parsing, bucketing, hashing) stays in JVM expressions.  P16 uses the built-in
-``vector_to_array``.
+P12: ``CountVectorizerModel`` over a fixed vocabulary (the index texts), with
+binary counts, turns an index array into the sparse 0/1 vector.  P13:
+``array_to_vector`` over the slots in order.  P16: ``vector_to_array``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impressa.schema import ASIS_VECTOR_SIZE, DEFAULT_HASH_SPACE
 
 
-def binary_vector(indices, size: int = DEFAULT_HASH_SPACE) -> Column:
-    """Strictly ascending distinct index array -> SparseVector(size, idx, 1.0)."""
-    size = int(size)
+@lru_cache(maxsize=4)
+def _vocabulary(size: int) -> tuple[str, ...]:
+    return tuple(str(i) for i in range(size))
 
-    @F.udf(VectorUDT())
-    def _mk(idx):
-        idx = idx or []
-        return SparseVector(size, idx, [1.0] * len(idx))
 
-    return _mk(F.col(indices) if isinstance(indices, str) else indices)
+def with_binary_vector(df: DataFrame, indices: str = "indices", size: int = DEFAULT_HASH_SPACE,
+                       out: str = "features") -> DataFrame:
+    """``df`` with ``out``: index array -> sparse vector of ``size`` with 1.0 at each index (null: empty)."""
+    texts = "_index_texts"
+    model = CountVectorizerModel.from_vocabulary(list(_vocabulary(int(size))), inputCol=texts, outputCol=out)
+    model.setBinary(True)
+    named = F.coalesce(F.col(indices).cast("array<string>"), F.array().cast("array<string>"))
+    return model.transform(df.withColumn(texts, named)).drop(texts)
 
 
-def asis_vector(features, size: int = ASIS_VECTOR_SIZE) -> Column:
-    """Parsed LibSVM pairs ARRAY<STRUCT<idx, val>> -> SparseVector(40, idx, val).
+def asis_vector(features: Column, size: int = ASIS_VECTOR_SIZE) -> Column:
+    """Parsed LibSVM pairs ARRAY<STRUCT<idx, val>> -> vector of ``size`` with val at idx, else 0.
 
     Index 0 stays unused (indices are 1-based, never shifted); a row without
-    features gives an empty vector.
+    features gives zeros.
     """
-    size = int(size)
+    pairs = F.col(features) if isinstance(features, str) else features
+    kv = F.map_from_entries(pairs)
+    return slots_vector([F.lit(None)] + [F.try_element_at(kv, F.lit(i)) for i in range(1, int(size))])
 
-    @F.udf(VectorUDT())
-    def _mk(pairs):
-        pairs = pairs or []
-        return SparseVector(size, [p[0] for p in pairs], [float(p[1]) for p in pairs])
 
-    return _mk(F.col(features) if isinstance(features, str) else features)
+def slots_vector(slots: list[Column]) -> Column:
+    """Vector of the given slots in order; null slots are 0."""
+    return array_to_vector(F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in slots]))
 
 
 def positive_probability(probability: str = "probability") -> Column:

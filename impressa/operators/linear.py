@@ -2,16 +2,17 @@
 
 Rows carry an ``ARRAY<INT>`` of hashed indices.  Training the Bernoulli naive
 Bayes model is one grouped aggregate per index (partial aggregation before the
-shuffle, so a very common index costs one row per task), scoring is an explode,
-an equi-join with the weight table and a ``sum`` per row.
+shuffle, so a very common index costs one row per task).  Scoring is a narrow
+map: the weights of a bounded hash space are one array, a scalar of the query,
+and each row adds up its entries.
 
 Weights are fixed point (``round(w * SCALE)`` as BIGINT): sums of integers do
 not depend on the order of addition, so scores are bit-identical across runs,
 partitionings and engines, and ties in the score stay ties.
 
-The weight table has at most ``m`` rows (the hash-space size, a parameter), so
-it is broadcast when ``m`` is at most ``BROADCAST_MAX_ROWS``; above that the
-join shuffles on ``idx`` and AQE splits skewed index partitions.
+The array has exactly ``m`` entries (the hash-space size, a parameter); above
+``DENSE_MAX`` of them rows are exploded and joined with the weight table
+instead, shuffled on ``idx`` with AQE splitting skewed partitions.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from impressa.sources.sinks import stage
 
 SCALE = 1_000_000_000
-BROADCAST_MAX_ROWS = 1 << 22  # 4M (idx INT, w BIGINT) rows, ~50 MB
+DENSE_MAX = 1 << 22  # entries of the weight array, 32 MB
 
 
 @dataclass
@@ -92,15 +93,28 @@ def fit_bernoulli_bayes(rows: DataFrame, m: int, label: str = "label", indices:
                        default_w, m, scale)
 
 
+def _dense(model: LinearModel):
+    """All ``m`` weights in index order, as a scalar of the query."""
+    spark = model.weights.sparkSession
+    every = spark.range(model.m).select(F.col("id").cast("int").alias("idx"))
+    entry = F.struct("idx", F.coalesce("w", F.lit(model.default_weight)).alias("w"))
+    return (every.join(model.weights, "idx", "left").agg(F.sort_array(F.collect_list(entry)).alias("a"))
+            .select(F.col("a.w").alias("a")).scalar())
+
+
 def linear_scores(rows: DataFrame, model: LinearModel, key: str = "row_id",
-                  indices: str = "indices", keep: tuple = ("label",)) -> DataFrame:
+                  indices: str = "indices", keep: tuple = ("label",), dense_max: int = DENSE_MAX) -> DataFrame:
     """M3 (SQL form): (key, *keep, score BIGINT, p DOUBLE) per row.
 
-    Rows without features keep their intercept-only score (``explode_outer``).
+    Rows without features keep their intercept-only score.
     """
+    if model.m <= dense_max:
+        ids = F.coalesce(F.col(indices), F.array().cast("array<int>"))
+        out = rows.withColumns({"_w": _dense(model), "_ids": ids})
+        s = F.aggregate("_ids", F.lit(0).cast("bigint"), lambda a, i: a + F.get(F.col("_w"), i))
+        out = out.select(key, *keep, (F.lit(model.intercept) + s).cast("bigint").alias("score"))
+        return out.withColumn("p", sigmoid_fixed(F.col("score"), model.scale))
     w = model.weights
-    if model.m <= BROADCAST_MAX_ROWS:
-        w = F.broadcast(w)
     exploded = rows.select(key, *keep, F.explode_outer(indices).alias("idx"))
     joined = exploded.join(w, "idx", "left")
     term = F.when(F.col("idx").isNull(), F.lit(0)).otherwise(

@@ -56,7 +56,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "p",
     tot = hist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = int(tot["P"] or 0), int(tot["N"] or 0)
     cum = prefix_sums(hist, ["neg_score"], {"tp": F.col("pos"), "fp": F.col("neg")},
-                      "neg_score", inclusive=True, buckets=buckets)
+                      inclusive=True, ranges=buckets)
     spark = df.sparkSession
     start = spark.createDataFrame([(float("inf"), 0, 0)], "threshold double, tp bigint, fp bigint")
     body = cum.select(F.col("score").alias("threshold"), "tp", "fp")
@@ -73,8 +73,8 @@ def metrics_from_histogram(hist: DataFrame, eps: float = LOGLOSS_EPS,
     One row (n, positives, roc_auc, log_loss).  AUC counts pairs exactly:
     sum over scores of pos*(2*neg_below + neg) / (2*P*N).
     """
-    below = prefix_sums(hist, ["score"], {"neg_below": F.col("neg")}, "score",
-                        inclusive=False, buckets=buckets)
+    below = prefix_sums(hist, ["score"], {"neg_below": F.col("neg")},
+                        inclusive=False, ranges=buckets)
     pos, neg, nb = (F.col(c).cast(D38) for c in ("pos", "neg", "neg_below"))
     q = clipped("score", eps)
     ll = F.col("pos") * -F.log(q) + F.col("neg") * -F.log(1.0 - q)

@@ -1,138 +1,89 @@
 """Distributed global order operators: W1 (row index), W2 (prefix sums), O1, O3.
 
 A ``row_number()`` or running ``sum`` over an unpartitioned window moves every
-row into one task.  Instead, rows are split into ordered range buckets:
-
-1. ``approxQuantile`` on a numeric key that is non-decreasing in the sort order
-   gives B-1 split points (a small list on the driver; one pruned scan).
-2. ``Bucketizer`` (JVM binary search) assigns each row its bucket; the bucket
-   is a pure function of the row, so a recomputed partition after an executor
-   loss lands in the same bucket.
-3. One aggregate yields per-bucket totals (B rows); their exclusive prefix is
-   carried back as an array literal, so no join is needed.
-4. A window partitioned by bucket finishes the job inside each bucket.
-
-B is bounded by the caller (default: 2 x shuffle partitions), so what reaches
-the driver never grows with the data.  A key value shared by many rows only
-makes its bucket bigger; it never merges buckets into one task beyond it.
+row into one task.  Instead, rows are cut into ordered ranges of the whole
+order tuple (``repartitionByRange``, sampled bounds), and the ranges are staged
+with their number, so that every later job, also one rerun after an executor
+loss, sees the same cut.  Totals per range (one row per range) give each range
+its offset by a small join, and a window inside each range finishes the job.
+
+The cut is on the tuple, so a value that many rows share is split by the
+columns after it, ids of any size are compared as they are, and nulls come
+first in the cut as in the windows.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
-MAX_BUCKETS = 100_000
-
+from impressa.sources.sinks import stage
 
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, 2 * n))
+RANGE = "_range"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def range_splits(df: DataFrame, key: str, buckets: int, rel_err: float | None = None) -> list[float]:
-    """Split points for ``buckets`` ordered ranges of ``key`` (driver gets B+1 floats)."""
-    buckets = max(1, min(MAX_BUCKETS, int(buckets)))
-    inner: list[float] = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        err = rel_err if rel_err is not None else 1.0 / (4 * buckets)
-        qs = df.approxQuantile(key, probs, err)
-        inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-    return [-math.inf] + [q for q in inner if math.isfinite(q)] + [math.inf]
-
-
-def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None,
-                      splits: list[float] | None = None) -> tuple[DataFrame, int]:
-    """Add ``_bucket`` (INT, non-decreasing in ``key``); returns (df, bucket count)."""
-    if splits is None:
-        splits = range_splits(df, key, buckets or default_buckets(df))
-    if len(splits) < 3:  # one range (one bucket, or a single distinct key value)
-        return df.withColumn(BUCKET, F.lit(0)), 1
-    tmp = "_bucket_key"
-    staged = df.withColumn(tmp, F.col(key).cast("double"))
-    out = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET,
-                     handleInvalid="keep").transform(staged)
-    out = out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
-    return out, len(splits)  # 'keep' adds one bucket (NaN) after the last split
-
-
-def _offsets_column(bucketed: DataFrame, n_buckets: int, sums: dict[str, Column]) -> dict[str, Column]:
-    """Per-bucket exclusive prefix of each sum, as ``element_at(literal array, bucket+1)``."""
-    aggs = [F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()]
-    totals = {r[BUCKET]: r for r in bucketed.groupBy(BUCKET).agg(*aggs).collect()}
-    out = {}
-    for k in sums:
-        acc, arr = 0, []
-        for b in range(n_buckets + 1):
-            arr.append(acc)
-            row = totals.get(b)
-            if row is not None and row[k] is not None:
-                acc += row[k]
-        lit = F.lit(arr)
-        out[k] = F.element_at(lit, F.col(BUCKET) + 1)
-    return out
-
-
-def global_index(df: DataFrame, order_by: list, bucket_key: str, out: str = "row_idx",
-                 buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in the total order ``order_by``.
-
-    ``order_by`` must end in a unique key.  ``bucket_key`` is a numeric column
-    that is non-decreasing along ``order_by`` (the first sort key itself when it
-    is numeric, or a numeric prefix of it).
-    """
-    bucketed, nb = with_range_bucket(df, bucket_key, buckets)
-    offs = _offsets_column(bucketed, nb, {"n": F.lit(1).cast("bigint")})
-    w = Window.partitionBy(BUCKET).orderBy(*[_col(c) for c in order_by])
-    return (bucketed
-            .withColumn(out, (offs["n"] + F.row_number().over(w) - 1).cast("bigint"))
-            .drop(BUCKET))
+def cut_ranges(df: DataFrame, order_by: list, ranges: int | None = None) -> DataFrame:
+    """``df`` staged in ordered ranges of the tuple ``order_by``, with their number in ``_range``."""
+    n = int(ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = df.repartitionByRange(max(1, n), *[_col(c).asc() for c in order_by])
+    return stage(parts.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
+def _with_offsets(cut: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, str]]:
+    """Add ``_before_<name>``: the sum over all earlier ranges (a join with one row per range)."""
+    totals = sorted(cut.groupBy(RANGE).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()]).collect())
+    names = {k: f"_before_{k}" for k in sums}
+    rows, acc = [], dict.fromkeys(sums, 0)
+    for t in totals:
+        rows.append((t[RANGE], *acc.values()))
+        acc = {k: acc[k] + t[k] for k in acc}
+    types = cut.select(*[F.sum(v).alias(k) for k, v in sums.items()]).schema
+    schema = ", ".join([f"{RANGE} int"] + [f"{names[k]} {types[k].dataType.simpleString()}" for k in sums])
+    return cut.join(cut.sparkSession.createDataFrame(rows, schema), RANGE), names
+
+
+def global_index(df: DataFrame, order_by: list, out: str = "row_idx", ranges: int | None = None) -> DataFrame:
+    """0-based position of each row in the total order ``order_by`` (ends in a unique key; nulls first)."""
+    cut, names = _with_offsets(cut_ranges(df, order_by, ranges), {"n": F.lit(1).cast("bigint")})
+    w = Window.partitionBy(RANGE).orderBy(*[_col(c) for c in order_by])
+    return (cut.withColumn(out, (F.col(names["n"]) + F.row_number().over(w) - 1).cast("bigint"))
+            .drop(RANGE, *names.values()))
 
 
-def prefix_sums(df: DataFrame, order_by: list, values: dict[str, Column], bucket_key: str,
-                inclusive: bool = True, buckets: int | None = None) -> DataFrame:
-    """Running sums of ``values`` along ``order_by`` (a total order).
+def prefix_sums(df: DataFrame, order_by: list, values: dict[str, Column], inclusive: bool = True,
+                ranges: int | None = None) -> DataFrame:
+    """Running sums of ``values`` along the total order ``order_by``.
 
     Adds one column per entry of ``values``; inclusive sums count the current
     row, exclusive ones only the rows before it.
     """
-    bucketed, nb = with_range_bucket(df, bucket_key, buckets)
-    offs = _offsets_column(bucketed, nb, values)
-    frame = (Window.partitionBy(BUCKET).orderBy(*[_col(c) for c in order_by])
+    cut, names = _with_offsets(cut_ranges(df, order_by, ranges), values)
+    frame = (Window.partitionBy(RANGE).orderBy(*[_col(c) for c in order_by])
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = bucketed
     for k, v in values.items():
-        running = offs[k] + F.sum(v).over(frame)
-        out = out.withColumn(k, running if inclusive else running - v)
-    return out.drop(BUCKET)
+        running = F.col(names[k]) + F.sum(v).over(frame)
+        cut = cut.withColumn(k, running if inclusive else running - v)
+    return cut.drop(RANGE, *names.values())
 
 
-def md5_order_key(c) -> tuple[Column, Column]:
-    """(md5 hex of the value's text, numeric 52-bit prefix of it) for O1/R2 orders."""
-    h = F.md5(_col(c).cast("string"))
-    return h, F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint")
+def md5_order_key(c) -> Column:
+    """md5 hex of the value's text: the order of O1 and R2."""
+    return F.md5(_col(c).cast("string"))
 
 
 def shuffle_order(df: DataFrame, index_col: str, out: str = "shuffle_pos",
-                  buckets: int | None = None) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """O1: deterministic pseudo-random permutation: ascending md5(text of index).
 
     Returns ``df`` with ``out`` = position in the shuffled order; the md5 text
     is unique per index, so the order is total.
     """
-    h, prefix = md5_order_key(index_col)
-    staged = df.withColumn("_shuffle_md5", h).withColumn("_shuffle_prefix", prefix)
-    return global_index(staged, ["_shuffle_md5"], "_shuffle_prefix", out, buckets) \
-        .drop("_shuffle_md5", "_shuffle_prefix")
+    h = "_shuffle_md5"
+    return global_index(df.withColumn(h, md5_order_key(index_col)), [h], out, ranges).drop(h)
 
 
 def sorted_shuffle(df: DataFrame, index_col: str) -> DataFrame:
@@ -140,18 +91,16 @@ def sorted_shuffle(df: DataFrame, index_col: str) -> DataFrame:
     return df.orderBy(F.md5(F.col(index_col).cast("string")))
 
 
-def take_first(df: DataFrame, order_by: list, n: int, bucket_key: str | None = None,
-               small_limit: int = 100_000, buckets: int | None = None) -> DataFrame:
-    """O3: exactly min(n, N) first rows of a total order.
+def take_first(df: DataFrame, order_by: list, n: int, ranges: int | None = None) -> DataFrame:
+    """O3: exactly min(n, N) first rows of a total order, for any ``n``.
 
-    Small ``n``: ``orderBy().limit(n)`` plans as TakeOrdered (per-partition
-    top-n, then a merge of at most n rows per partition).  Large ``n``: W1 then
-    a filter, so no task ever holds more than its bucket.
+    Ranges that end within the first n rows pass whole, later ones not at all;
+    only the range that holds the n-th row is numbered.
     """
     n = int(n)
     if n <= 0:
         return df.limit(0)
-    if n <= small_limit or bucket_key is None:
-        return df.orderBy(*[_col(c) for c in order_by]).limit(n)
-    idx = global_index(df, order_by, bucket_key, "_take_idx", buckets)
-    return idx.filter(F.col("_take_idx") < n).drop("_take_idx")
+    cut, names = _with_offsets(cut_ranges(df, order_by, ranges), {"n": F.lit(1).cast("bigint")})
+    w = Window.partitionBy(RANGE).orderBy(*[_col(c) for c in order_by])
+    kept = cut.where(F.col(names["n"]) < n).withColumn("_nth", F.col(names["n"]) + F.row_number().over(w))
+    return kept.where(F.col("_nth") <= n).drop(RANGE, "_nth", *names.values())

@@ -28,12 +28,11 @@ def pivot_metric(df: DataFrame, metric: str, x: str = "train_size", series: str
 
 def outer_merge(df: DataFrame, metric: str, x: str = "train_size", series: str = "engine",
                 series_values: list[str] | None = None) -> DataFrame:
-    """The reference's ``reduce(merge(how='outer'))``: one table per series,
-    renamed to the series name, full-outer-joined on x.  Same result as V1."""
+    """One column per series, matched on x, sizes of any series kept: one grouped aggregate."""
     if series_values is None:
         series_values = sorted(r[0] for r in df.select(series).distinct().collect())
-    parts = [df.filter(F.col(series) == s).select(x, F.col(metric).alias(s)) for s in series_values]
-    return reduce(lambda a, b: a.join(b, x, "full_outer"), parts)
+    cols = [F.max(F.when(F.col(series) == s, F.col(metric))).alias(s) for s in series_values]
+    return df.where(F.col(series).isin(series_values)).groupBy(x).agg(*cols)
 
 
 def best_per_size(df: DataFrame, metric: str, lower_is_better: bool = True,

@@ -42,14 +42,18 @@ def bernoulli_sample(df: DataFrame, key: str, fraction: float, salt: str) -> Dat
     return df.filter(hash_prefix(sample_hash(key, salt)) < F.lit(cut))
 
 
+class SampleShort(RuntimeError):
+    pass
+
+
 def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None = None,
-                 oversample: float = 1.03, small_limit: int = 100_000) -> DataFrame:
+                 oversample: float = 1.03) -> DataFrame:
     """R2: exactly min(n, N) rows: the n smallest (md5(salt:key), key).
 
     A Bernoulli pre-filter at ``oversample * n / N`` trims the input without a
-    shuffle; if it keeps fewer than n rows the threshold doubles until it does,
-    so the size is guaranteed.  The cut inside the kept rows is O3 (TakeOrdered
-    for small n, distributed row index for large n).
+    shuffle; if it keeps fewer than n rows the threshold doubles until it does.
+    The cut inside the kept rows is O3.  Null keys have no place in the order:
+    reading one raises, and so does a sample that comes out short.
     """
     n = int(n)
     total = df.count() if total is None else int(total)
@@ -57,17 +61,18 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
         return df.limit(0)
     if n >= total:
         return df
-    h = sample_hash(key, salt)
-    staged = df.withColumn("_h", h).withColumn("_hp", hash_prefix(F.col("_h")))
+    h = F.coalesce(sample_hash(key, salt), F.raise_error(F.lit(f"null sampling key {key}")).cast("string"))
+    hashed = df.withColumn("_h", h).withColumn("_hp", hash_prefix(F.col("_h")))
     frac = min(1.0, oversample * n / total)
     while True:
-        cut = int(frac * PREFIX_RANGE)
-        kept = staged.filter(F.col("_hp") < F.lit(cut))
-        if frac >= 1.0 or kept.count() >= n:
+        kept = hashed.filter(F.col("_hp") < F.lit(int(frac * PREFIX_RANGE)))
+        have = kept.count()
+        if have >= n:
             break
+        if frac >= 1.0:
+            raise SampleShort(f"{have} rows, {n} asked of {total}")
         frac = min(1.0, frac * 2)
-    out = take_first(kept, ["_h", key], n, bucket_key="_hp", small_limit=small_limit)
-    return out.drop("_h", "_hp")
+    return take_first(kept, ["_h", key], n).drop("_h", "_hp")
 
 
 def count_per_day(df: DataFrame, day: str = "day") -> DataFrame:

@@ -160,17 +160,11 @@ def a2_count_per_day(spark, sf):
 
 # ---------------------------------------------------------------- global order
 
-def _user_event_key():
-    # (user_id, event_id) packed into one double; monotone for ids below 2^32
-    return F.col("user_id_k").cast("double") * float(1 << 32) + F.col("event_id").cast("double")
-
-
 @register("w1_row_index", W(
     "SELECT event_id, row_number() OVER (ORDER BY i2, event_id) - 1 AS row_idx FROM imp"))
 def w1_row_index(spark, sf):
     imp = load_impressions(spark, sf).select("event_id", F.col("i2").alias("user_id_k"))
-    keyed = imp.withColumn("_k", _user_event_key())
-    return ordering.global_index(keyed, ["user_id_k", "event_id"], "_k", "row_idx") \
+    return ordering.global_index(imp, ["user_id_k", "event_id"], "row_idx") \
         .select("event_id", "row_idx")
 
 
@@ -180,8 +174,7 @@ def w1_row_index(spark, sf):
 def w2_prefix_sum(spark, sf):
     imp = load_impressions(spark, sf).select(
         "event_id", F.col("i2").alias("user_id_k"), F.col("label_click").cast("bigint").alias("c"))
-    keyed = imp.withColumn("_k", _user_event_key())
-    out = ordering.prefix_sums(keyed, ["user_id_k", "event_id"], {"cum_clicks": F.col("c")}, "_k")
+    out = ordering.prefix_sums(imp, ["user_id_k", "event_id"], {"cum_clicks": F.col("c")})
     return out.select("event_id", F.col("cum_clicks").cast("bigint").alias("cum_clicks"))
 
 
@@ -190,7 +183,7 @@ def w2_prefix_sum(spark, sf):
     "AS shuffle_pos FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM imp)"))
 def o1_shuffle_order(spark, sf):
     imp = load_impressions(spark, sf).select("event_id")
-    idx = ordering.global_index(imp, ["event_id"], "event_id", "row_idx")
+    idx = ordering.global_index(imp, ["event_id"], "row_idx")
     return ordering.shuffle_order(idx, "row_idx", "shuffle_pos")
 
 
@@ -201,9 +194,8 @@ TAKE_N = 1000
     f"SELECT event_id FROM imp ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT {TAKE_N}"))
 def o3_take_n(spark, sf):
     imp = load_impressions(spark, sf).select("event_id")
-    h, prefix = ordering.md5_order_key("event_id")
-    staged = imp.withColumn("_h", h).withColumn("_hp", prefix)
-    return ordering.take_first(staged, ["_h", "event_id"], TAKE_N, "_hp").select("event_id")
+    hashed = imp.withColumn("_h", ordering.md5_order_key("event_id"))
+    return ordering.take_first(hashed, ["_h", "event_id"], TAKE_N).select("event_id")
 
 
 # ---------------------------------------------------------------- sampling
@@ -505,14 +497,14 @@ def _sweep_sql(body: str) -> str:
     ctes = O.bayes_sweep_ctes(SWEEP_LADDER, list(SWEEP_HASH_SPACES),
                               [names.py_size_to_name(n) for n in SWEEP_LADDER])
     ctes.append("sweep AS (SELECT CASE m WHEN 30000 THEN 'bayes-30k' ELSE 'bayes-100k' END AS engine, "
-                "CAST(size AS BIGINT) AS train_size, roc_auc, log_loss FROM met)")
+                "CAST(least(size, (SELECT n FROM ntrain)) AS BIGINT) AS train_size, roc_auc, log_loss FROM met)")
     return W(body, *ctes)
 
 
 def _sweep(spark, sf):
-    from impressa.plans.experiment import metric_table
+    from impressa.plans.experiment import bayes_sweep
 
-    return metric_table(spark, sf)
+    return bayes_sweep(spark, sf)
 
 
 @register("m6_learning_curve", _sweep_sql("SELECT * FROM sweep"))
@@ -578,14 +570,16 @@ def v4_combine_tables(spark, sf):
 
 
 @register("s7_scan_metrics", _sweep_sql(
-    "SELECT engine, train_size, roc_auc, log_loss, CAST(NULL AS DOUBLE) AS train_time FROM sweep"))
+    "SELECT engine, train_size, roc_auc, log_loss, CAST(NULL AS DOUBLE) AS train_time, "
+    "train_size * 2 AS max_memory, 0.5 AS cpu_load FROM sweep"))
 def s7_scan_metrics(spark, sf):
     """K6 + S7: metric rows appended as TSV (header per append), read back typed."""
     from impressa.session import staging_dir
     from impressa.sources import sinks
     from impressa.sources.impressions import read_metrics
 
-    sw = _sweep(spark, sf).withColumn("train_time", F.lit(None).cast("double"))
+    sw = _sweep(spark, sf).withColumns({"train_time": F.lit(None).cast("double"),
+                                        "max_memory": F.col("train_size") * 2, "cpu_load": F.lit(0.5)})
     path = staging_dir(spark, "metrics-tsv")
     for eng in ENGINES:
         sinks.append_metrics(sw.filter(F.col("engine") == eng), path)
@@ -679,7 +673,8 @@ def a7_evaluator_auc(spark, sf):
 
 
 @register("s4_load_hashed", W(
-    f"SELECT CAST(label AS DOUBLE) AS label, CAST(len({O.hashed_indices(M)}) AS INTEGER) AS nnz FROM imp"))
+    f"SELECT label, CAST(len(ix) AS INTEGER) AS nnz, array_to_string(ix, ',') AS indices FROM "
+    f"(SELECT CAST(label AS DOUBLE) AS label, {O.hashed_indices(M)} AS ix FROM imp)"))
 def s4_load_hashed(spark, sf):
     """Sample written as LibSVM text, loaded as a hashed-vector ML dataset."""
     from impressa.session import staging_dir
@@ -689,13 +684,16 @@ def s4_load_hashed(spark, sf):
     imp = load_impressions(spark, sf)
     sinks.write_text(imp.select(encode.libsvm_line().alias("value")), root + "/10kk")
     df = mldata.load_ml_data(spark, root + "/{}", 10_000_000, partitions=8)
-    return df.select("label", F.udf(lambda v: int(v.numNonzeros()), "int")("features").alias("nnz"))
+    # a sparse vector's text is (size,[indices],[values])
+    indices = F.regexp_extract(F.col("features").cast("string"), r"\[([^\]]*)\]", 1)
+    return df.select("label", F.size(F.filter(F.split(indices, ","), lambda x: x != "")).alias("nnz"),
+                     indices.alias("indices"))
 
 
 @register("s5_load_asis", W(
-    "SELECT CAST(label AS DOUBLE) AS label, " + " + ".join(
-        f"COALESCE(CAST({c} AS DOUBLE), 0.0)" for c in NUMERIC_COLS + [O.hex_to_uint(c) for c in CATEGORICAL_COLS])
-    + " AS value_sum FROM imp"))
+    "SELECT CAST(label AS DOUBLE) AS label, concat_ws(',', '0', " + ", ".join(
+        f"CAST(COALESCE({c}, 0) AS BIGINT)" for c in NUMERIC_COLS + [O.hex_to_uint(c) for c in CATEGORICAL_COLS])
+    + ") AS slots FROM imp"))
 def s5_load_asis(spark, sf):
     """Sample written as LibSVM text, loaded as an as-is ML dataset."""
     from impressa.session import staging_dir
@@ -707,8 +705,8 @@ def s5_load_asis(spark, sf):
     df = mldata.load_ml_data_asis(spark, root + "/{}", 10_000_000, partitions=8)
     from pyspark.ml.functions import vector_to_array
 
-    return df.select("label", F.aggregate(vector_to_array("features"), F.lit(0.0),
-                                          lambda a, b: a + b).alias("value_sum"))
+    slots = F.transform(vector_to_array("features"), lambda v: v.cast("bigint").cast("string"))
+    return df.select("label", F.concat_ws(",", slots).alias("slots"))
 
 
 @register("p16_positive_probability")
@@ -771,10 +769,9 @@ R2_LARGE_SALT = names.py_size_to_name(R2_LARGE_N)
     "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY " +
     O.sample_hash("event_id", R2_LARGE_SALT) + f", event_id) AS rn FROM imp) WHERE rn <= {R2_LARGE_N}"))
 def r2_exact_sample_indexed(spark, sf):
-    """R2 through its large-n path: the cut is the distributed row index (W1) over
-    the salted-hash order instead of TakeOrdered."""
+    """R2 at half of the rows."""
     imp = load_impressions(spark, sf).select("event_id")
-    return sampling.exact_sample(imp, "event_id", R2_LARGE_N, salt=R2_LARGE_SALT, small_limit=0)
+    return sampling.exact_sample(imp, "event_id", R2_LARGE_N, salt=R2_LARGE_SALT)
 
 
 TAKE_LARGE_N = 7000
@@ -783,10 +780,7 @@ TAKE_LARGE_N = 7000
 @register("o3_take_n_indexed", W(
     f"SELECT event_id FROM imp ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT {TAKE_LARGE_N}"))
 def o3_take_n_indexed(spark, sf):
-    """O3 through its large-n path: distributed row index then a filter, so no
-    task merges the first n rows."""
+    """O3 at most of the rows."""
     imp = load_impressions(spark, sf).select("event_id")
-    h, prefix = ordering.md5_order_key("event_id")
-    staged = imp.withColumn("_h", h).withColumn("_hp", prefix)
-    return ordering.take_first(staged, ["_h", "event_id"], TAKE_LARGE_N, "_hp",
-                               small_limit=0).select("event_id")
+    hashed = imp.withColumn("_h", ordering.md5_order_key("event_id"))
+    return ordering.take_first(hashed, ["_h", "event_id"], TAKE_LARGE_N).select("event_id")

@@ -60,7 +60,7 @@ def bayes_sweep(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_L
             model = linear.fit_bernoulli_bayes(tr, m)
             met = metrics.binary_metrics(linear.linear_scores(test, model, key="event_id"))
             cells.append(met.select(F.lit(engine).alias("engine"),
-                                    F.lit(int(n)).cast("bigint").alias("train_size"),
+                                    F.lit(min(int(n), total)).cast("bigint").alias("train_size"),
                                     "roc_auc", F.round("log_loss", 9).alias("log_loss")))
     out = cells[0]
     for c in cells[1:]:
@@ -68,26 +68,13 @@ def bayes_sweep(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_L
     return stage(out, "bayes-sweep", files=1)
 
 
-_SWEEP_CACHE: dict[tuple, str] = {}
-
-
-def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deterministic metric table of ``sf_dir`` (computed once per process)."""
-    key = (id(spark.sparkContext), sf_dir)
-    if key not in _SWEEP_CACHE:
-        df = bayes_sweep(spark, sf_dir)
-        _SWEEP_CACHE[key] = df.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.read.parquet(_SWEEP_CACHE[key])
-
-
 def ml_datasets(spark: SparkSession, sf_dir: str, kind: str, m: int = 100_000):
     """(train, test) ML datasets: hashed vectors for linear/bayes, as-is for trees."""
     if kind in ("lr", "bayes"):
         train, test = hashed_split(spark, sf_dir, m)
         return mldata.hashed_dataset(train, m), mldata.hashed_dataset(test, m)
     imp = load_impressions(spark, sf_dir)
-    rows = stage(mldata.asis_dataset(imp).join(imp.select("event_id", "day"), "event_id"),
-                 "asis-rows", partition_by="day")
+    rows = stage(mldata.asis_dataset(imp, "event_id", "day"), "asis-rows", partition_by="day")
     train, test = sampling.holdout_split(rows)
     return train.drop("day"), test.drop("day")
 
@@ -108,7 +95,7 @@ def ml_sweep(spark: SparkSession, sf_dir: str, kinds: Iterable[str], sizes: Iter
                 model, secs = learn.fit_timed(
                     learn.make_classifier(kind, **(overrides or {}).get(kind, {})), cached)
             ev = learn.evaluate(model, test)
-            rows.append((kind, int(n), ev["test_roc_auc"], ev["test_log_loss"], float(secs)))
+            rows.append((kind, min(int(n), total), ev["test_roc_auc"], ev["test_log_loss"], float(secs)))
     return spark.createDataFrame(
         rows, "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
 

@@ -16,6 +16,7 @@ from impressa.functions import encode
 from impressa.functions.names import py_size_to_name
 from impressa.operators import ordering, sampling
 from impressa.sources import sinks
+from impressa.sources.sinks import stage
 
 
 def convert_chunks(spark: SparkSession, chunks: Iterable, in_template: str, out_template: str,
@@ -52,13 +53,13 @@ def libsvm_to_vw(df: DataFrame) -> DataFrame:
 
 
 def file_order_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
-    """W1 in input order (``zipWithIndex``): 0-based, contiguous.
+    """W1 in input order: 0-based, contiguous.
 
-    ``monotonically_increasing_id`` is increasing in scan order and fixed for a
-    given file split, so it is a valid bucket key for the distributed index.
+    The scan position is staged with the rows before it is used, so every
+    later job sees the same one.
     """
-    return ordering.global_index(df.withColumn("_mono", F.monotonically_increasing_id()),
-                                 ["_mono"], "_mono", out).drop("_mono")
+    placed = stage(df.withColumn("_mono", F.monotonically_increasing_id()), "file-order")
+    return ordering.global_index(placed, ["_mono"], out).drop("_mono")
 
 
 def random_sort(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.schema import FEATURE_COLS, IMPRESSION, METRIC
+from impressa.schema import FEATURE_COLS, IMPRESSION, METRIC_EXTENDED, METRIC_HEADER
 
 DAY_IN_PATH = r"day[=_](\d+)"
 
@@ -61,13 +61,17 @@ def read_key_value_lines(spark: SparkSession, path: str, key: str, value: str,
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric TSV with a (quoted or plain) header, explicit types.
+    """Metric TSV with a (quoted or plain) header, columns found by header name, explicit types.
 
-    Repeated header lines (one per append) are dropped.
+    Repeated header lines (one per append) are dropped; columns that the header
+    lacks are null; an unknown header name or a value that is not of its column's type raises.
     """
-    header_names = ["Engine", "Train size", "ROC AUC", "Log loss", "Train time"]
-    raw = (spark.read.option("sep", "\t").option("header", "false").option("quote", '"')
-           .schema(",".join(f"_c{i} STRING" for i in range(len(header_names)))).csv(path))
-    body = raw.filter(F.col("_c0") != "Engine")
-    return body.select(*[F.col(f"_c{i}").try_cast(f.dataType.simpleString()).alias(f.name)
-                         for i, f in enumerate(METRIC.fields)])
+    head = spark.read.option("sep", "\t").option("quote", '"').option("header", "true").csv(path).columns
+    known = {v: k for k, v in METRIC_HEADER.items()}
+    if unknown := [h for h in head if h not in known]:
+        raise ValueError(f"unknown metric columns: {unknown}")
+    raw = (spark.read.option("sep", "\t").option("header", "false").option("quote", '"').option("mode", "FAILFAST")
+           .schema(", ".join(f"{known[h]} string" for h in head)).csv(path))
+    body = raw.where(F.col(known[head[0]]).isNull() | (F.col(known[head[0]]) != head[0]))
+    return body.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in METRIC_EXTENDED.fields])

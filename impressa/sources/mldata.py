@@ -1,8 +1,7 @@
 """ML datasets from LibSVM text (S4 hashed, S5 as-is) and from impressions.
 
-The reference parses each text line in Python; here the split, bucketing,
-hex rendering and md5 hashing are SQL expressions, and only the final
-SparseVector is built in a UDF.  ``repartition`` spreads rows over the
+The split, bucketing, hex rendering and md5 hashing are SQL expressions, and
+vectors are built in the JVM.  ``repartition`` spreads rows over the
 cluster's cores (M12); pass ``partitions=None`` to keep the scan's split.
 """
 
@@ -47,8 +46,7 @@ def load_ml_data(spark: SparkSession, template: str, sample: int, m: int = DEFAU
                  partitions: int | None = None) -> DataFrame:
     """Hashed-vector dataset of sample ``sample`` (path = template with its name)."""
     lines = spark.read.text(template.format(py_size_to_name(sample)))
-    df = hashed_from_lines(lines, m).select(
-        "label", vectors.binary_vector("indices", m).alias("features"))
+    df = vectors.with_binary_vector(hashed_from_lines(lines, m), "indices", m).select("label", "features")
     return df.repartition(partitions) if partitions else df
 
 
@@ -64,13 +62,15 @@ def load_ml_data_asis(spark: SparkSession, template: str, sample: int,
 
 def hashed_dataset(rows: DataFrame, m: int = DEFAULT_HASH_SPACE, key: str = "event_id") -> DataFrame:
     """(key, label DOUBLE, features) from rows that carry ``indices``."""
-    return rows.select(key, F.col("label").cast("double").alias("label"),
-                       vectors.binary_vector("indices", m).alias("features"))
+    rows = rows.select(key, F.col("label").cast("double").alias("label"), "indices")
+    return vectors.with_binary_vector(rows, "indices", m).select(key, "label", "features")
 
 
-def asis_dataset(imp: DataFrame, key: str = "event_id") -> DataFrame:
-    """(key, label DOUBLE, features size 40) straight from impressions (P1 -> P4 -> P13)."""
-    p = imp.select(key, encode.parse_libsvm(encode.libsvm_line()).alias("r"))
-    return p.select(key, F.col("r.label").cast("double").alias("label"),
-                    vectors.asis_vector("r.features").alias("features"))
+def asis_dataset(imp: DataFrame, key: str = "event_id", *keep: str) -> DataFrame:
+    """(key, *keep, label DOUBLE, features size 40) straight from impressions."""
+    slot = {FEATURE_INDEX[c]: F.col(c) for c in NUMERIC_COLS}
+    slot |= {FEATURE_INDEX[c]: encode.hex_to_uint(c) for c in CATEGORICAL_COLS}
+    slots = [slot.get(i, F.lit(None)) for i in range(ASIS_VECTOR_SIZE)]
+    return imp.select(key, *keep, F.col("label").cast("double").alias("label"),
+                      vectors.slots_vector(slots).alias("features"))
 

@@ -78,7 +78,7 @@ def write_text(df: DataFrame, path: str, column: str = "value", files: int | Non
     """K1 (+K4 when ``files`` is set): one text line per row."""
     out = df.select(column)
     if files:
-        out = out.coalesce(files)
+        out = out.repartition(files)
     out.write.mode(mode).text(path)
 
 

@@ -21,7 +21,7 @@ from impressa.sources.impressions import DAY_IN_PATH
 def convert_stream(spark: SparkSession, raw_glob: str, out_path: str, checkpoint: str,
                    max_files_per_trigger: int | None = None) -> None:
     """Convert all raw TSV files under ``raw_glob`` not yet converted; wait for it."""
-    reader = (spark.readStream.schema(IMPRESSION).option("sep", "\t").option("header", "false"))
+    reader = (spark.readStream.schema(IMPRESSION).option("sep", "\t").option("header", "false").option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(raw_glob)

@@ -66,3 +66,33 @@ def test_read_metrics_quoted_and_plain(spark):
     rows = sorted(impressions.read_metrics(spark, path).collect())
     assert [(r.engine, r.train_size, r.roc_auc) for r in rows] == [("lr", 30000, 0.5938), ("vw", 10000, 0.617)]
     assert rows[1].train_time == 15.17
+
+
+def test_read_metrics_by_header_name_with_all_columns(spark):
+    import os
+
+    import pytest
+
+    path = staging_dir(spark, "metrics-wide")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.tsv"), "w") as f:
+        f.write("Train size\tEngine\tMaximum memory\tCPU load\tLog loss\n10\tvw\t2048\t0.5\t0.25\n")
+    row = impressions.read_metrics(spark, path).first()
+    assert (row.engine, row.train_size, row.max_memory, row.cpu_load, row.log_loss, row.roc_auc) == ("vw", 10, 2048, 0.5, 0.25, None)
+    with open(os.path.join(path, "a.tsv"), "a") as f:
+        f.write("many\tvw\t1\t1\t1\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        impressions.read_metrics(spark, path).collect()
+
+
+def test_text_conversion_rejects_null_labels_and_malformed_hex(spark):
+    import pytest
+
+    from impressa.functions import encode
+    from impressa.schema import IMPRESSION
+
+    empty = dict.fromkeys(IMPRESSION.names)
+    for bad, told in (({"i1": 5}, "null label"), ({"label": 1, "c14": "xyz"}, "malformed hex")):
+        df = spark.createDataFrame([tuple({**empty, **bad}.values())], IMPRESSION)
+        with pytest.raises(Exception, match=told):
+            df.select(encode.libsvm_line()).collect()

@@ -1,7 +1,6 @@
 import random
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from impressa.operators import ordering, sampling
 
@@ -18,11 +17,18 @@ def test_exact_sample_sizes(spark):
     assert sampling.exact_sample(empty, "k", 10, salt="x").count() == 0
 
 
-def test_exact_sample_large_path_equals_small_path(spark):
+def test_exact_sample_takes_the_smallest_hashes_and_rejects_null_keys(spark):
+    import hashlib
+
+    import pytest
+
     df = _ids(spark, 2000)
-    small = {r.k for r in sampling.exact_sample(df, "k", 300, salt="s").collect()}
-    large = {r.k for r in sampling.exact_sample(df, "k", 300, salt="s", small_limit=0).collect()}
-    assert small == large and len(small) == 300
+    got = {r.k for r in sampling.exact_sample(df, "k", 300, salt="s").collect()}
+    assert got == set(sorted(range(2000), key=lambda k: hashlib.md5(f"s:{k}".encode()).hexdigest())[:300])
+    with pytest.raises(Exception, match="null sampling key"):
+        sampling.exact_sample(df.selectExpr("nullif(k, 7) AS k"), "k", 300, salt="s").collect()
+    with pytest.raises(sampling.SampleShort):
+        sampling.exact_sample(df, "k", 3000, salt="s", total=5000)
 
 
 def test_sample_is_deterministic_and_salted(spark):
@@ -38,16 +44,28 @@ def test_global_index_matches_row_number_with_hot_key(spark):
     # one key value holds a third of the rows
     rows = [(0 if i % 3 == 0 else rnd.randint(1, 50), i) for i in range(900)]
     df = spark.createDataFrame(rows, "g bigint, k bigint").repartition(5)
-    keyed = df.withColumn("_b", F.col("g").cast("double") * 4096 + F.col("k"))
-    got = {r.k: r.row_idx for r in ordering.global_index(keyed, ["g", "k"], "_b", "row_idx", buckets=7).collect()}
+    got = {r.k: r.row_idx for r in ordering.global_index(df, ["g", "k"], "row_idx", ranges=7).collect()}
     want = sorted(rows)
     assert got == {k: i for i, (_, k) in enumerate(want)}
 
 
+def test_global_index_with_large_ids_and_null_keys(spark):
+    rows = [(None if i % 5 == 0 else (1 << 33) + i % 3, (1 << 40) + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g bigint, k bigint").repartition(5)
+    got = {r.k: r.row_idx for r in ordering.global_index(df, ["g", "k"], "row_idx", ranges=6).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+
+
+def test_take_first_any_n(spark):
+    df = _ids(spark, 500)
+    for n in (0, 1, 250, 499, 500, 900):
+        assert sorted(r.k for r in ordering.take_first(df, ["k"], n, ranges=6).collect()) == list(range(min(n, 500)))
+
+
 def test_prefix_sums_inclusive_exclusive(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(200)], "k bigint, v bigint")
-    inc = ordering.prefix_sums(df, ["k"], {"c": F.col("v")}, "k", inclusive=True, buckets=6)
-    exc = ordering.prefix_sums(df, ["k"], {"c": F.col("v")}, "k", inclusive=False, buckets=6)
+    inc = ordering.prefix_sums(df, ["k"], {"c": F.col("v")}, inclusive=True, ranges=6)
+    exc = ordering.prefix_sums(df, ["k"], {"c": F.col("v")}, inclusive=False, ranges=6)
     run, want_inc, want_exc = 0, {}, {}
     for i in range(200):
         want_exc[i] = run
@@ -59,8 +77,8 @@ def test_prefix_sums_inclusive_exclusive(spark):
 
 def test_shuffle_is_a_bijection(spark):
     df = _ids(spark, 300)
-    idx = ordering.global_index(df, ["k"], "k", "row_idx", buckets=4)
-    sh = ordering.shuffle_order(idx, "row_idx", "pos", buckets=4).collect()
+    idx = ordering.global_index(df, ["k"], "row_idx", ranges=4)
+    sh = ordering.shuffle_order(idx, "row_idx", "pos", ranges=4).collect()
     assert sorted(r.pos for r in sh) == list(range(300))
     import hashlib
     want = sorted(range(300), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
@@ -79,8 +97,6 @@ def test_bernoulli_fraction_bounds(spark):
     df = _ids(spark, 1000)
     assert sampling.bernoulli_sample(df, "k", 0.0, "a").count() == 0
     assert sampling.bernoulli_sample(df, "k", 1.0, "a").count() == 1000
-    w = Window.orderBy("k")
-    assert w is not None
 
 
 def test_exact_sample_widens_a_short_prefilter(spark):
@@ -94,11 +110,13 @@ def test_exact_sample_widens_a_short_prefilter(spark):
 def test_pairing_checks_alignment(spark):
     import pytest
 
-    from impressa.operators.pairing import PairingError, pair_by_key
+    from impressa.operators.pairing import UNALIGNED, pair_by_key
 
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "k bigint, label int")
     scores = spark.createDataFrame([(i, 0.1 * i) for i in range(9)], "k bigint, p double")
-    with pytest.raises(PairingError):
-        pair_by_key(labels, scores, "k")
+    repeated = labels.where("k < 9").union(labels.where("k = 0"))
+    for a, b in ((labels, scores), (scores, labels), (repeated, labels), (labels, repeated)):
+        with pytest.raises(Exception, match=UNALIGNED):
+            pair_by_key(a, b, "k").collect()
     assert pair_by_key(labels, scores.union(spark.createDataFrame([(9, .9)], "k bigint, p double")),
                        "k").count() == 10
