@@ -7,8 +7,6 @@ binary counts, turns an index array into the sparse 0/1 vector.  P13:
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,17 +15,19 @@ from pyspark.sql import functions as F
 from impressa.schema import ASIS_VECTOR_SIZE, DEFAULT_HASH_SPACE
 
 
-@lru_cache(maxsize=4)
-def _vocabulary(size: int) -> tuple[str, ...]:
-    return tuple(str(i) for i in range(size))
+def _index_model(df: DataFrame, size: int) -> CountVectorizerModel:
+    """Count vectorizer whose vocabulary is 0..size-1 as text, passed to the JVM as one string."""
+    split = df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(",").split
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", split(",".join(map(str, range(size)))))
+    return model._set(vocabSize=size)
 
 
 def with_binary_vector(df: DataFrame, indices: str = "indices", size: int = DEFAULT_HASH_SPACE,
                        out: str = "features") -> DataFrame:
     """``df`` with ``out``: index array -> sparse vector of ``size`` with 1.0 at each index (null: empty)."""
     texts = "_index_texts"
-    model = CountVectorizerModel.from_vocabulary(list(_vocabulary(int(size))), inputCol=texts, outputCol=out)
-    model.setBinary(True)
+    model = _index_model(df, int(size)).setInputCol(texts).setOutputCol(out).setBinary(True)
     named = F.coalesce(F.col(indices).cast("array<string>"), F.array().cast("array<string>"))
     return model.transform(df.withColumn(texts, named)).drop(texts)
 

@@ -571,7 +571,7 @@ def v4_combine_tables(spark, sf):
 
 @register("s7_scan_metrics", _sweep_sql(
     "SELECT engine, train_size, roc_auc, log_loss, CAST(NULL AS DOUBLE) AS train_time, "
-    "train_size * 2 AS max_memory, 0.5 AS cpu_load FROM sweep"))
+    "train_size * 2 AS max_memory, CAST(0.5 AS DOUBLE) AS cpu_load FROM sweep"))
 def s7_scan_metrics(spark, sf):
     """K6 + S7: metric rows appended as TSV (header per append), read back typed."""
     from impressa.session import staging_dir
