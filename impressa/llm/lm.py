@@ -47,8 +47,8 @@ from impressa.sources.sinks import stage
 #: A text's end; no word can hold a line break.
 END = b"\n"
 TOP = 1 << 18
-MAX_BYTES = 96 << 20
-BITS = 8
+MAX_BYTES = 64 << 20
+BITS = 6
 PROBES = 3
 LEVELS = 40
 SMOOTH = 2.0
@@ -277,12 +277,11 @@ def fit(texts: DataFrame) -> Fitted:
     often = counts.where(F.col("c") >= least).orderBy("word").collect()
     frequent = np.array([r["word"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
-    data: list[bytes] = [b"\0" * 8] * segments
-    for r in built.select("segment", "data").collect():
-        data[r["segment"]] = bytes(r["data"])
-    size = np.array([len(d) for d in data], np.int64)
-    return Fitted(Model(b"".join(data), np.cumsum(size) - size, (size * 8).astype(np.uint64), frequent[order],
-                        np.array([r["c"] for r in often], np.int64)[order], total, vocabulary), counts, least)
+    data, starts, bits = bytearray(8), np.zeros(segments, np.int64), np.full(segments, 64, np.uint64)
+    for r in built.select("segment", "data").toLocalIterator():
+        starts[r["segment"]], bits[r["segment"]] = len(data), len(r["data"]) * 8
+        data += r["data"]
+    return Fitted(Model(bytes(data), starts, bits, frequent[order], np.array([r["c"] for r in often], np.int64)[order], total, vocabulary), counts, least)
 
 
 def score(docs: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
