@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = stage(boilerplate(rows, min_sites), "line-boilerplate")
     hits = rows.join(lines, "line", "left_semi")
     doc = F.struct(KEY[1], KEY[0], KEY[2])
-    first = hits.groupBy("line").agg(F.min(doc).alias("first"))
+    first = stage(hits.groupBy("line").agg(F.min(doc).alias("first")), "line-first")
     gone = (hits.join(first, "line").where(doc != F.col("first"))
             .groupBy(*KEY).agg(F.collect_set("pos").alias("__llm_gone")))
     gone = stage(gone, "line-removed")
