@@ -29,20 +29,31 @@ LR_PARAMS = dict(regParam=0.03)
 RF_PARAMS = dict(featureSubsetStrategy="sqrt", impurity="entropy", minInstancesPerNode=3,
                  maxBins=64, maxDepth=10, numTrees=160)
 # Boosted trees with logistic loss: depth 7, 200 rounds, eta 0.2, row subsample
-# 0.8, column subsample 0.8.  (L1/L2 leaf penalties and min child weight have
-# no Spark equivalent.)
+# 0.8, column subsample 0.8; split loss reduction 0.4 and child weight 20 are
+# sums over rows, see ``gbt_limits``.  (L1/L2 leaf penalties have no Spark equivalent.)
 GBT_PARAMS = dict(maxDepth=7, maxIter=200, stepSize=0.2, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8")
+GBT_GAMMA, GBT_CHILD_WEIGHT = 0.4, 20
 
 
-def make_classifier(kind: str, **overrides):
-    """M1 'lr', M2 'rf', M4 'gbt', M5 'tree' / 'bayes'."""
+def gbt_limits(rows: int) -> dict:
+    """Spark's per-row forms of the split limits for ``rows`` train rows (approximate).
+
+    A row weighs at most 1/4 in the child weight (logistic loss), so a child
+    needs four times as many rows.
+    """
+    rows = max(1, rows)
+    return dict(minInfoGain=GBT_GAMMA / rows, minWeightFractionPerNode=min(0.49, 4 * GBT_CHILD_WEIGHT / rows))
+
+
+def make_classifier(kind: str, rows: int | None = None, **overrides):
+    """M1 'lr', M2 'rf', M4 'gbt', M5 'tree' / 'bayes'; ``rows``: train rows, for the limits of 'gbt'."""
     if kind == "lr":
         return LogisticRegression(**{**LR_PARAMS, **overrides})
     if kind == "rf":
         return RandomForestClassifier(seed=SEED, **{**RF_PARAMS, **overrides})
     if kind == "gbt":
-        return GBTClassifier(seed=SEED, **{**GBT_PARAMS, **overrides})
+        return GBTClassifier(seed=SEED, **{**GBT_PARAMS, **(gbt_limits(rows) if rows else {}), **overrides})
     if kind == "tree":
         return DecisionTreeClassifier(seed=SEED, **overrides)
     if kind == "bayes":

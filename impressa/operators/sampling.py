@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impressa.operators.ordering import take_first
+from impressa.sources.sinks import stage
 
 PREFIX_DIGITS = 13              # 52 bits: exact in a double
 PREFIX_RANGE = 1 << (4 * PREFIX_DIGITS)
@@ -42,6 +43,10 @@ def bernoulli_sample(df: DataFrame, key: str, fraction: float, salt: str) -> Dat
     return df.filter(hash_prefix(sample_hash(key, salt)) < F.lit(cut))
 
 
+def _strict_hash(key: str, salt: str) -> Column:
+    return F.coalesce(sample_hash(key, salt), F.raise_error(F.lit(f"null sampling key {key}")).cast("string"))
+
+
 class SampleShort(RuntimeError):
     pass
 
@@ -61,8 +66,7 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
         return df.limit(0)
     if n >= total:
         return df
-    h = F.coalesce(sample_hash(key, salt), F.raise_error(F.lit(f"null sampling key {key}")).cast("string"))
-    hashed = df.withColumn("_h", h).withColumn("_hp", hash_prefix(F.col("_h")))
+    hashed = df.withColumn("_h", _strict_hash(key, salt)).withColumn("_hp", hash_prefix(F.col("_h")))
     frac = min(1.0, oversample * n / total)
     while True:
         kept = hashed.filter(F.col("_hp") < F.lit(int(frac * PREFIX_RANGE)))
@@ -75,6 +79,32 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
     return take_first(kept, ["_h", key], n).drop("_h", "_hp")
 
 
+def exact_samples(df: DataFrame, key: str, sizes: dict[str, int], total: int | None = None,
+                  oversample: float = 1.03) -> dict[str, DataFrame]:
+    """R2 for many named sizes with one scan of ``df``, each as ``exact_sample(df, key, n, salt=name)``.
+
+    The scan stages a row once for every size whose pre-filter it passes; each
+    size is then cut by O3 from its own staged rows.  A size of all rows is
+    ``df`` itself; one whose pre-filter kept too few rows is drawn alone.
+    """
+    total = df.count() if total is None else int(total)
+    below = {s: int(min(1.0, oversample * n / total) * PREFIX_RANGE) for s, n in sizes.items() if 0 < n < total}
+    out = {s: df if n >= total else df.limit(0) for s, n in sizes.items() if s not in below}
+    if not below:
+        return out
+    tags = [F.when(hash_prefix(_strict_hash(key, s)) < F.lit(b), F.lit(s)) for s, b in below.items()]
+    near = stage(df.withColumn("_sample", F.explode(F.array_compact(F.array(*tags)))), "samples", partition_by="_sample")
+    near = near.withColumn("_sample", F.col("_sample").cast("string"))
+    have = {r["_sample"]: r["count"] for r in near.groupBy("_sample").count().collect()}
+    for s in below:
+        if have.get(s, 0) < sizes[s]:
+            out[s] = exact_sample(df, key, sizes[s], s, total, 2 * oversample)
+        else:
+            kept = near.where(F.col("_sample") == s).drop("_sample").withColumn("_h", sample_hash(key, s))
+            out[s] = take_first(kept, ["_h", key], sizes[s]).drop("_h")
+    return out
+
+
 def count_per_day(df: DataFrame, day: str = "day") -> DataFrame:
     """A2: rows per day plus the total (``rollup``: the total row has day null)."""
     return df.rollup(day).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -458,37 +458,63 @@ def s6_label_score_files(spark, sf):
 
 # ---------------------------------------------------------------- sample ladder
 
-R3_SIZES = [1000, 3000, 10000, 30000]
+R3_SIZES = {"train": [1000, 3000, 10000, 30000], "test": [100, 1000]}
 
+_SAMPLED = ("(VALUES " + ", ".join(f"({n}, '{names.py_size_to_name(n)}', '{part}')" for part, sizes in R3_SIZES.items() for n in sizes) +
+            ") s(size, name, part) JOIN (SELECT *, CASE WHEN day < (SELECT max(day) FROM imp) THEN 'train' ELSE 'test' END "
+            "AS part FROM imp) i ON i.part = s.part")
+_IN_SAMPLE = ("QUALIFY row_number() OVER (PARTITION BY s.part, s.name ORDER BY "
+              "md5(s.name || ':' || CAST(i.event_id AS VARCHAR)), i.event_id) <= s.size")
 
-@register("r3_sample_ladder", W(
-    "SELECT name AS sample, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS key_sum, "
-    "min(event_id) AS key_min, max(event_id) AS key_max FROM (SELECT s.name, i.event_id FROM "
-    "(VALUES " + ", ".join(f"({n}, '{names.py_size_to_name(n)}')" for n in R3_SIZES) +
-    ") s(size, name) JOIN imp i ON TRUE QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY "
-    "md5(s.name || ':' || CAST(i.event_id AS VARCHAR)), i.event_id) <= s.size) GROUP BY name"))
-def r3_sample_ladder(spark, sf):
-    """Exact samples of each ladder size written resumably as LibSVM text with the
-    row id, verified by count, then summarised from the written files."""
-    from impressa.plans.prepare import sample_and_save
+
+def _ladders(spark, imp, value, files):
+    """F3 + R3: ladders of the train days and of the last day, as {(part, sample): path}."""
+    from impressa.plans.prepare import write_ladder
     from impressa.session import staging_dir
-    from impressa.sources.impressions import read_key_value_lines
 
-    imp = load_impressions(spark, sf)
-    data = stage(imp.select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"),
-                                                      encode.libsvm_line()).alias("value")),
-                 "ladder-input")
-    root = staging_dir(spark, "ladder")
-    done = sample_and_save(spark, data, R3_SIZES, root + "/{}", key="event_id", files=4)
-    parts = [read_key_value_lines(spark, f"{root}/{name}", "event_id", "label", "int")
-             .withColumn("sample", F.lit(name)) for name, _ in done]
-    from impressa.sources.impressions import union_days
-
-    return union_days(parts).groupBy("sample").agg(
+    data = stage(imp.select("event_id", "day", value.alias("value")), "ladder-input")
+    out = {}
+    for part, df in zip(R3_SIZES, sampling.holdout_split(data)):
+        root = staging_dir(spark, f"ladder-{part}")
+        done = write_ladder(spark, df, R3_SIZES[part], root + "/{}", key="event_id", files=files)
+        out |= {(part, name): f"{root}/{name}" for name, _ in done}
+    return out
+
+
+@register("r3_sample_ladder", W(
+    "SELECT part, name AS sample, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS key_sum, "
+    "min(event_id) AS key_min, max(event_id) AS key_max FROM (SELECT s.part, s.name, i.event_id FROM "
+    + _SAMPLED + " " + _IN_SAMPLE + ") GROUP BY part, name"))
+def r3_sample_ladder(spark, sf):
+    """Exact samples of the train days and of the hold-out day written resumably as
+    LibSVM text with the row id, verified by count, then summarised from the files."""
+    from impressa.sources.impressions import read_key_value_lines, union_days
+
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), encode.libsvm_line())
+    files = _ladders(spark, load_impressions(spark, sf), line, 4)
+    parts = [read_key_value_lines(spark, path, "event_id", "label", "int")
+             .withColumns({"part": F.lit(part), "sample": F.lit(name)}) for (part, name), path in files.items()]
+    return union_days(parts).groupBy("part", "sample").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").cast("bigint").alias("key_sum"),
         F.min("event_id").alias("key_min"), F.max("event_id").alias("key_max"))
 
 
+@register("k3_vw_samples", W(
+    "SELECT s.part, s.name AS sample, " + _vw_sql() + " AS value FROM " + _SAMPLED + " " + _IN_SAMPLE))
+def k3_vw_samples(spark, sf):
+    """Samples written as LibSVM text, each converted resumably to VW lines in md5 order."""
+    from impressa.plans.prepare import convert_chunks, libsvm_to_vw, random_sort
+    from impressa.session import staging_dir
+    from impressa.sources.impressions import read_lines, union_days
+
+    parts = []
+    for (part, name), path in _ladders(spark, load_impressions(spark, sf), encode.libsvm_line(), 4).items():
+        out = staging_dir(spark, f"vw-{part}")
+        convert_chunks(spark, [name], path, out + "/{}", lambda p: read_lines(spark, p), libsvm_to_vw, random_sort)
+        parts.append(read_lines(spark, f"{out}/{name}").select(F.lit(part).alias("part"), F.lit(name).alias("sample"), "value"))
+    return union_days(parts)
+
+
 # ---------------------------------------------------------------- sweeps and reports
 
 def _sweep_sql(body: str) -> str:
@@ -593,17 +619,16 @@ def s7_scan_metrics(spark, sf):
     "AS positives FROM (SELECT day, " + O.libsvm_line() + " AS value FROM imp) GROUP BY day"))
 def k3_convert_days(spark, sf):
     """Raw TSV days -> LibSVM text per day, resumable; a second pass skips every day."""
-    from impressa.plans.prepare import convert_chunks, impressions_to_libsvm
+    from impressa.plans.prepare import convert_days
     from impressa.session import staging_dir
     from impressa.sources.impressions import read_lines, read_raw
 
     raw = _raw_root(spark, sf)
     out = staging_dir(spark, "libsvm-days")
     days = sorted(r[0] for r in read_raw(spark, raw).select("day").distinct().collect())
-    load = lambda p: read_raw(spark, p)
-    convert_chunks(spark, days, raw + "/day={}", out + "/day={}", load, impressions_to_libsvm)
-    again = convert_chunks(spark, days, raw + "/day={}", out + "/day={}", load, impressions_to_libsvm)
-    assert again == [], "resumed conversion rewrote complete chunks"
+    convert_days(spark, raw, out, days)
+    if convert_days(spark, raw, out, days):
+        raise RuntimeError("resumed conversion rewrote complete days")
     lines = read_lines(spark, out + "/day=*").withColumn(
         "day", F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d+)", 1).cast("int"))
     return lines.groupBy("day").agg(
@@ -651,6 +676,23 @@ def m6_lr_learning_curve(spark, sf):
     return ml_sweep(spark, sf, ["lr"], names.ladder(3, 9))
 
 
+@register("m6_rf_learning_curve")
+def m6_rf_learning_curve(spark, sf):
+    from impressa.plans.experiment import ml_sweep
+
+    return ml_sweep(spark, sf, ["rf"], names.ladder(3, 9))
+
+
+@register("m7_lr_hash_sweep")
+def m7_lr_hash_sweep(spark, sf):
+    """Logistic regression over two hash spaces, at each train size of the ladder."""
+    from impressa.operators import report
+    from impressa.plans.experiment import SWEEP_HASH_SPACES, ml_sweep
+
+    return report.combine_common([ml_sweep(spark, sf, ["lr"], names.ladder(3, 9), m=m, series="{}-" + names.py_size_to_name(m))
+                      for m in SWEEP_HASH_SPACES])
+
+
 @register("m8_cross_validation")
 def m8_cross_validation(spark, sf):
     from impressa.plans.experiment import cross_validate
@@ -751,7 +793,10 @@ def v2_best_overall(spark, sf):
     return report.best_overall(_sweep(spark, sf), "roc_auc", lower_is_better=False)
 
 
-@register("m9_one_hot_encoding")
+@register("m9_one_hot_encoding", W(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count(DISTINCT {c}) AS INTEGER) AS n_labels, "
+    f"CAST(count(DISTINCT {c}) + 1 AS INTEGER) AS category_size FROM imp WHERE day < (SELECT max(day) FROM imp)"
+    for c in CATEGORICAL_COLS)))
 def m9_one_hot_encoding(spark, sf):
     """One-hot encoding of the categoricals (the option the reference rejected for its
     width): per column, labels learned and one-hot vector size, on the train days."""

@@ -80,22 +80,26 @@ def ml_datasets(spark: SparkSession, sf_dir: str, kind: str, m: int = 100_000):
 
 
 def ml_sweep(spark: SparkSession, sf_dir: str, kinds: Iterable[str], sizes: Iterable[int],
-             partitions: int | None = None, overrides: dict | None = None) -> DataFrame:
-    """M6/M5: (engine, train_size, roc_auc, log_loss, train_time) for Spark ML classifiers."""
+             partitions: int | None = None, overrides: dict | None = None, m: int = 100_000,
+             series: str = "{}") -> DataFrame:
+    """M5-M7: (engine, train_size, roc_auc, log_loss, train_time) for Spark ML classifiers.
+
+    ``m`` is the hash space of the hashed kinds; ``series`` names an engine from its kind.
+    """
     rows = []
     for kind in kinds:
-        train, test = ml_datasets(spark, sf_dir, kind)
+        train, test = ml_datasets(spark, sf_dir, kind, m)
         total = train.count()
         for n in sizes_upto(sizes, total):
             tr = sampling.exact_sample(train, "event_id", n, salt=py_size_to_name(n), total=total)
             if partitions:
                 tr = tr.repartition(partitions)
             with learn.persisted(tr) as cached:
-                cached.count()
+                have = cached.count()
                 model, secs = learn.fit_timed(
-                    learn.make_classifier(kind, **(overrides or {}).get(kind, {})), cached)
+                    learn.make_classifier(kind, have, **(overrides or {}).get(kind, {})), cached)
             ev = learn.evaluate(model, test)
-            rows.append((kind, min(int(n), total), ev["test_roc_auc"], ev["test_log_loss"], float(secs)))
+            rows.append((series.format(kind), min(int(n), total), ev["test_roc_auc"], ev["test_log_loss"], float(secs)))
     return spark.createDataFrame(
         rows, "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
 
@@ -109,7 +113,7 @@ def cross_validate(spark: SparkSession, sf_dir: str, reg_params=(0.01, 0.03, 0.1
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(metricName="logLoss")
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=learn.SEED, parallelism=1)
+                        seed=learn.SEED, parallelism=len(reg_params))
     with learn.persisted(tr.select("label", "features")) as cached:
         model = cv.fit(cached)
     rows = [(float(pm[lr.regParam]), float(v)) for pm, v in zip(grid, model.avgMetrics)]
@@ -137,7 +141,7 @@ def fit_and_evaluate(spark: SparkSession, sf_dir: str, kind: str, overrides: dic
     train, test = ml_datasets(spark, sf_dir, kind)
     with learn.persisted(train.select("label", "features")) as cached:
         n = cached.count()
-        model, secs = learn.fit_timed(learn.make_classifier(kind, **(overrides or {})), cached)
+        model, secs = learn.fit_timed(learn.make_classifier(kind, n, **(overrides or {})), cached)
     ev = learn.evaluate(model, test)
     return spark.createDataFrame(
         [(kind, int(n), ev["test_roc_auc"], ev["test_log_loss"], float(secs))],

@@ -71,7 +71,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
+def staging_root(spark: SparkSession) -> str:
+    """The folder of all that this application stages."""
+    return os.path.join(checkpoint_root(spark), "staging", spark.sparkContext.applicationId)
+
+
 def staging_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root for one staged output."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, "staging", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(staging_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -7,6 +7,7 @@
 * ``write_once``: K2 resumable sink: skip when ``_SUCCESS`` exists, otherwise
   clear partial output and write.
 * ``write_text`` / ``verify_count``: K1 and K5.
+* ``clear_staging``: delete what this application staged, once its results are read.
 * ``append_metrics``: K6, metric rows appended as TSV with a header.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from impressa.schema import METRIC_HEADER
-from impressa.session import staging_dir
+from impressa.session import staging_dir, staging_root
 
 
 class CountMismatch(RuntimeError):
@@ -39,6 +40,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Set the marker that ``is_complete`` looks for."""
+    fs, p = _fs(spark, path.rstrip("/") + "/_SUCCESS")
+    fs.create(p, True).close()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     if fs.exists(p):
@@ -50,7 +57,7 @@ def stage(df: DataFrame, name: str, partition_by: str | list[str] | None = None,
     """Write ``df`` as parquet under the staging folder and return a scan of it."""
     spark = df.sparkSession
     path = staging_dir(spark, name)
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     w = out.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
@@ -58,6 +65,11 @@ def stage(df: DataFrame, name: str, partition_by: str | list[str] | None = None,
     return spark.read.parquet(path)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Delete everything this application staged; results not yet read or written elsewhere are lost."""
+    delete_path(spark, staging_root(spark))
+
+
 def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                write: Callable[[DataFrame, str], None]) -> bool:
     """K2: run ``write(build(), path)`` unless ``path`` already holds a complete output.

@@ -96,3 +96,14 @@ def test_text_conversion_rejects_null_labels_and_malformed_hex(spark):
         df = spark.createDataFrame([tuple({**empty, **bad}.values())], IMPRESSION)
         with pytest.raises(Exception, match=told):
             df.select(encode.libsvm_line()).collect()
+
+
+def test_convert_days_writes_pending_days_in_one_job(spark):
+    df = spark.createDataFrame(_rows(), IMPRESSION).withColumn("day", F.col("label") + 3)
+    raw, out = staging_dir(spark, "raw-days"), staging_dir(spark, "svm-days")
+    impressions.write_raw(df, raw)
+    assert prepare.convert_days(spark, raw, out, [3]) == [3]
+    assert prepare.convert_days(spark, raw, out, [3, 4]) == [4]
+    assert prepare.convert_days(spark, raw, out, [3, 4]) == []
+    lines = {r.day: r.value for r in spark.read.text(out).collect()}
+    assert lines[3].strip() == "0" and lines[4].startswith("1 1:")

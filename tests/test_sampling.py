@@ -120,3 +120,13 @@ def test_pairing_checks_alignment(spark):
             pair_by_key(a, b, "k").collect()
     assert pair_by_key(labels, scores.union(spark.createDataFrame([(9, .9)], "k bigint, p double")),
                        "k").count() == 10
+
+
+def test_exact_samples_equal_one_by_one(spark):
+    df = spark.range(2000).withColumn("x", F.col("id") * 2)
+    sizes = {"0": 0, "7": 7, "100": 100, "1k": 1000, "3k": 3000}
+    got = sampling.exact_samples(df, "id", sizes)
+    for s, n in sizes.items():
+        want = {r.id for r in sampling.exact_sample(df, "id", n, salt=s).collect()}
+        rows = got[s].collect()
+        assert got[s].columns == df.columns and len(rows) == min(n, 2000) and {r.id for r in rows} == want

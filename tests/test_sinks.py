@@ -40,3 +40,11 @@ def test_persisted_scope(spark):
     with persisted(df) as d:
         assert d.is_cached and d.count() == 10
     assert not df.is_cached
+
+
+def test_clear_staging(spark):
+    path = staging_dir(spark, "gone")
+    sinks.write_text(spark.range(3).selectExpr("CAST(id AS STRING) AS value"), path)
+    assert sinks.is_complete(spark, path)
+    sinks.clear_staging(spark)
+    assert not sinks.path_exists(spark, path)
