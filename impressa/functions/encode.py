@@ -107,7 +107,7 @@ def vw_label(label) -> Column:
     return F.when(_col(label).cast("string") == "1", F.lit(1)).otherwise(F.lit(-1))
 
 
-def libsvm_to_vw(line="value") -> Column:
+def vw_line(line="value") -> Column:
     """P5: LibSVM line -> VW line ``±1 | idx:v ... idx_v`` (idx >= 14 as names)."""
     parts = F.split(_col(line), " ")
     feats = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))

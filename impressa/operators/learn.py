@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from impressa.functions.vectors import positive_probability
@@ -89,16 +89,10 @@ def predictions(model, df: DataFrame, key: str | None = None) -> DataFrame:
     return model.transform(df).select(*cols)
 
 
-def evaluate(model, test: DataFrame, train: DataFrame | None = None) -> dict:
-    """Test (and optional train) AUC + log loss, exact and distributed."""
-    out = {}
-    for name, df in (("test", test), ("train", train)):
-        if df is None:
-            continue
-        r = metrics.binary_metrics(predictions(model, df), "label", "p").first()
-        out[f"{name}_roc_auc"] = r["roc_auc"]
-        out[f"{name}_log_loss"] = r["log_loss"]
-    return out
+def evaluate(model, **parts: DataFrame) -> dict[str, Row]:
+    """For each named part its (n, positives, roc_auc, log_loss), exact and distributed."""
+    scored = {name: predictions(model, df) for name, df in parts.items()}
+    return {r["part"]: r for r in metrics.by_part(scored, metrics.binary_metrics).collect()}
 
 
 def one_hot_widths(df: DataFrame, columns: list[str], max_labels: int = 1_000_000) -> DataFrame:

@@ -9,6 +9,8 @@ floating point.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +27,22 @@ def clipped(p, eps: float = LOGLOSS_EPS):
 
 
 def log_loss_expr(label: str = "label", p: str = "p", eps: float = LOGLOSS_EPS):
-    """A4 per-row term: -ln(p) for positives, -ln(1-p) for negatives (p clipped)."""
+    """A4 per-row term: -ln(p) for positives, -ln(1-p) for negatives (p clipped); null where either is."""
     q = clipped(p, eps)
-    return -F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1.0 - q))
+    return F.when(F.col(p).isNotNull(), -F.when(F.col(label) == 1, F.log(q)).when(F.col(label) == 0, F.log(1.0 - q)))
 
 
 def log_loss(df: DataFrame, label: str = "label", p: str = "p", eps: float = LOGLOSS_EPS) -> DataFrame:
-    """A4: one row ``log_loss`` (mean over rows)."""
+    """A4: one row ``log_loss`` (mean over the rows with a label and a score)."""
     return df.agg(F.avg(log_loss_expr(label, p, eps)).alias("log_loss"))
 
 
 def score_histogram(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     """Rows per distinct score: (score, pos, neg).  Map-side partial aggregation
-    keeps a score shared by many rows to one row per task before the shuffle."""
+    keeps a score shared by many rows to one row per task before the shuffle.
+    Rows without a label or a score count nowhere."""
     y = F.col(label).cast("bigint")
-    return (df.groupBy(F.col(score).cast("double").alias("score"))
+    return (df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score"))
               .agg(F.sum(y).cast("bigint").alias("pos"),
                    F.sum(1 - y).cast("bigint").alias("neg")))
 
@@ -109,6 +112,12 @@ def binary_metrics(df: DataFrame, label: str = "label", p: str = "p",
     return metrics_from_histogram(stage(score_histogram(df, label, p), "score-hist"), eps, buckets)
 
 
+def by_part(parts: dict[str, DataFrame], measure) -> DataFrame:
+    """``measure`` (``binary_metrics``, ``roc_curve``) of each named part, with the name in ``part``."""
+    out = [measure(df).select(F.lit(name).alias("part"), "*") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def evaluator_auc(predictions: DataFrame, label: str = "label",
                   raw: str = "probability", exact: bool = True) -> float:
     """Spark ML's evaluator; ``numBins=0`` makes it exact (no down-sampling)."""

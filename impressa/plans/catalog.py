@@ -83,7 +83,7 @@ def _vw_sql() -> str:
 @register("p5_libsvm_to_vw", W("SELECT event_id, " + _vw_sql() + " AS vw FROM imp"))
 def p5_libsvm_to_vw(spark, sf):
     imp = load_impressions(spark, sf)
-    return imp.select("event_id", encode.libsvm_to_vw(encode.libsvm_line()).alias("vw"))
+    return imp.select("event_id", encode.vw_line(encode.libsvm_line()).alias("vw"))
 
 
 @register("p7_log_square_bucket", W("SELECT event_id, " + ", ".join(
@@ -334,6 +334,39 @@ def a5_roc_curve(spark, sf):
     return roc.select(r9(F.col("threshold")).alias("threshold"), "tp", "fp")
 
 
+_PART_CTES = _bayes_score_ctes(test_filter="TRUE") + [
+    "parts AS (SELECT CASE WHEN h.day = (SELECT max(day) FROM hrows) THEN 'test' ELSE 'train' END AS part, "
+    "p.label, p.p FROM pred p JOIN hrows h ON p.event_id = h.event_id)",
+    "hist AS (SELECT part, p AS score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg "
+    "FROM parts GROUP BY part, p)"]
+
+
+def _bayes_parts(spark, sf):
+    model, train, test = bayes_train_test(spark, sf)
+    return {name: linear.linear_scores(df, model, key="event_id") for name, df in (("test", test), ("train", train))}
+
+
+@register("a8_evaluate_parts", W(
+    _METRICS.replace("SELECT CAST", "SELECT part, CAST", 1).replace("OVER (ORDER", "OVER (PARTITION BY part ORDER")
+    + " GROUP BY part", *_PART_CTES))
+def a8_evaluate_parts(spark, sf):
+    """A8 with the train side (F4): exact AUC and log loss of the train days and of the last day."""
+    m = metrics.by_part(_bayes_parts(spark, sf), metrics.binary_metrics)
+    return m.select("part", "n", "positives", "roc_auc", r9(F.col("log_loss")).alias("log_loss"))
+
+
+@register("a8_roc_parts", W(
+    "SELECT part, round(score, 9) AS threshold, tp, fp, tp / max(tp) OVER (PARTITION BY part) AS tpr, "
+    "fp / max(fp) OVER (PARTITION BY part) AS fpr FROM (SELECT part, score, CAST(sum(pos) OVER w AS BIGINT) AS tp, "
+    "CAST(sum(neg) OVER w AS BIGINT) AS fp FROM hist WINDOW w AS (PARTITION BY part ORDER BY score DESC "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) UNION ALL SELECT DISTINCT part, CAST('inf' AS DOUBLE), "
+    "CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM hist", *_PART_CTES))
+def a8_roc_parts(spark, sf):
+    """A8's ROC curves of both sides."""
+    roc = metrics.by_part(_bayes_parts(spark, sf), metrics.roc_curve)
+    return roc.select("part", r9(F.col("threshold")).alias("threshold"), "tp", "fp", "tpr", "fpr")
+
+
 @register("j2_pair_labels_scores", W(
     "SELECT t.event_id, t.label, s.score FROM test t JOIN scored s ON t.event_id = s.event_id",
     *_bayes_score_ctes()))
@@ -503,14 +536,15 @@ def r3_sample_ladder(spark, sf):
     "SELECT s.part, s.name AS sample, " + _vw_sql() + " AS value FROM " + _SAMPLED + " " + _IN_SAMPLE))
 def k3_vw_samples(spark, sf):
     """Samples written as LibSVM text, each converted resumably to VW lines in md5 order."""
-    from impressa.plans.prepare import convert_chunks, libsvm_to_vw, random_sort
+    from impressa.plans.prepare import index_hash_order, write_lines_once
     from impressa.session import staging_dir
     from impressa.sources.impressions import read_lines, union_days
 
     parts = []
     for (part, name), path in _ladders(spark, load_impressions(spark, sf), encode.libsvm_line(), 4).items():
         out = staging_dir(spark, f"vw-{part}")
-        convert_chunks(spark, [name], path, out + "/{}", lambda p: read_lines(spark, p), libsvm_to_vw, random_sort)
+        write_lines_once(spark, {f"{out}/{name}": lambda p=path: index_hash_order(
+            read_lines(spark, p).select(encode.vw_line().alias("value")))})
         parts.append(read_lines(spark, f"{out}/{name}").select(F.lit(part).alias("part"), F.lit(name).alias("sample"), "value"))
     return union_days(parts)
 
@@ -639,7 +673,7 @@ def k3_convert_days(spark, sf):
 @register("o1_vw_shuffled_text", W("SELECT " + _vw_sql() + " AS value FROM imp"))
 def o1_vw_shuffled_text(spark, sf):
     """LibSVM text -> VW lines in md5(row index) order, written and read back."""
-    from impressa.plans.prepare import libsvm_to_vw, random_sort
+    from impressa.plans.prepare import index_hash_order
     from impressa.session import staging_dir
     from impressa.sources import sinks
     from impressa.sources.impressions import read_lines
@@ -648,7 +682,7 @@ def o1_vw_shuffled_text(spark, sf):
     src = staging_dir(spark, "libsvm-for-vw")
     sinks.write_text(imp.select(encode.libsvm_line().alias("value")), src)
     dst = staging_dir(spark, "vw-shuffled")
-    sinks.write_text(random_sort(libsvm_to_vw(read_lines(spark, src))), dst)
+    sinks.write_text(index_hash_order(read_lines(spark, src).select(encode.vw_line().alias("value"))), dst)
     return read_lines(spark, dst)
 
 
@@ -697,7 +731,15 @@ def m7_lr_hash_sweep(spark, sf):
 def m8_cross_validation(spark, sf):
     from impressa.plans.experiment import cross_validate
 
-    return cross_validate(spark, sf)
+    return cross_validate(spark, sf, "lr", {"regParam": (0.01, 0.03, 0.1)})
+
+
+@register("m8_tree_cross_validation")
+def m8_tree_cross_validation(spark, sf):
+    """A grid of two parameters over decision trees."""
+    from impressa.plans.experiment import cross_validate
+
+    return cross_validate(spark, sf, "tree", {"maxDepth": (3, 5), "maxBins": (32, 64)}, folds=3)
 
 
 @register("m10_parallelism_sweep")
@@ -714,6 +756,17 @@ def a7_evaluator_auc(spark, sf):
     return evaluator_agreement(spark, sf)
 
 
+@register("a7_evaluator_agrees", W(
+    "SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, TRUE AS agrees FROM imp "
+    "WHERE day = (SELECT max(day) FROM imp)"))
+def a7_evaluator_agrees(spark, sf):
+    """Spark ML's evaluator and the exact AUC give the same value for the naive Bayes scores of the last day."""
+    pred = stage(_bayes_predictions(spark, sf).select("label", "p"), "a7-scores")
+    theirs = metrics.evaluator_auc(pred, "label", "p")
+    m = metrics.binary_metrics(pred, "label", "p")
+    return m.select("n", "positives", (F.abs(F.col("roc_auc") - F.lit(theirs)) < 1e-9).alias("agrees"))
+
+
 @register("s4_load_hashed", W(
     f"SELECT label, CAST(len(ix) AS INTEGER) AS nnz, array_to_string(ix, ',') AS indices FROM "
     f"(SELECT CAST(label AS DOUBLE) AS label, {O.hashed_indices(M)} AS ix FROM imp)"))

@@ -98,35 +98,39 @@ def ml_sweep(spark: SparkSession, sf_dir: str, kinds: Iterable[str], sizes: Iter
                 have = cached.count()
                 model, secs = learn.fit_timed(
                     learn.make_classifier(kind, have, **(overrides or {}).get(kind, {})), cached)
-            ev = learn.evaluate(model, test)
-            rows.append((series.format(kind), min(int(n), total), ev["test_roc_auc"], ev["test_log_loss"], float(secs)))
+            ev = learn.evaluate(model, test=test)["test"]
+            rows.append((series.format(kind), min(int(n), total), ev["roc_auc"], ev["log_loss"], float(secs)))
     return spark.createDataFrame(
         rows, "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
 
 
-def cross_validate(spark: SparkSession, sf_dir: str, reg_params=(0.01, 0.03, 0.1),
+def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str, Iterable],
                    folds: int = 5, sample: int = 1_000_000) -> DataFrame:
-    """M8: k-fold CV of logistic regression on a train sample, scored by log loss."""
-    train, _ = ml_datasets(spark, sf_dir, "lr")
+    """M8: k-fold CV of a classifier over all combinations of ``grid``, on a train sample, by log loss."""
+    train, _ = ml_datasets(spark, sf_dir, kind)
     tr = sampling.exact_sample(train, "event_id", sample, salt=py_size_to_name(sample))
-    lr = learn.make_classifier("lr")
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    classifier = learn.make_classifier(kind)
+    build = ParamGridBuilder()
+    for name, values in grid.items():
+        build.addGrid(classifier.getParam(name), list(values))
+    cells = build.build()
     ev = MulticlassClassificationEvaluator(metricName="logLoss")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=learn.SEED, parallelism=len(reg_params))
+    cv = CrossValidator(estimator=classifier, estimatorParamMaps=cells, evaluator=ev, numFolds=folds,
+                        seed=learn.SEED, parallelism=min(4, len(cells)))
     with learn.persisted(tr.select("label", "features")) as cached:
         model = cv.fit(cached)
-    rows = [(float(pm[lr.regParam]), float(v)) for pm, v in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, cv_log_loss double")
+    rows = [(*(float(cell[classifier.getParam(name)]) for name in grid), float(v))
+            for cell, v in zip(cells, model.avgMetrics)]
+    return spark.createDataFrame(rows, ", ".join(f"{name} double" for name in [*grid, "cv_log_loss"]))
 
 
-def parallelism_sweep(spark: SparkSession, sf_dir: str, partitions=(1, 2, 4, 8),
+def parallelism_sweep(spark: SparkSession, sf_dir: str, per_core=(1, 2, 4),
                       size: int = 10_000_000) -> DataFrame:
-    """LR train time at a fixed size against the number of input partitions."""
+    """LR train time at a fixed size against the number of input partitions per core."""
     train, _ = ml_datasets(spark, sf_dir, "lr")
     tr = sampling.exact_sample(train, "event_id", size, salt=py_size_to_name(size))
     rows = []
-    for p in partitions:
+    for p in (k * spark.sparkContext.defaultParallelism for k in per_core):
         with learn.persisted(tr.repartition(p)) as cached:
             n = cached.count()
             t0 = time.perf_counter()
@@ -142,9 +146,9 @@ def fit_and_evaluate(spark: SparkSession, sf_dir: str, kind: str, overrides: dic
     with learn.persisted(train.select("label", "features")) as cached:
         n = cached.count()
         model, secs = learn.fit_timed(learn.make_classifier(kind, n, **(overrides or {})), cached)
-    ev = learn.evaluate(model, test)
+    ev = learn.evaluate(model, test=test)["test"]
     return spark.createDataFrame(
-        [(kind, int(n), ev["test_roc_auc"], ev["test_log_loss"], float(secs))],
+        [(kind, int(n), ev["roc_auc"], ev["log_loss"], float(secs))],
         "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
 
 

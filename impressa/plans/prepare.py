@@ -20,27 +20,14 @@ from impressa.sources.impressions import read_raw
 from impressa.sources.sinks import stage
 
 
-def convert_chunks(spark: SparkSession, chunks: Iterable, in_template: str, out_template: str,
-                   load: Callable[[str], DataFrame], convert: Callable[[DataFrame], DataFrame],
-                   transform: Callable[[DataFrame], DataFrame] | None = None,
-                   files: int | None = None) -> list[str]:
-    """K3: for each chunk, ``transform(convert(load(in)))`` written as text, resumably.
-
-    ``convert`` returns a one-column ``value`` DataFrame; returns the chunks
-    written by this call (skipped ones are complete already).
-    """
-    written = []
-    for chunk in chunks:
-        src, dst = in_template.format(chunk), out_template.format(chunk)
-
-        def build(src=src):
-            out = convert(load(src))
-            return transform(out) if transform else out
+def write_lines_once(spark: SparkSession, outputs: dict[str, Callable[[], DataFrame]],
+                     files: int | None = None) -> list[str]:
+    """K3: each output path gets the ``value`` lines of its builder as text, unless it is complete already.
 
-        if sinks.write_once(spark, dst, build,
-                            lambda df, p: sinks.write_text(df, p, "value", files)):
-            written.append(str(chunk))
-    return written
+    Returns the paths written by this call.
+    """
+    return [path for path, lines in outputs.items()
+            if sinks.write_once(spark, path, lines, lambda df, p: sinks.write_text(df, p, "value", files))]
 
 
 def convert_days(spark: SparkSession, raw_root: str, out_root: str, days: Iterable[int]) -> list[int]:
@@ -68,11 +55,6 @@ def impressions_to_libsvm(df: DataFrame) -> DataFrame:
     return df.select(encode.libsvm_line().alias("value"))
 
 
-def libsvm_to_vw(df: DataFrame) -> DataFrame:
-    """P5 as a converter."""
-    return df.select(encode.libsvm_to_vw("value").alias("value"))
-
-
 def file_order_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """W1 in input order: 0-based, contiguous.
 
@@ -83,7 +65,7 @@ def file_order_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
     return ordering.global_index(placed, ["_mono"], out).drop("_mono")
 
 
-def random_sort(df: DataFrame) -> DataFrame:
+def index_hash_order(df: DataFrame) -> DataFrame:
     """O1 as a transform: rows in ascending md5(text of their input-order index)."""
     idx = file_order_index(df, "_row_idx")
     return ordering.sorted_shuffle(idx, "_row_idx").drop("_row_idx")

@@ -76,10 +76,10 @@ def test_libsvm_and_vw_lines(spark):
     df = spark.createDataFrame([row], IMPRESSION)
     line = df.select(encode.libsvm_line().alias("v")).first()[0]
     assert line == "1 1:5 2:-1 14:43981 39:4294967295"
-    vw = df.select(encode.libsvm_to_vw(encode.libsvm_line()).alias("v")).first()[0]
+    vw = df.select(encode.vw_line(encode.libsvm_line()).alias("v")).first()[0]
     assert vw == "1 | 1:5 2:-1 14_43981 39_4294967295"
     zero = spark.createDataFrame([("0",), ("0 3:2 14:1761707262",)], "value string")
-    got = [r[0] for r in zero.select(encode.libsvm_to_vw("value")).collect()]
+    got = [r[0] for r in zero.select(encode.vw_line("value")).collect()]
     assert got == ["-1 |", "-1 | 3:2 14_1761707262"]
 
 

@@ -2,6 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from impressa.functions import encode
 from impressa.plans import prepare
 from impressa.schema import IMPRESSION
 from impressa.session import staging_dir
@@ -25,7 +26,7 @@ def test_raw_tsv_round_trip_keeps_text_and_nulls(spark):
     assert all(back[1][c] is None for c in IMPRESSION.fieldNames()[1:])
 
 
-def test_random_sort_orders_by_md5_of_input_position(spark):
+def test_index_hash_order_sorts_by_md5_of_input_position(spark):
     lines = [f"{i % 2} 1:{i}" for i in range(50)]
     path = staging_dir(spark, "lines")
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
@@ -33,22 +34,21 @@ def test_random_sort_orders_by_md5_of_input_position(spark):
     idx = prepare.file_order_index(src, "row_idx").collect()
     assert sorted(r.row_idx for r in idx) == list(range(50))
     assert {r.value: r.row_idx for r in idx} == {x: i for i, x in enumerate(lines)}
-    out = [r.value for r in prepare.random_sort(src).collect()]
+    out = [r.value for r in prepare.index_hash_order(src).collect()]
     want = [lines[i] for i in sorted(range(50), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())]
     assert out == want
 
 
-def test_convert_chunks_resumes(spark):
+def test_write_lines_once_resumes(spark):
     src = staging_dir(spark, "chunks-in")
     for d in (0, 1):
         spark.createDataFrame([(f"{d} 1:{d}",)], "value string").write.text(f"{src}/day_{d}")
     dst = staging_dir(spark, "chunks-out")
-    load = lambda p: spark.read.text(p)
-    first = prepare.convert_chunks(spark, [0, 1], src + "/day_{}", dst + "/day_{}", load,
-                                   prepare.libsvm_to_vw)
-    again = prepare.convert_chunks(spark, [0, 1], src + "/day_{}", dst + "/day_{}", load,
-                                   prepare.libsvm_to_vw)
-    assert first == ["0", "1"] and again == []
+    todo = {f"{dst}/day_{d}": lambda d=d: spark.read.text(f"{src}/day_{d}").select(encode.vw_line().alias("value"))
+            for d in (0, 1)}
+    first = prepare.write_lines_once(spark, todo)
+    again = prepare.write_lines_once(spark, todo)
+    assert first == list(todo) and again == []
     assert spark.read.text(dst + "/day_1").first()[0] == "1 | 1:1"
 
 

@@ -53,3 +53,18 @@ def test_roc_curve_monotone_and_complete(spark):
     assert (roc[-1].tpr, roc[-1].fpr) == (1.0, 1.0)
     tps = [r.tp for r in roc]
     assert tps == sorted(tps)
+
+
+def test_rows_without_label_or_score_count_nowhere(spark):
+    df = spark.createDataFrame([(1, .9), (0, .1), (None, .9), (1, None)], "label int, p double")
+    want = (-math.log(.9) - math.log(1 - .1)) / 2
+    assert metrics.log_loss(df).first().log_loss == pytest.approx(want)
+    r = metrics.binary_metrics(df).first()
+    assert (r.n, r.positives, r.roc_auc) == (2, 1, 1.0) and r.log_loss == pytest.approx(want)
+
+
+def test_parts_are_measured_apart(spark):
+    parts = {"test": [(1, .9), (0, .1)], "train": [(1, .1), (0, .9), (0, .2)]}
+    frames = {k: spark.createDataFrame(v, "label int, p double") for k, v in parts.items()}
+    got = {r.part: r for r in metrics.by_part(frames, metrics.binary_metrics).collect()}
+    assert {k: (r.n, r.roc_auc) for k, r in got.items()} == {"test": (2, 1.0), "train": (3, 0.0)}
