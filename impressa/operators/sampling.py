@@ -56,8 +56,9 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
     """R2: exactly min(n, N) rows: the n smallest (md5(salt:key), key).
 
     A Bernoulli pre-filter at ``oversample * n / N`` trims the input without a
-    shuffle; if it keeps fewer than n rows the threshold doubles until it does.
-    The cut inside the kept rows is O3.  Null keys have no place in the order:
+    shuffle, and what it keeps is staged, so the input is read once for the
+    count and once for the rows; if fewer than n rows are kept the threshold
+    doubles until n are.  The cut inside the kept rows is O3.  Null keys have no place in the order:
     reading one raises, and so does a sample that comes out short.
     """
     n = int(n)
@@ -69,7 +70,7 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
     hashed = df.withColumn("_h", _strict_hash(key, salt)).withColumn("_hp", hash_prefix(F.col("_h")))
     frac = min(1.0, oversample * n / total)
     while True:
-        kept = hashed.filter(F.col("_hp") < F.lit(int(frac * PREFIX_RANGE)))
+        kept = stage(hashed.filter(F.col("_hp") < F.lit(int(frac * PREFIX_RANGE))), "sample-kept")
         have = kept.count()
         if have >= n:
             break
