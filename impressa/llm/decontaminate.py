@@ -16,9 +16,10 @@ the hashes of words that items have (other words hash to zero first).  Documents
 shorter than an item are one window.  Texts are walked in pieces, so memory
 does not grow with their length.
 
-Scale: one narrow pass over documents.  Items are broadcast in blocks of at
-most ``BLOCK_WORDS`` words (as many passes as blocks), so the broadcast is
-bounded for any benchmark.
+Scale: one narrow pass over documents.  Items are broadcast in blocks of about
+``BLOCK_WORDS`` words and ``BLOCK_ITEMS`` items at most (as many passes as
+blocks), so words, shingles and multi-index (1392 entries an item) are bounded
+for any benchmark, also one of many short items.
 
 Defined results: null or empty texts and items match nothing; items under five
 words are one shingle of their own length; null ids are reported as null;
@@ -45,6 +46,7 @@ SIMILARITY = 0.8
 RADIUS = 18
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 BLOCK_WORDS = 500_000
+BLOCK_ITEMS = 20_000
 STEP = 4096
 
 
@@ -87,7 +89,7 @@ class LengthIndex:
             v = (self.fps >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
             masks = np.array([sum(1 << i for i in c) for n in range(RADIUS // len(BLOCKS) + 1) for c in combinations(range(bits), n)])
             near = (v[:, None] ^ masks[None, :]).ravel()
-            who = np.repeat(np.arange(len(v)), len(masks))
+            who = np.repeat(np.arange(len(v), dtype=np.int32), len(masks))
             order = np.argsort(near, kind="stable")
             start = np.searchsorted(near[order], np.arange((1 << bits) + 1))
             self.tables.append((at, bits, start, who[order]))
@@ -192,9 +194,9 @@ def _blocks(bench: DataFrame):
     """Benchmark items in blocks of bounded size, each as a broadcast index."""
     spark = bench.sparkSession
     items = bench.select(F.col("item_id").cast("long"), text_bytes().alias("text"), F.regexp_count("text", F.lit(WORD)).alias("n"))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // BLOCK_WORDS))
-    for b in range(n if total else 0):
+    total, count = items.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n = max(-(-total // BLOCK_WORDS), -(-count // BLOCK_ITEMS))
+    for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text").distinct().collect()
         if rows:
             yield spark.sparkContext.broadcast(Index(sorted(((r[0], bytes(r[1])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))

@@ -131,6 +131,22 @@ def test_decontamination_odd_rows(spark, odd_docs):
     assert decontaminate.remove(odd_docs, bench.limit(0)).count() == 11
 
 
+def test_op2_blocks_find_what_one_block_finds(spark, odd_docs, monkeypatch):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["own line of the first document", "third own line of the third", "id is null", "", None, "mail jo.doe@example.com or"])],
+        "item_id long, text string")
+
+    def found():
+        return sorted((str(r["doc_id"]), r["item_id"], r["similarity"]) for r in decontaminate.contamination(odd_docs, bench).collect())
+
+    one = found()
+    left = sorted(str(r["doc_id"]) for r in decontaminate.remove(odd_docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    assert len(list(decontaminate._blocks(bench))) > 1
+    assert one and found() == one
+    assert sorted(str(r["doc_id"]) for r in decontaminate.remove(odd_docs, bench).collect()) == left
+
+
 # -- 3 secrets ----------------------------------------------------------------
 
 def base_spans(text):
