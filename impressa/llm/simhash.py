@@ -47,6 +47,8 @@ from impressa.sources.sinks import stage
 SEED = 42
 #: Variants that one bucket holds, on average, at most.
 BUCKET_VARIANTS = 1 << 22
+#: Fingerprints times their buckets that are dealt at once.
+DEAL = 1 << 22
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -105,6 +107,7 @@ class Ball:
         self.masks, self.inner = self.masks[order], self.inner[order]
         self.count = np.bincount(self.hash(self.masks), minlength=self.n)
         self.start = np.concatenate(([0], np.cumsum(self.count)[:-1]))
+        self.used = np.flatnonzero(self.count)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
@@ -112,6 +115,20 @@ class Ball:
             out ^= self.byte[i, (x >> np.uint64(8 * i) & np.uint64(255)).astype(np.int64)]
         return out
 
+    def deal(self, fps: np.ndarray):
+        """(buckets, first position of each, fingerprints by bucket), in bounded pieces.
+
+        The cost is a fingerprint's own buckets, at most one a mask, however many there are.
+        """
+        step = max(1, DEAL // len(self.used))
+        for i in range(0, len(fps), step):
+            part = fps[i:i + step]
+            t = (self.hash(part)[:, None] ^ self.used).ravel()
+            order = np.argsort(t, kind="stable")
+            t = t[order]
+            at = np.flatnonzero(np.diff(t, prepend=-1))
+            yield t[at], at, part[order // len(self.used)]
+
     def variants(self, fps: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the fingerprint, variant, and whether it is within the inner radius."""
         h = self.hash(fps) ^ bucket
@@ -156,11 +173,14 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         bl = ball.value
         for batch in batches:
             x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            h = bl.hash(x)
-            out = [(t, d) for t in range(bl.n) if (d := x[bl.count[h ^ t] > 0].tobytes())]
-            for i in range(0, len(out), 256):
-                t, d = zip(*out[i:i + 256])
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(d, pa.binary())], ["bucket", "data"])
+            for bucket, at, dealt in bl.deal(x):
+                ends = np.append(at, len(dealt)) * 8
+                for i in range(0, len(bucket), 256):
+                    e = ends[i:i + 257]
+                    data = pa.py_buffer(dealt[e[0] // 8:e[-1] // 8].tobytes())
+                    offsets = pa.py_buffer((e - e[0]).astype(np.int32).tobytes())
+                    packed = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, offsets, data])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[i:i + 256], pa.int32()), packed], ["bucket", "data"])
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["data"]), np.uint64)

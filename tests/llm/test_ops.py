@@ -542,3 +542,20 @@ def test_query_matches_sql(spark, name):
 
     got = compare(spark, "/root/testdata/sf0.001", [name], verbose=False)[name]
     assert got.startswith("ok"), got
+
+
+def test_op8_deal_sends_every_variant_to_its_bucket():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
+    for bits in (4, 13):
+        ball = simhash.Ball(4, bits)
+        got: dict[int, list] = {}
+        for bucket, at, dealt in ball.deal(fps):
+            for t, x in zip(bucket.tolist(), np.split(dealt, at[1:])):
+                got.setdefault(t, []).extend(x.tolist())
+        want: dict[int, set] = {}
+        for mask in ball.masks:
+            for t, f in zip(ball.hash(fps ^ mask).tolist(), fps.tolist()):
+                want.setdefault(t, set()).add(f)
+        assert {t: sorted(x) for t, x in got.items()} == {t: sorted(x) for t, x in want.items()}
+    assert list(simhash.Ball(4, 4).deal(fps[:0])) == []
