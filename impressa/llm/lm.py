@@ -8,13 +8,15 @@ its level.  Probabilities are smoothed with those counts: the bigram estimate
 is backed by the unigram one with weight ``SMOOTH`` (Dirichlet prior), and
 that by add-0.1.
 
-Building: one pass over the texts.  Tasks count the n-grams of their texts and
-send packed (hash, count) arrays to segments, the n-gram's hash chooses the
-segment; a segment sums the counts, writes its own bit array and keeps the
-exact counts of its words (words are known by 64-bit hashes).  The filter is the segments
-side by side.  Its size follows the number of distinct n-grams (about
-``BITS`` bits for each filter entry) up to ``MAX_BYTES``, the bound of
-what is broadcast; past it nothing is dropped, the false-positive rate rises.
+Rows are packed into pieces of about ``PIECE_BYTES`` of text.  A piece sends its
+distinct n-grams, each with its count in the training rows, to segments (the
+n-gram's hash chooses the segment).  A segment sums the counts, builds its own
+bit array, keeps the exact counts of its words (words are known by 64-bit hashes),
+and answers each piece with the levels that it reads for the piece's n-grams.
+The answers go back to the pieces by one cogroup.  The filter is the segments
+together; it takes about ``BITS`` bits for each filter entry, and neither the
+driver nor any one task holds it whole, so it grows with the n-grams and its
+false-positive rate does not depend on the size of the corpus.
 
 The base score needs exact counts of every token.  Words at or above a count
 chosen so that at most ``TOP`` words qualify are broadcast; all rarer words
@@ -30,12 +32,13 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,8 +50,7 @@ from impressa.sources.sinks import stage
 #: A text's end; no word can hold a line break.
 END = b"\n"
 TOP = 1 << 18
-MAX_BYTES = 64 << 20
-BITS = 6
+BITS = 8
 PROBES = 3
 LEVELS = 40
 SMOOTH = 2.0
@@ -56,7 +58,9 @@ ADD = 0.1
 #: Text bytes that one segment stands for, on average, at most.
 SEGMENT_BYTES = 12_000_000
 MEMO = 500_000
-#: Tokens whose n-grams are probed together.
+#: Text bytes of a piece, give or take one text.
+PIECE_BYTES = 8 << 20
+#: Tokens that are scored together.
 PIECE = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -113,22 +117,78 @@ def positions(h: np.ndarray, q: np.ndarray, bits: np.ndarray) -> list[np.ndarray
     return [(a + np.uint64(i) * b) % bits for i in range(PROBES)]
 
 
-def build_segment(h: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
-    """Bit array of the n-grams ``h`` with their counts."""
+def build_segment(h: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
+    """Bit array of the n-grams ``h`` with their counts; scoring sets no ``most_bytes``."""
     q = level(counts)
-    size = int(min(max(64, q.sum() * BITS // 8 + 8), most_bytes))
+    size = int(max(64, q.sum() * BITS // 8 + 8))
+    size = size if most_bytes is None else min(size, most_bytes)
     out = np.zeros(size * 8, np.uint8)
     bits = np.uint64(size * 8)
-    for j in range(1, int(q.max()) + 1):
+    for j in range(1, int(q.max(initial=0)) + 1):
         on = h[q >= j]
         for p in positions(on, np.full(len(on), j), bits):
             out[p.astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
+class Ngrams:
+    """Distinct n-grams of a piece's texts, and their order by segment; the same for the same texts."""
+
+    def __init__(self, texts: list[np.ndarray], segments: int):
+        self.tokens = np.concatenate(texts)
+        self.pairs = np.concatenate([bigrams(x) for x in texts])
+        self.uni, self.uni_back = np.unique(self.tokens, return_inverse=True)
+        self.bi, self.bi_back = np.unique(self.pairs, return_inverse=True)
+        self.uni_order, self.uni_cut = self.deal(mix(self.uni), segments)
+        self.bi_order, self.bi_cut = self.deal(self.bi, segments)
+
+    @staticmethod
+    def deal(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        s = (h % np.uint64(segments)).astype(np.int64)
+        order = np.argsort(s, kind="stable")
+        return order, np.searchsorted(s[order], np.arange(segments + 1))
+
+    def requests(self, train: np.ndarray) -> Iterator[tuple]:
+        """(segment, words, their counts, bigrams, their counts); ``train`` says for each token whether it counts."""
+        u = np.bincount(self.uni_back[train], minlength=len(self.uni))[self.uni_order]
+        b = np.bincount(self.bi_back[train], minlength=len(self.bi))[self.bi_order]
+        uni, bi = self.uni[self.uni_order], self.bi[self.bi_order]
+        for i, (p, q, x, y) in enumerate(zip(self.uni_cut[:-1], self.uni_cut[1:], self.bi_cut[:-1], self.bi_cut[1:])):
+            if q > p or y > x:
+                yield i, uni[p:q].tobytes(), narrow(u[p:q]), bi[x:y].tobytes(), narrow(b[x:y])
+
+    def counts(self, answers: Iterable[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of ``uni`` and ``bi`` from the segments' levels."""
+        uni, bi = np.zeros(len(self.uni), np.int64), np.zeros(len(self.bi), np.int64)
+        for i, data in answers:
+            q = np.frombuffer(data, np.uint8)
+            at = self.uni_order[self.uni_cut[i]:self.uni_cut[i + 1]]
+            uni[at], bi[self.bi_order[self.bi_cut[i]:self.bi_cut[i + 1]]] = q[:len(at)], q[len(at):]
+        return middle(uni), middle(bi)
+
+
+def narrow(n: np.ndarray) -> bytes:
+    """Counts as one byte each where 0..254, or 255 and then four bytes at the end."""
+    big = n >= 255
+    return np.where(big, 255, n).astype(np.uint8).tobytes() + n[big].astype("<u4").tobytes()
+
+
+def wide(data: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<u4", offset=size)
+    return n
+
+
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes with the sums of their counts, those above 0."""
+    h, back = np.unique(h, return_inverse=True)
+    n = np.bincount(back, n, len(h)).astype(np.int64)
+    return h[n > 0], n[n > 0]
+
+
 @dataclass(frozen=True)
 class Model:
-    """The filter's segments side by side, the frequent words with exact counts, and the totals."""
+    """Segments of the filter side by side, the frequent words with exact counts, and the totals."""
 
     data: bytes
     starts: np.ndarray
@@ -158,9 +218,6 @@ class Model:
             out[live] = j
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return middle(self.count_levels(h))
-
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words, 0 for the others."""
         if not len(self.frequent):
@@ -168,9 +225,9 @@ class Model:
         i = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
         return np.where(self.frequent[i] == words, self.frequent_counts[i], 0)
 
-    def score(self, texts: list[np.ndarray]) -> Iterator[tuple]:
+    def score(self, texts: list[np.ndarray], ngrams: Ngrams, uni_counts: np.ndarray, bi_counts: np.ndarray) -> Iterator[tuple]:
         """For each text's token hashes: tokens, known frequent ones, their base terms' sum, the model's
-        log10 probability, and the rare words with their numbers."""
+        log10 probability, and the rare words with their numbers.  Counts are those read for ``ngrams``."""
         size = np.array([len(t) for t in texts])
         t = np.concatenate(texts)
         ends = np.cumsum(size)
@@ -179,9 +236,8 @@ class Model:
         whole = self.total + ADD * (self.vocabulary + 1)
         base = np.where(exact > 0, np.log10((exact + ADD) / whole), 0.0)[back]
         known = (exact > 0)[back]
-        uni = self.counts(mix(word))[back]
-        pair, pair_back = np.unique(np.concatenate([bigrams(x) for x in texts]), return_inverse=True)
-        bi = self.counts(pair)[pair_back]
+        uni = uni_counts[np.searchsorted(ngrams.uni, word)][back]
+        bi = bi_counts[np.searchsorted(ngrams.bi, np.concatenate([bigrams(x) for x in texts]))]
         before = np.empty_like(uni)
         before[1:] = uni[:-1]
         before[ends - size] = uni[ends - 1]
@@ -192,65 +248,58 @@ class Model:
             yield int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(log[a:b].sum()), rare.view(np.int64), n.astype(np.int32)
 
 
-def count(texts: DataFrame, segments: int) -> DataFrame:
-    """(segment, data, words, counts): bit arrays of all unigrams and bigrams, and exact word counts."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(piece, data): runs of rows as compressed Arrow streams; a piece's number is that of its first row."""
+
+    def run(batches):
+        rid = TaskContext.get().partitionId() << 36
+        for b in batches:
+            size = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(size) - size) // PIECE_BYTES
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else [0]
+            for x, y in zip(cut[:-1], cut[1:]):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(b.slice(x, y - x))
+                yield pa.RecordBatch.from_arrays([pa.array([rid + x], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["piece", "data"])
+            rid += len(part)
+
+    return docs.mapInArrow(run, "piece long, data binary")
+
+
+def unpacked(data: bytes, hasher: Hasher) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows of a piece, and their token hashes."""
+    t = pa.ipc.open_stream(data).read_all()
+    return t, [hasher.text(x) for x in t.column("text").to_pylist()]
+
+
+def answered(pieces: DataFrame, segments: int) -> DataFrame:
+    """(segment, words, counts, piece, levels): exact counts of a segment's words, and its answers to pieces."""
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ["piece", "segment", "uni", "uni_n", "bi", "bi_n"]
 
     def send(batches):
-        hasher, uni, bi, held = Hasher(), [], [], 0
+        hasher = Hasher()
         for b in batches:
-            for x in b.column("text").to_pylist():
-                t = hasher.text(x)
-                uni.append(t)
-                bi.append(bigrams(t))
-                held += len(t)
-                if held >= 2_000_000:
-                    yield from flush(uni, bi)
-                    uni, bi, held = [], [], 0
-        if uni:
-            yield from flush(uni, bi)
-
-    def flush(uni, bi):
-        for kind, parts in enumerate((uni, bi)):
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            s = ((mix(h) if kind == 0 else h) % np.uint64(segments)).astype(np.int64)
-            order = np.argsort(s, kind="stable")
-            h, n, s = h[order], n[order].astype(np.uint32), s[order]
-            cut = np.searchsorted(s, np.arange(segments + 1))
-            rows = [(i, kind, h[a:b].tobytes(), narrow(n[a:b])) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            for i in range(0, len(rows), 512):
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 512]), kinds)], ["segment", "kind", "h", "n"])
-
-    def narrow(n):
-        """Counts as one byte each where 1..254, or 255 and then four bytes at the end."""
-        big = n >= 255
-        return np.where(big, 255, n).astype(np.uint8).tobytes() + n[big].astype("<u4").tobytes()
-
-    def wide(data, size):
-        n = np.frombuffer(data, np.uint8, size).astype(np.int64)
-        n[n == 255] = np.frombuffer(data, "<u4", offset=size)
-        return n
-
-    most = max(64, MAX_BYTES // segments)
-
-    def added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        if not len(pdf):
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
-        n = [wide(x, len(a)) for x, a in zip(pdf["n"], h)]
-        h, n = np.concatenate(h), np.concatenate(n)
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return h[first], np.add.reduceat(n, first)
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        (w, c), (h, n) = (added(pdf[pdf["kind"] == k]) for k in (0, 1))
-        data = build_segment(np.concatenate((mix(w), h)), np.concatenate((c, n)), most)
-        return pd.DataFrame({"segment": [key[0]], "data": [data], "words": [w.view(np.int64)], "counts": [c]})
-
-    sent = texts.select("text").mapInArrow(send, "segment int, kind int, h binary, n binary")
-    return sent.groupBy("segment").applyInPandas(build, "segment int, data binary, words array<long>, counts array<long>")
+            for piece, data in zip(b.column("piece").to_pylist(), b.column("data")):
+                t, texts = unpacked(data.as_py(), hasher)
+                train = np.repeat(~t.column("held_out").to_numpy(), [len(x) for x in texts])
+                rows = [(piece, *x) for x in Ngrams(texts, segments).requests(train)]
+                for i in range(0, len(rows), 512):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 512]), kinds)], names)
+
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        uni, bi = ([np.frombuffer(x, np.uint64) for x in pdf[k]] for k in ("uni", "bi"))
+        uni_n, bi_n = ([wide(x, len(h)) for x, h in zip(pdf[k], hs)] for k, hs in (("uni_n", uni), ("bi_n", bi)))
+        w, c = summed(np.concatenate(uni), np.concatenate(uni_n))
+        h, n = summed(np.concatenate(bi), np.concatenate(bi_n))
+        data, none = build_segment(np.concatenate((mix(w), h)), np.concatenate((c, n))), np.empty(0, np.uint64)
+        own = Model(data, np.zeros(1, np.int64), np.array([len(data) * 8], np.uint64), none, none, 0, 0)
+        levels = [own.count_levels(np.concatenate((mix(x), y))).astype(np.uint8).tobytes() for x, y in zip(uni, bi)]
+        return pd.DataFrame({"segment": [key[0]], "words": [w.view(np.int64)], "counts": [c], "piece": [pdf["piece"].to_numpy()], "levels": [levels]})
+
+    sent = pieces.mapInArrow(send, "piece long, segment int, uni binary, uni_n binary, bi binary, bi_n binary")
+    return sent.groupBy("segment").applyInPandas(answer, "segment int, words array<long>, counts array<long>, piece array<long>, levels array<binary>")
 
 
 @dataclass(frozen=True)
@@ -258,14 +307,18 @@ class Fitted:
     model: Model
     counts: DataFrame  # (word, c), the word's hash and its exact count
     rare_below: int
+    pieces: DataFrame  # (piece, data)
+    answers: DataFrame  # (piece, segment, levels)
+    segments: int
 
 
-def fit(texts: DataFrame) -> Fitted:
-    """Learn from all rows of ``texts`` (column text, bytes)."""
-    spark = texts.sparkSession
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+def fit(docs: DataFrame) -> Fitted:
+    """Learn from the rows of ``docs`` that are not held_out (text as bytes), and read levels for all of them."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     segments = int(min(1 << 14, max(16, 2 * shuffle_partitions(spark), size // SEGMENT_BYTES)))
-    built = stage(count(texts, segments), "lm-segments")
+    pieces = stage(packed(docs), "lm-pieces")
+    built = stage(answered(pieces, segments), "lm-segments")
     counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     by = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}
     total, vocabulary = sum(c * n for c, n in by.items()), sum(by.values())
@@ -277,42 +330,39 @@ def fit(texts: DataFrame) -> Fitted:
     often = counts.where(F.col("c") >= least).orderBy("word").collect()
     frequent = np.array([r["word"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
-    data, starts, bits = bytearray(8), np.zeros(segments, np.int64), np.full(segments, 64, np.uint64)
-    for r in built.select("segment", "data").toLocalIterator():
-        starts[r["segment"]], bits[r["segment"]] = len(data), len(r["data"]) * 8
-        data += r["data"]
-    return Fitted(Model(bytes(data), starts, bits, frequent[order], np.array([r["c"] for r in often], np.int64)[order], total, vocabulary), counts, least)
+    answers = built.select("segment", F.explode(F.arrays_zip("piece", "levels")).alias("x")).select("x.piece", "segment", "x.levels")
+    model = Model(b"", np.empty(0, np.int64), np.empty(0, np.uint64), frequent[order], np.array([r["c"] for r in often], np.int64)[order], total, vocabulary)
+    return Fitted(model, counts, least, pieces, answers, segments)
 
 
 def score(docs: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
-    """``keep`` columns, n_tokens, n_known, base_score and score for each row of ``docs`` (text as bytes)."""
+    """``keep`` columns, n_tokens, n_known, base_score and score for each row of ``docs``, the rows given to ``fit``."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
-    d = docs.select(*keep, "text")
-    kept = d.drop("text").schema
+    kept = docs.select(*keep).schema
     own = "rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [own])
     names = [f.name for f in kept] + [x.split()[0] for x in own.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-
-    def run(batches):
-        m, hasher = shared.value, Hasher()
-        rid = TaskContext.get().partitionId() << 36
-        for b in batches:
-            out, held, size = [], [], 0
-            for x in b.column("text").to_pylist():
-                held.append(hasher.text(x))
-                size += len(held[-1])
-                if size > PIECE:
-                    out += m.score(held)
-                    held, size = [], 0
-            if held:
-                out += m.score(held)
-            ids = np.arange(rid, rid + len(out))
-            rid += len(out)
-            cols = [ids, *(zip(*out) if out else [[]] * 6)]
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    first = stage(d.mapInArrow(run, schema), "lm-scored")
+    segments = fitted.segments
+
+    def run(piece: pa.Table, answers: pa.Table) -> pa.Table:
+        m, rid = shared.value, piece.column("piece")[0].as_py()
+        t, texts = unpacked(piece.column("data")[0].as_py(), Hasher())
+        g = Ngrams(texts, segments)
+        uni, bi = g.counts(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist()))
+        out, held, size = [], [], 0
+        for x in texts:
+            held.append(x)
+            size += len(x)
+            if size > PIECE:
+                out += m.score(held, g, uni, bi)
+                held, size = [], 0
+        if held:
+            out += m.score(held, g, uni, bi)
+        cols = [np.arange(rid, rid + len(out)), *zip(*out)]
+        return pa.Table.from_arrays([t.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    first = stage(fitted.pieces.groupBy("piece").cogroup(fitted.answers.groupBy("piece")).applyInArrow(run, schema), "lm-scored")
     log_all = F.lit(math.log10(fitted.model.total + ADD * (fitted.model.vocabulary + 1)))
     rare = first.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
     seen = fitted.counts.where(F.col("c") < fitted.rare_below)
@@ -326,6 +376,6 @@ def score(docs: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     out_of: Column = crc_bucket("doc_id", 10) == 0
     d = docs.select("doc_id", out_of.alias("held_out"), text_bytes().alias("text"))
-    fitted = fit(d.where(~F.col("held_out")))
+    fitted = fit(d)
     out = score(d, fitted, ["doc_id", "held_out"])
     return out.withColumn("train_tokens", F.lit(fitted.model.total).cast("long"))

@@ -243,6 +243,23 @@ def test_bloom_levels_are_never_too_low():
     assert lm.middle(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
+def test_lm_filter_grows_with_the_ngrams(spark, sf, monkeypatch):
+    """No bound on the filter reaches the scores: they are those of exact counts in levels, but for false positives."""
+    monkeypatch.setattr(lm, "MAX_BYTES", 1 << 12, raising=False)
+    docs = docs_of(spark, sf)
+    texts = {i: ["\n", *tokens(r["text"]), "\n"] for i, r in docs.items()}
+    train = [t for i, t in texts.items() if py_crc_bucket(i, 10)]
+    uni, bi = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:]))
+    whole = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    q = lambda c: float(lm.middle(lm.level(np.array([c])))[0]) if c else 0.0
+    apart = []
+    for r in catalog.op5_lm_score(spark, sf).collect():
+        t = texts[r["doc_id"]]
+        want = sum(math.log10((min(q(bi[a, b]), q(uni[a])) + 2 * (q(uni[b]) + 0.1) / whole) / (q(uni[a]) + 2)) for a, b in zip(t, t[1:]))
+        apart.append(abs(r["score"] - want) / (len(t) - 1))
+    assert sum(apart) / len(apart) < 0.1
+
+
 def test_lm_odd_rows(spark, odd_docs):
     got = lm.query(odd_docs).collect()
     assert len(got) == 11 and all(r["n_tokens"] >= 1 for r in got)
