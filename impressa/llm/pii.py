@@ -57,7 +57,7 @@ TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 NAME = rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join([EMAIL, IP, PHONE, CARD, SSN, NAME])
 #: What a text must hold for ANY to match at all.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{TITLES})\.? "
+HINT = rf"@|\+[0-9]|[0-9]{{3}}|[0-9]\.[0-9]|(?:{TITLES})\.? "
 MAX_ATTEMPTS = 40
 
 

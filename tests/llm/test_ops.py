@@ -385,6 +385,14 @@ def test_pii_on_whole_table_leaves_nothing_and_nothing_else_changes(spark, sf):
     assert n > 30 and all(len(v) == 1 for v in mapped.values()) and len({min(v) for v in mapped.values()}) == len(mapped)
 
 
+def test_pii_finds_every_form_that_stands_alone(spark):
+    forms = ["jo@x.io", "1.2.3.4", "+33 6 12 34 56 78", "+49 30 12 34 56", "+41-44-12-34-56", "+4930123456", "(555) 123-4567", "555.123.4567",
+             "4111 1111 1111 1111", "4111111111111111", "123-45-6789", "Mr Smith", "Frau Anna Schmidt", "г-н Иванов"]
+    d = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(d, "k").collect()}
+    assert all(got[i]["n_entities"] == 1 and got[i]["text"] != t for i, t in enumerate(forms))
+
+
 def test_pii_odd_rows(spark, odd_docs):
     assert pii.query(odd_docs).count() == 11 and pii.query(odd_docs.limit(0)).count() == 0
     r = {x["doc_id"]: x["text"] for x in pii.query(odd_docs).collect()}[8].split()
