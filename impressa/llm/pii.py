@@ -37,10 +37,16 @@ from impressa.sources.sinks import stage
 # gender and script, and syllables of surnames by script.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])"
-PHONE = (r"(?<!\w)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)"
-         r"|(?<!\w)(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)")
 CARD = r"(?<!\w)(?:[0-9]{4}[ -]?){3}[0-9]{4}(?!\w)"
 SSN = r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)"
+NATIONAL = r"(?<!\w)(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)"
+_FOUR = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}"
+_SO_FAR = r"[0-9][ .()-]{0,2}" * 11
+#: Cards from here on: whole ones up to the end of the run of four-digit groups, or any after 11 digits of a phone.
+_CARDS = rf"(?<!\w){_FOUR}(?:[ -]{_FOUR})*(?!\w|[ -][0-9]{{4}}(?!\w))|(?<={_SO_FAR}){CARD}"
+#: No group of a phone's tail is the head of another entity.
+PHONE = (r"(?<!\w)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})"
+         rf"(?:(?! (?:{SSN}|{NATIONAL}))[ .-]?(?!{EMAIL}|{IP}|{_CARDS})[0-9]{{2,4}}){{1,4}}(?!\w)|{NATIONAL}")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "г-жа")
 GIVEN = {
@@ -54,7 +60,7 @@ SYLLABLES = {
     "cyrillic": ["ба", "вен", "гор", "дан", "жел", "зин", "кор", "лан", "мир", "нов", "пет", "рос", "сел", "тур", "фед", "шин"],
 }
 TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-NAME = rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: (?!(?:{TITLES})\.? \p{{Lu}})\p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join([EMAIL, IP, PHONE, CARD, SSN, NAME])
 #: What a text must hold for ANY to match at all.
 HINT = rf"@|\+[0-9]|[0-9]{{3}}|[0-9]\.[0-9]|(?:{TITLES})\.? "

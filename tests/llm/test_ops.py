@@ -393,6 +393,17 @@ def test_pii_finds_every_form_that_stands_alone(spark):
     assert all(got[i]["n_entities"] == 1 and got[i]["text"] != t for i, t in enumerate(forms))
 
 
+def test_pii_adjacent_entities_of_every_two_types(spark):
+    forms = ["jo.doe@example.com", "12.jo@x.io", "190.137.223.204", "+1 (826) 555-4081", "+1 826 555 4081", "+33 6 12 34 56 78", "(555) 123-4567",
+             "555-123-4567", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "123-45-6789", "Mr John Smith", "Mrs Jones", "г-н Иванов"]
+    texts = forms + [f"{a} {b}" for a in forms for b in forms]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    alone = {t: got[i]["text"] for i, t in enumerate(forms)}
+    pairs = [(a, b) for a in forms for b in forms]
+    wrong = [(a, b, got[i]["text"]) for i, (a, b) in enumerate(pairs, len(forms)) if got[i]["text"] != f"{alone[a]} {alone[b]}" or got[i]["n_entities"] != 2]
+    assert not wrong, wrong
+
+
 def test_pii_odd_rows(spark, odd_docs):
     assert pii.query(odd_docs).count() == 11 and pii.query(odd_docs.limit(0)).count() == 0
     r = {x["doc_id"]: x["text"] for x in pii.query(odd_docs).collect()}[8].split()
