@@ -13,7 +13,8 @@ DataFrame functions only.  Lines travel as hashes and positions, never as
 text; removed positions go back to documents by one join on the document key.
 
 Defined results: lines are compared trimmed of spaces; lines under
-``min_words`` words (blank ones too) always stay; null text stays null; a null
+``min_words`` words always stay, which are the blank ones unless a caller asks
+for more (the query does, as its SQL); null text stays null; a null
 site is one site; repeated rows are one document; a line repeated within its
 first document stays as often as it stood there; an empty table gives no rows;
 other columns pass through.
@@ -28,7 +29,9 @@ from impressa.llm.common import KEY, SPACE, doc_key
 from impressa.sources.sinks import stage
 
 MIN_SITES = 3
-MIN_WORDS = 4
+MIN_WORDS = 1
+#: The query counts lines of as many words as its SQL below does.
+SQL_MIN_WORDS = 4
 LG_K = 10
 
 
@@ -82,7 +85,7 @@ def clean(docs: DataFrame, **kw) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(docs.select("doc_id", "text", "source"), min_words=SQL_MIN_WORDS).select("doc_id", "n_lines", "n_removed", "text")
 
 
 #: The same rows in DuckDB SQL: exact spread, and no hashes.  ``{docs}`` is the table.

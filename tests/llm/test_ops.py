@@ -210,6 +210,13 @@ def test_line_spread_near_the_threshold_is_exact(spark):
         assert got == sum(n for line in range(30) if (n := line % 6) + 1 >= least)
 
 
+def test_short_lines_on_many_sites_are_boilerplate(spark):
+    rows = [(i, f"own line number {i} here\nAll rights reserved.\n\nMenu\nhere {i}", f"site{i}") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (line_dedup.dedup_lines(d), line_dedup.clean(d)):
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: t if i == 0 else f"own line number {i} here\n\nhere {i}" for i, t, _ in rows}
+
+
 # -- 5 LM ---------------------------------------------------------------------
 
 def test_lm_base_matches_brute_force_and_model_beats_it_on_held_out(spark, sf):
