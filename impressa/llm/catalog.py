@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.llm import chat, decontaminate, forest, line_dedup, lm, mixing, pii, secrets, simhash, toxicity
+from impressa.llm import chat, decontaminate, forest, line_dedup, lm, mixing, pii, prefix_trie, secrets, simhash, toxicity
 from impressa.llm.common import crc_bucket, table
 
 
@@ -55,11 +55,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_decontaminate, op3_secrets, op4_line_dedup, op5_lm_score, op6_mix, op7_pii, op8_simhash,
-    op9_embedding_forest, op10_chat_format)}
+    op9_embedding_forest, op10_chat_format, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL.format(docs="documents"),
     "op10_chat_format": chat.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
