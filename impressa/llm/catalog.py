@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.llm import chat, decontaminate, forest, line_dedup, lm, mixing, pii, prefix_trie, secrets, simhash, token_count, toxicity
+from impressa.llm import chat, decontaminate, forest, line_dedup, lm, mixing, pii, prefix_trie, secrets, simhash, token_align, token_count, toxicity
 from impressa.llm.common import crc_bucket, table
 
 
@@ -55,6 +55,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.query(table(spark, sf_dir, "documents"))
+
+
 def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.query(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_decontaminate, op3_secrets, op4_line_dedup, op5_lm_score, op6_mix, op7_pii, op8_simhash,
-    op9_embedding_forest, op10_chat_format, op12_token_count, op13_prefix_trie)}
+    op9_embedding_forest, op10_chat_format, op11_token_align, op12_token_count, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL.format(docs="documents"),
