@@ -1,4 +1,8 @@
-"""Sample size <-> short "engineering" name (10000 -> 10k, 3e9 -> 3kkk)."""
+"""Sample size <-> short "engineering" name (10000 -> 10k, 3e9 -> 3kkk).
+
+Every group of three zeros, counted from the right as the text is read
+backwards, becomes one ``k``: 10003000 is 1k3k.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,9 @@ from pyspark.sql import functions as F
 
 
 def size_to_name(n) -> Column:
-    """Thousands as ``k``: one for every whole factor of 1000."""
+    """The size's digits with every ``000`` (found from the right) as ``k``."""
     s = (F.col(n) if isinstance(n, str) else n).cast("string")
-    zeros = F.length(s) - F.length(F.rtrim(s, F.lit("0")))
-    k = F.when(F.rtrim(s, F.lit("0")) == "", F.lit(0)).otherwise(F.floor(zeros / 3)).cast("int")
-    return F.concat(F.substr(s, F.lit(1), F.length(s) - 3 * k), F.repeat(F.lit("k"), k))
+    return F.reverse(F.replace(F.reverse(s), F.lit("000"), F.lit("k")))
 
 
 def name_to_size(s) -> Column:
@@ -22,17 +24,13 @@ def name_to_size(s) -> Column:
 
 
 def py_size_to_name(n: int) -> str:
-    thousands = 0
-    while n and n % 1000 == 0:
-        n //= 1000
-        thousands += 1
-    return f"{n}{'k' * thousands}"
+    return str(n)[::-1].replace("000", "k")[::-1]
 
 
 def py_name_to_size(s: str) -> int:
     """Inverse of ``py_size_to_name``; 0 when the text is not a size."""
-    digits = s.rstrip("k")
-    return int(digits) * 1000 ** (len(s) - len(digits)) if digits.isdecimal() else 0
+    digits = s.replace("k", "000")
+    return int(digits) if digits.isdecimal() else 0
 
 
 def ladder(first_exp: int = 4, last_exp: int = 9) -> list[int]:

@@ -98,3 +98,14 @@ def test_sample_names(spark):
     back = spark.createDataFrame([(s,) for s in got + ["abc"]], "s string")
     assert [r[0] for r in back.select(names.name_to_size("s")).collect()] == sizes + [0]
     assert [names.py_size_to_name(n) for n in sizes] == got
+
+
+def test_sample_names_shrink_every_group_of_zeros(spark):
+    names_of = {10003000: "1k3k", 1000100: "1k100", 10000000: "10kk", 100: "100", 0: "0", 1000: "1k", 10010000: "10010k"}
+    df = spark.createDataFrame([(n,) for n in names_of], "n bigint")
+    got = {r["n"]: r["s"] for r in df.select("n", names.size_to_name("n").alias("s")).collect()}
+    assert got == names_of == {n: names.py_size_to_name(n) for n in names_of}
+    back = spark.createDataFrame([(s,) for s in names_of.values()], "s string")
+    assert [r[0] for r in back.select(names.name_to_size("s")).collect()] == list(names_of)
+    assert [names.py_name_to_size(s) for s in names_of.values()] == list(names_of)
+    assert names.py_name_to_size("1k3k") == 10003000 and names.py_name_to_size("abc") == names.py_name_to_size("") == 0
