@@ -55,20 +55,9 @@ def impressions_to_libsvm(df: DataFrame) -> DataFrame:
     return df.select(encode.libsvm_line().alias("value"))
 
 
-def file_order_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
-    """W1 in input order: 0-based, contiguous.
-
-    The scan position is staged with the rows before it is used, so every
-    later job sees the same one.
-    """
-    placed = stage(df.withColumn("_mono", F.monotonically_increasing_id()), "file-order")
-    return ordering.global_index(placed, ["_mono"], out).drop("_mono")
-
-
-def index_hash_order(df: DataFrame) -> DataFrame:
-    """O1 as a transform: rows in ascending md5(text of their input-order index)."""
-    idx = file_order_index(df, "_row_idx")
-    return ordering.sorted_shuffle(idx, "_row_idx").drop("_row_idx")
+def index_hash_order(lines: DataFrame, index: str = "line_no") -> DataFrame:
+    """O1 as a transform: numbered lines (``lines.numbered_lines``) in ascending md5(text of their index)."""
+    return ordering.sorted_shuffle(lines, index).drop(index)
 
 
 def write_ladder(spark: SparkSession, data: DataFrame, sizes: Iterable[int], out_template: str,

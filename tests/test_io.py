@@ -7,6 +7,7 @@ from impressa.plans import prepare
 from impressa.schema import IMPRESSION
 from impressa.session import staging_dir
 from impressa.sources import impressions
+from impressa.sources.lines import numbered_lines
 
 
 def _rows():
@@ -30,10 +31,8 @@ def test_index_hash_order_sorts_by_md5_of_input_position(spark):
     lines = [f"{i % 2} 1:{i}" for i in range(50)]
     path = staging_dir(spark, "lines")
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    src = spark.read.text(path)
-    idx = prepare.file_order_index(src, "row_idx").collect()
-    assert sorted(r.row_idx for r in idx) == list(range(50))
-    assert {r.value: r.row_idx for r in idx} == {x: i for i, x in enumerate(lines)}
+    src = numbered_lines(spark, path)
+    assert {r.value: r.line_no for r in src.collect()} == {x: i for i, x in enumerate(lines)}
     out = [r.value for r in prepare.index_hash_order(src).collect()]
     want = [lines[i] for i in sorted(range(50), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())]
     assert out == want
