@@ -93,31 +93,3 @@ def evaluate(model, **parts: DataFrame) -> dict[str, Row]:
     """For each named part its (n, positives, roc_auc, log_loss), exact and distributed."""
     scored = {name: predictions(model, df) for name, df in parts.items()}
     return {r["part"]: r for r in metrics.by_part(scored, metrics.binary_metrics).collect()}
-
-
-def one_hot_widths(df: DataFrame, columns: list[str], max_labels: int = 1_000_000) -> DataFrame:
-    """M9: fit ``StringIndexer`` + ``OneHotEncoder`` on ``columns``; report, per
-    column, the number of labels and the one-hot vector size.
-
-    The indexer's label fit is a distributed count per value; the widths show
-    why one-hot is impractical at high cardinality (hashing bounds the width).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
-    # StringIndexer keeps every label on the driver: check the size bound first
-    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    too_wide = {c: approx[c] for c in columns if approx[c] > max_labels}
-    if too_wide:
-        raise ValueError(f"one-hot refused, label counts above {max_labels}: {too_wide}; "
-                         "use hashed features instead")
-    idx_cols = [f"{c}_idx" for c in columns]
-    vec_cols = [f"{c}_vec" for c in columns]
-    model = Pipeline(stages=[
-        StringIndexer(inputCols=columns, outputCols=idx_cols, handleInvalid="keep"),
-        OneHotEncoder(inputCols=idx_cols, outputCols=vec_cols, handleInvalid="keep"),
-    ]).fit(df)
-    indexer, encoder = model.stages
-    sizes = encoder.categorySizes
-    rows = [(c, len(labels), int(size)) for c, labels, size in zip(columns, indexer.labelsArray, sizes)]
-    return df.sparkSession.createDataFrame(rows, "feature string, n_labels int, category_size int")

@@ -26,10 +26,15 @@ def clipped(p, eps: float = LOGLOSS_EPS):
     return F.least(F.greatest(p.cast("double"), F.lit(eps)), F.lit(1.0 - eps))
 
 
-def log_loss_expr(label: str = "label", p: str = "p", eps: float = LOGLOSS_EPS):
-    """A4 per-row term: -ln(p) for positives, -ln(1-p) for negatives (p clipped); null where either is."""
+def log_loss_of(label, p, eps: float = LOGLOSS_EPS):
+    """A4 per-row term of two columns: -ln(p) for positives, -ln(1-p) for negatives (p clipped); null where either is."""
     q = clipped(p, eps)
-    return F.when(F.col(p).isNotNull(), -F.when(F.col(label) == 1, F.log(q)).when(F.col(label) == 0, F.log(1.0 - q)))
+    return F.when(p.isNotNull(), -F.when(label == 1, F.log(q)).when(label == 0, F.log(1.0 - q)))
+
+
+def log_loss_expr(label: str = "label", p: str = "p", eps: float = LOGLOSS_EPS):
+    """A4 per-row term by column names."""
+    return log_loss_of(F.col(label), F.col(p), eps)
 
 
 def log_loss(df: DataFrame, label: str = "label", p: str = "p", eps: float = LOGLOSS_EPS) -> DataFrame:

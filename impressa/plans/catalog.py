@@ -539,12 +539,13 @@ def k3_vw_samples(spark, sf):
     from impressa.plans.prepare import index_hash_order, write_lines_once
     from impressa.session import staging_dir
     from impressa.sources.impressions import read_lines, union_days
+    from impressa.sources.lines import numbered_lines
 
     parts = []
     for (part, name), path in _ladders(spark, load_impressions(spark, sf), encode.libsvm_line(), 4).items():
         out = staging_dir(spark, f"vw-{part}")
         write_lines_once(spark, {f"{out}/{name}": lambda p=path: index_hash_order(
-            read_lines(spark, p).select(encode.vw_line().alias("value")))})
+            numbered_lines(spark, p).select(encode.vw_line().alias("value"), "line_no"))})
         parts.append(read_lines(spark, f"{out}/{name}").select(F.lit(part).alias("part"), F.lit(name).alias("sample"), "value"))
     return union_days(parts)
 
@@ -670,20 +671,60 @@ def k3_convert_days(spark, sf):
         F.sum(F.split_part("value", F.lit(" "), F.lit(1)).cast("int")).cast("bigint").alias("positives"))
 
 
-@register("o1_vw_shuffled_text", W("SELECT " + _vw_sql() + " AS value FROM imp"))
+def _day_files(spark, sf, value) -> str:
+    """Text files of unequal size: one folder a day, a day's lines by event_id."""
+    from impressa.session import staging_dir
+
+    path = staging_dir(spark, "day-lines")
+    rows = load_impressions(spark, sf).select("day", "event_id", value.alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    return path
+
+
+_DAY_ORDER = "row_number() OVER (ORDER BY 'day=' || day || '/', event_id) - 1"
+
+
+@register("w1_file_order", W(
+    "SELECT " + _DAY_ORDER + " AS line_no, " + O.libsvm_line() + " AS value FROM imp"))
+def w1_file_order(spark, sf):
+    """W1 on text: every line of many files of unequal size with its index in file order."""
+    from impressa.sources.lines import numbered_lines
+
+    return numbered_lines(spark, _day_files(spark, sf, encode.libsvm_line())).select("line_no", "value")
+
+
+@register("o1_vw_shuffled_text", W(
+    "SELECT row_number() OVER (ORDER BY md5(CAST(i AS VARCHAR))) - 1 AS line_no, value FROM (SELECT " + _DAY_ORDER
+    + " AS i, " + _vw_sql() + " AS value FROM imp)"))
 def o1_vw_shuffled_text(spark, sf):
-    """LibSVM text -> VW lines in md5(row index) order, written and read back."""
+    """LibSVM text -> VW lines in md5(file-order index) order, written, and read back in the order of their files."""
     from impressa.plans.prepare import index_hash_order
     from impressa.session import staging_dir
     from impressa.sources import sinks
-    from impressa.sources.impressions import read_lines
+    from impressa.sources.lines import numbered_lines
 
-    imp = load_impressions(spark, sf)
-    src = staging_dir(spark, "libsvm-for-vw")
-    sinks.write_text(imp.select(encode.libsvm_line().alias("value")), src)
+    src = numbered_lines(spark, _day_files(spark, sf, encode.libsvm_line()))
     dst = staging_dir(spark, "vw-shuffled")
-    sinks.write_text(index_hash_order(read_lines(spark, src).select(encode.vw_line().alias("value"))), dst)
-    return read_lines(spark, dst)
+    sinks.write_text(index_hash_order(src.select(encode.vw_line().alias("value"), "line_no")), dst)
+    return numbered_lines(spark, dst).select("line_no", "value")
+
+
+@register("j2_pair_lines", W(
+    "SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, label, CAST(score AS DOUBLE) AS score FROM scored",
+    *_bayes_score_ctes()))
+def j2_pair_lines(spark, sf):
+    """J2 by line position: a label file and a score file without ids, split into different numbers of files."""
+    from impressa.session import staging_dir
+    from impressa.sources import sinks
+    from impressa.sources.lines import pair_files
+
+    model, _, test = bayes_train_test(spark, sf)
+    scored = stage(linear.linear_scores(test, model, key="event_id"), "line-scores")
+    paths = [staging_dir(spark, "label-lines"), staging_dir(spark, "score-lines")]
+    for path, cols, n in zip(paths, (("label", "p"), ("score",)), (3, 7)):
+        lines = scored.repartitionByRange(n, "event_id").sortWithinPartitions("event_id")
+        sinks.write_text(lines.select(F.concat_ws(" ", *cols).alias("value")), path)
+    return pair_files(spark, *paths)
 
 
 # ---------------------------------------------------------------- Spark ML (rows-only)
@@ -853,10 +894,32 @@ def v2_best_overall(spark, sf):
 def m9_one_hot_encoding(spark, sf):
     """One-hot encoding of the categoricals (the option the reference rejected for its
     width): per column, labels learned and one-hot vector size, on the train days."""
-    from impressa.operators.learn import one_hot_widths
+    from impressa.operators import onehot
 
     train, _ = sampling.holdout_split(load_impressions(spark, sf))
-    return one_hot_widths(train, CATEGORICAL_COLS)
+    return onehot.widths(onehot.dictionary(train, CATEGORICAL_COLS), CATEGORICAL_COLS)
+
+
+_DICT = "train AS (SELECT * FROM imp WHERE day < (SELECT max(day) FROM imp)), dict AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS col, {c} AS value, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS label FROM train WHERE {c} IS NOT NULL GROUP BY {c}"
+    for i, c in enumerate(CATEGORICAL_COLS)) + ")"
+
+
+@register("m9_one_hot_rows", W(
+    "SELECT event_id, string_agg(CAST(first + COALESCE(label, size) AS VARCHAR), ',' ORDER BY v.col) AS positions FROM "
+    "(SELECT event_id, unnest(range(0, 26)) AS col, unnest([" + ", ".join(CATEGORICAL_COLS) + "]) AS value FROM imp) v "
+    "JOIN places USING (col) LEFT JOIN dict ON dict.col = v.col AND dict.value = v.value GROUP BY event_id",
+    _DICT,
+    "places AS (SELECT col, size, sum(size + 1) OVER (ORDER BY col) - size - 1 AS first FROM (SELECT r.col, count(dict.col) AS size "
+    "FROM (SELECT unnest(range(0, 26)) AS col) r LEFT JOIN dict ON dict.col = r.col GROUP BY r.col))"))
+def m9_one_hot_rows(spark, sf):
+    """One-hot positions of every impression, by a dictionary learned on the train days."""
+    from impressa.operators import onehot
+
+    imp = load_impressions(spark, sf)
+    train, _ = sampling.holdout_split(imp)
+    rows = onehot.encode(imp, onehot.dictionary(train, CATEGORICAL_COLS), CATEGORICAL_COLS, "event_id")
+    return rows.select("event_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 R2_LARGE_N = 5000
@@ -882,3 +945,154 @@ def o3_take_n_indexed(spark, sf):
     imp = load_impressions(spark, sf).select("event_id")
     hashed = imp.withColumn("_h", ordering.md5_order_key("event_id"))
     return ordering.take_first(hashed, ["_h", "event_id"], TAKE_LARGE_N).select("event_id")
+
+
+# ---------------------------------------------------------------- boosted trees in SQL form
+
+BOOST_ROUNDS = 10
+
+
+def _first_tree_params():
+    from impressa.operators.boosting import BoostParams
+
+    return BoostParams(rounds=1)
+
+
+def _asis_values(spark, sf):
+    """Impressions with every feature as a number, train days and last day."""
+    imp = load_impressions(spark, sf)
+    rows = imp.select("event_id", "day", "label", *NUMERIC_COLS, *[encode.hex_to_uint(c).alias(c) for c in CATEGORICAL_COLS])
+    return sampling.holdout_split(stage(rows, "asis-values", partition_by="day"))
+
+
+def _first_tree_sql(body: str) -> str:
+    from impressa.operators.boosting import drawn_features
+
+    p = _first_tree_params()
+    return W(body, *O.boosted_tree_ctes(p, drawn_features(FEATURE_COLS, p.colsample, 0)))
+
+
+@register("m4_first_tree", _first_tree_sql(
+    "SELECT CAST(node AS INTEGER) AS node, depth, CAST(split.f AS INTEGER) AS feature, CAST(split.bin AS DOUBLE) AS threshold, split.ml = 1 AS null_left, "
+    "node.g AS sum_g, node.h AS sum_h, node.n, weight FROM node LEFT JOIN split USING (node)"))
+def m4_first_tree(spark, sf):
+    """First boosted tree with the reference's settings: every node with its split, sums and regularised weight."""
+    from impressa.operators import boosting
+
+    train, _ = _asis_values(spark, sf)
+    nodes = boosting.fit(train, FEATURE_COLS, _first_tree_params()).nodes(spark)
+    return nodes.select("node", "depth", "feature", "threshold", "null_left", "sum_g", "sum_h", "n", F.col("value").cast("bigint").alias("weight"))
+
+
+@register("m3_tree_score", _first_tree_sql(
+    f"SELECT event_id, label, weight AS score, round(1.0 / (1.0 + exp(-(CAST(weight AS DOUBLE) / 1e9))), 9) AS p "
+    f"FROM t{_first_tree_params().max_depth} JOIN node USING (node)"))
+def m3_tree_score(spark, sf):
+    """M3 for trees: the last day scored by a node table (the first boosted tree)."""
+    from impressa.operators import boosting
+
+    train, test = _asis_values(spark, sf)
+    scored = boosting.score(test, boosting.fit(train, FEATURE_COLS, _first_tree_params()))
+    return scored.select("event_id", "label", "score", r9(F.col("p")).alias("p"))
+
+
+@register("m4_regularised_trees")
+def m4_regularised_trees(spark, sf):
+    """Boosted trees with the reference's depth, step, draws and penalties, ten rounds of its 200: exact metrics of the last day."""
+    from impressa.operators import boosting
+
+    train, test = _asis_values(spark, sf)
+    model = boosting.fit(train, FEATURE_COLS, boosting.BoostParams(rounds=BOOST_ROUNDS))
+    m = metrics.binary_metrics(boosting.score(test, model))
+    return m.select(F.lit(BOOST_ROUNDS).alias("rounds"), "n", "positives", "roc_auc", "log_loss")
+
+
+# ---------------------------------------------------------------- many models from one scan of counts
+
+CV_ALPHAS, CV_FOLDS = (0.5, 1.0, 4.0), 5
+
+
+def _log_odds(c1: str, c0: str, n1: str, n0: str, a: str) -> tuple[str, str]:
+    """Fixed-point weight and absent term of an index, as in ``linear.fit_bernoulli_bayes``."""
+    t1, t0 = f"(ln({c1} + {a}) - ln({n1} + 2 * {a}))", f"(ln({c0} + {a}) - ln({n0} + 2 * {a}))"
+    v1, v0 = f"(ln({n1} + 2 * {a} - {c1} - {a}) - ln({n1} + 2 * {a}))", f"(ln({n0} + 2 * {a} - {c0} - {a}) - ln({n0} + 2 * {a}))"
+    return f"CAST(round(({t1} - {v1} - {t0} + {v0}) * 1e9) AS BIGINT)", f"CAST(round(({v1} - {v0}) * 1e9) AS BIGINT)"
+
+
+def _grouped_ctes(rows: str, models: str, uses: str) -> list[str]:
+    """``w``, ``model``: weights and intercepts of naive Bayes models.
+
+    ``rows``: (event_id, label, indices, g); ``models``: (k, a); model k learns from the groups g for which ``uses`` holds.
+    """
+    w, absent = _log_odds("c1", "c0", "n1", "n0", "a")
+    return [
+        f"grows AS MATERIALIZED ({rows})", f"models AS ({models})",
+        f"cls AS (SELECT k, a, CAST(sum(label) AS DOUBLE) AS n1, CAST(sum(1 - label) AS DOUBLE) AS n0 FROM models JOIN grows ON {uses} GROUP BY k, a)",
+        "gcnt AS (SELECT g, idx, sum(label) AS c1, sum(1 - label) AS c0 FROM (SELECT g, label, unnest(indices) AS idx FROM grows) GROUP BY g, idx)",
+        f"mcnt AS (SELECT k, a, i.idx, COALESCE(sum(c1) FILTER (WHERE {uses}), 0)::DOUBLE AS c1, COALESCE(sum(c0) FILTER (WHERE {uses}), 0)::DOUBLE AS c0 "
+        "FROM models CROSS JOIN (SELECT DISTINCT idx FROM gcnt) i JOIN gcnt ON gcnt.idx = i.idx GROUP BY k, a, i.idx)",
+        f"w AS MATERIALIZED (SELECT k, a, idx, {w} AS w, {absent} AS absent FROM mcnt JOIN cls USING (k, a))",
+        f"model AS (SELECT cls.k, cls.a, CAST(round((ln(n1 + a) - ln(n0 + a)) * 1e9) AS BIGINT) + s.absent + CAST(round(({M} - s.n) * "
+        "((ln(n1 + a) - ln(n1 + 2 * a)) - (ln(n0 + a) - ln(n0 + 2 * a))) * 1e9) AS BIGINT) AS intercept, "
+        "CAST(round(((ln(a) - ln(n1 + 2 * a)) - (ln(n1 + a) - ln(n1 + 2 * a)) - (ln(a) - ln(n0 + 2 * a)) + (ln(n0 + a) - ln(n0 + 2 * a))) * 1e9) AS BIGINT) AS unseen "
+        "FROM cls JOIN (SELECT k, a, count(*) AS n, CAST(sum(absent) AS BIGINT) AS absent FROM w GROUP BY k, a) s USING (k, a))",
+    ]
+
+
+def _grouped_scores(rows: str, on: str) -> list[str]:
+    """``pred(k, a, event_id, label, p)``: rows of ``rows`` scored by the models for which ``on`` holds."""
+    return [
+        f"trows AS MATERIALIZED ({rows})",
+        "tix AS (SELECT event_id, unnest(indices) AS idx FROM trows)",
+        f"pred AS (SELECT k, a, event_id, label, 1.0 / (1.0 + exp(-(CAST(score AS DOUBLE) / 1e9))) AS p FROM (SELECT mo.k, mo.a, t.event_id, t.label, "
+        f"mo.intercept + COALESCE(CAST(sum(CASE WHEN x.idx IS NULL THEN 0 ELSE COALESCE(w.w, mo.unseen) END) AS BIGINT), 0) AS score FROM model mo JOIN trows t ON {on} "
+        "LEFT JOIN tix x ON x.event_id = t.event_id LEFT JOIN w ON w.k = mo.k AND w.a = mo.a AND w.idx = x.idx "
+        "GROUP BY mo.k, mo.a, mo.intercept, t.event_id, t.label))",
+    ]
+
+
+_LAST_DAY = "(SELECT max(day) FROM hrows)"
+_FOLD = f"CAST(CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS UBIGINT) % {CV_FOLDS} AS INTEGER)"
+_FOLD_ROWS = f"SELECT event_id, label, indices, {_FOLD} AS g FROM hrows WHERE day < {_LAST_DAY}"
+
+
+@register("m8_bayes_cross_validation", W(
+    "SELECT a AS alpha, CAST(k AS INTEGER) AS fold, count(*) AS n_rows, round(avg(CASE WHEN label = 1 THEN -ln(least(greatest(p, 1e-15), 1 - 1e-15)) "
+    "ELSE -ln(1.0 - least(greatest(p, 1e-15), 1 - 1e-15)) END), 9) AS log_loss FROM pred GROUP BY a, k",
+    O.hashed_rows_cte(M),
+    *_grouped_ctes(_FOLD_ROWS, f"SELECT k, a FROM (SELECT unnest(range(0, {CV_FOLDS})) AS k) CROSS JOIN (VALUES "
+                   + ", ".join(f"({a}::DOUBLE)" for a in CV_ALPHAS) + ") v(a)", "g <> k"),
+    *_grouped_scores("SELECT * FROM grows", "t.g = mo.k")))
+def m8_bayes_cross_validation(spark, sf):
+    """M8 with folds by key hash: every (smoothing, fold) cell of naive Bayes, all from one aggregate of counts."""
+    from impressa.plans.experiment import bayes_cross_validation
+
+    out = bayes_cross_validation(spark, sf, CV_ALPHAS, CV_FOLDS, M)
+    return out.select("alpha", "fold", "n_rows", r9(F.col("log_loss")).alias("log_loss"))
+
+
+def _nested_ladder():
+    from impressa.plans.experiment import SWEEP_LADDER
+
+    return ", ".join(f"({n})" for n in SWEEP_LADDER)
+
+
+_NESTED = [
+    O.hashed_rows_cte(M),
+    f"ranked AS (SELECT *, row_number() OVER (ORDER BY {O.sample_hash('event_id', 'nested')}, event_id) AS rn FROM hrows WHERE day < {_LAST_DAY})",
+    f"total AS (SELECT count(*) AS n FROM ranked)",
+    f"rungs AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS k FROM (VALUES {_nested_ladder()}) v(size), total "
+    f"WHERE size <= n OR size = (SELECT min(size) FROM (VALUES {_nested_ladder()}) v(size) WHERE size >= n))",
+    *_grouped_ctes("SELECT event_id, label, indices, (SELECT min(k) FROM rungs WHERE size >= rn) AS g FROM ranked", "SELECT k, 1.0::DOUBLE AS a FROM rungs", "g <= k"),
+    *_grouped_scores(f"SELECT * FROM hrows WHERE day = {_LAST_DAY}", "TRUE"),
+    "hist AS (SELECT k, p AS score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM pred GROUP BY k, p)"]
+
+
+@register("m6_nested_curve", W(
+    "SELECT least(size, (SELECT n FROM total)) AS train_size, roc_auc, log_loss FROM rungs JOIN ("
+    + _METRICS.replace("SELECT CAST", "SELECT k, CAST", 1).replace("OVER (ORDER", "OVER (PARTITION BY k ORDER") + " GROUP BY k) USING (k)", *_NESTED))
+def m6_nested_curve(spark, sf):
+    """M6 from one scan: nested samples of the ladder, every rung's naive Bayes model from cumulated counts."""
+    from impressa.plans.experiment import nested_curve
+
+    return nested_curve(spark, sf, m=M)

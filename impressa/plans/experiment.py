@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from impressa.functions import hashing
 from impressa.functions.names import ladder, py_size_to_name
-from impressa.operators import learn, linear, metrics, sampling
+from impressa.operators import grouped, learn, linear, metrics, ordering, sampling
 from impressa.sources import mldata
 from impressa.sources.events import load_impressions
 from impressa.sources.sinks import stage
@@ -162,3 +162,46 @@ def evaluator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours = metrics.roc_auc(learn.predictions(model, test), "label", "p").first()[0]
     return spark.createDataFrame([(ev, ours, abs(ev - ours))],
                                  "evaluator_auc double, exact_auc double, abs_diff double")
+
+
+def key_fold(key: str, folds: int):
+    """M8: fold of a row by the md5 of its key, so that a row stays in its fold whatever else is read."""
+    return (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
+
+
+def bayes_cross_validation(spark: SparkSession, sf_dir: str, alphas: Iterable[float], folds: int = 5, m: int = 100_000) -> DataFrame:
+    """M8, checked form: (alpha, fold, n_rows, log_loss) of naive Bayes on the train days, all cells from one aggregate of counts."""
+    train, _ = hashed_split(spark, sf_dir, m)
+    alphas = [float(a) for a in alphas]
+    rows = stage(train.withColumn("fold", key_fold("event_id", folds)), "cv-rows")
+    counts, n1, n0 = grouped.group_counts(rows, "fold", folds)
+    models = grouped.fit_from_counts(counts, n1, n0, [[g for g in range(folds) if g != k] for k in range(folds)], m, alphas)
+    scored = grouped.scores(rows, models, [F.col("fold") * len(alphas) + i for i in range(len(alphas))])
+    terms = [F.struct(F.lit(a).alias("alpha"), metrics.log_loss_of(F.col("label"), linear.sigmoid_fixed(F.col(f"score_{i}"))).alias("ll"))
+             for i, a in enumerate(alphas)]
+    long = scored.select("fold", F.explode(F.array(*terms)).alias("t")).select("fold", "t.alpha", "t.ll")
+    return long.groupBy("alpha", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("ll").alias("log_loss"))
+
+
+NESTED_SALT = "nested"
+
+
+def nested_curve(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_LADDER, m: int = 100_000) -> DataFrame:
+    """M6 in one pass: nested samples by hash rank, every rung's model from one aggregate of counts: (train_size, roc_auc, log_loss).
+
+    A row's rung is the smallest size whose sample (the rows of smallest md5)
+    holds it; a rung's counts are those of all rungs up to it.
+    """
+    train, test = hashed_split(spark, sf_dir, m)
+    hashed = train.withColumn("_h", sampling.sample_hash("event_id", NESTED_SALT))
+    ranked = ordering.global_index(hashed, ["_h", "event_id"], "_rank").drop("_h")
+    total = train.count()
+    ladder_sizes = sizes_upto(sizes, total)
+    rung = F.lit(None).cast("int")
+    for k in reversed(range(len(ladder_sizes))):
+        rung = F.when(F.col("_rank") < ladder_sizes[k], F.lit(k)).otherwise(rung)
+    counts, n1, n0 = grouped.group_counts(ranked.withColumn("rung", rung), "rung", len(ladder_sizes))
+    models = grouped.fit_from_counts(counts, n1, n0, [list(range(k + 1)) for k in range(len(ladder_sizes))], m, [1.0])
+    scored = stage(grouped.scores(test, models, list(range(len(models)))).drop("indices"), "nested-scores")
+    parts = {str(min(n, total)): scored.select("label", linear.sigmoid_fixed(F.col(f"score_{k}")).alias("p")) for k, n in enumerate(ladder_sizes)}
+    return metrics.by_part(parts, metrics.binary_metrics).select(F.col("part").cast("bigint").alias("train_size"), "roc_auc", F.round("log_loss", 9).alias("log_loss"))

@@ -166,3 +166,61 @@ def bayes_sweep_ctes(sizes: list[int], hash_spaces: list[int], names: list[str])
         "FROM (SELECT *, sum(neg) OVER (PARTITION BY m, size ORDER BY score ROWS BETWEEN UNBOUNDED "
         "PRECEDING AND CURRENT ROW) - neg AS neg_below FROM hist) GROUP BY m, size)",
     ]
+
+
+def boosted_tree_ctes(p, features: list[int], src: str = "imp") -> list[str]:
+    """CTEs of the first boosted tree over the as-is features.
+
+    ``bin(event_id, f, bin)``, ``split(node, f, bin, ml, gain)`` and
+    ``node(node, depth, g, h, n, weight)``; ``t<d>`` moves the test rows down
+    the tree.  ``features``: positions of those that the tree may use.
+    """
+    values = ", ".join(f"CAST({c} AS BIGINT)" for c in NUMERIC_COLS + [hex_to_uint(c) for c in CATEGORICAL_COLS])
+    last = f"(SELECT max(day) FROM {src})"
+    soft = lambda g: f"(CASE WHEN {g} > {p.alpha} THEN {g} - {p.alpha} WHEN {g} < -{p.alpha} THEN {g} + {p.alpha} ELSE 0.0::DOUBLE END)"
+    unit = lambda x: f"(CAST({x} AS DOUBLE) / 1e9::DOUBLE)"
+    worth = lambda g, h: f"({soft(unit(g))} * {soft(unit(g))} / ({unit(h)} + {p.reg_lambda}::DOUBLE))"
+    least = int(p.min_child_weight * 10**9)
+    left = "((x.bin < 0 AND b.ml = 1) OR (x.bin >= 0 AND x.bin <= b.bin))"
+    out = [
+        f"long AS MATERIALIZED (SELECT event_id, day, unnest(range(0, 39)) AS f, unnest([{values}]) AS v FROM {src})",
+        f"ranked AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS rn, count(*) OVER (PARTITION BY f) AS n "
+        f"FROM long WHERE v IS NOT NULL AND day < {last})",
+        f"cuts AS (SELECT f, list(DISTINCT v) AS cl FROM ranked JOIN (SELECT unnest(range(1, {p.bins})) AS k) "
+        f"ON rn = CAST(ceil(k * n / {p.bins}.0) AS BIGINT) GROUP BY f)",
+        "bin AS MATERIALIZED (SELECT l.event_id, l.f, CASE WHEN v IS NULL THEN -1 WHEN cl IS NULL THEN 0 "
+        "ELSE len(list_filter(cl, lambda c: c <= v)) END AS bin FROM long l LEFT JOIN cuts ON l.f = cuts.f)",
+        f"a0 AS (SELECT event_id, CAST(0 AS BIGINT) AS node, CASE WHEN label = 1 THEN -500000000 ELSE 500000000 END AS g, 250000000 AS h "
+        f"FROM {src} WHERE day < {last} AND CAST(('0x' || substr({sample_hash('event_id', 'tree0')}, 1, 13)) AS UBIGINT) "
+        f"< {int(p.subsample * 2**52)})",
+        f"t0 AS (SELECT event_id, label, CAST(0 AS BIGINT) AS node FROM {src} WHERE day = {last})",
+    ]
+    for d in range(p.max_depth):
+        sums = ", ".join(f"CAST(sum({c}) OVER one AS BIGINT) AS a{c}, CAST(sum({c}) OVER upto AS BIGINT) AS u{c}, "
+                         f"CAST(sum(CASE WHEN bin < 0 THEN {c} ELSE 0 END) OVER one AS BIGINT) AS m{c}" for c in "ghn")
+        lefts = ", ".join(f"u{c} - CASE WHEN ml = 1 THEN 0 ELSE m{c} END AS l{c}" for c in "ghn")
+        out += [
+            f"h{d} AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM a{d} JOIN bin USING (event_id) "
+            f"WHERE f IN ({', '.join(map(str, features))}) GROUP BY node, f, bin)",
+            f"c{d} AS (SELECT node, f, bin, {sums} FROM h{d} WINDOW one AS (PARTITION BY node, f), upto AS (PARTITION BY node, f "
+            "ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+            f"s{d} AS (SELECT node, f, bin, ml, ag, ah, an, {lefts} FROM c{d}, (VALUES (1), (0)) AS t(ml))",
+            f"v{d} AS (SELECT *, {worth('lg', 'lh')} + {worth('(ag - lg)', '(ah - lh)')} - {worth('ag', 'ah')} AS gain FROM s{d})",
+            f"b{d} AS MATERIALIZED (SELECT * FROM v{d} WHERE bin >= 0 AND lh >= {least} AND ah - lh >= {least} AND gain >= {p.gamma}::DOUBLE "
+            "AND gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin, ml DESC) = 1)",
+            f"a{d + 1} AS MATERIALIZED (SELECT a.event_id, 2 * a.node + CASE WHEN {left} THEN 1 ELSE 2 END AS node, a.g, a.h "
+            f"FROM a{d} a JOIN b{d} b ON a.node = b.node JOIN bin x ON x.event_id = a.event_id AND x.f = b.f)",
+            f"t{d + 1} AS MATERIALIZED (SELECT a.event_id, a.label, CASE WHEN b.node IS NULL THEN a.node WHEN {left} THEN 2 * a.node + 1 "
+            f"ELSE 2 * a.node + 2 END AS node FROM t{d} a LEFT JOIN b{d} b ON a.node = b.node "
+            "LEFT JOIN bin x ON x.event_id = a.event_id AND x.f = b.f)",
+        ]
+    sides = " UNION ALL ".join(
+        f"SELECT 2 * node + 1, {d + 1}, lg, lh, ln FROM b{d} UNION ALL SELECT 2 * node + 2, {d + 1}, ag - lg, ah - lh, an - ln FROM b{d}"
+        for d in range(p.max_depth))
+    out += [
+        "split AS (" + " UNION ALL ".join(f"SELECT node, f, bin, ml, gain FROM b{d}" for d in range(p.max_depth)) + ")",
+        f"stats AS (SELECT DISTINCT node, 0 AS depth, ag AS g, ah AS h, an AS n FROM c0 UNION ALL {sides})",
+        f"node AS (SELECT *, CAST(round((-{soft(unit('g'))} / ({unit('h')} + {p.reg_lambda}::DOUBLE) * {p.eta}::DOUBLE) * 1e9::DOUBLE) AS BIGINT) "
+        "AS weight FROM stats)",
+    ]
+    return out
