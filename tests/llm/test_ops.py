@@ -217,6 +217,30 @@ def test_short_lines_on_many_sites_are_boilerplate(spark):
         assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: t if i == 0 else f"own line number {i} here\n\nhere {i}" for i, t, _ in rows}
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    shared = [f"shared line {i}" for i in range(100_000)]
+    rows = [(i, "\n".join([f"own {i}", *shared[:50_000], f"mid {i}", *shared[50_000:]]), f"site{i}") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(d).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["n_removed"] == 0
+    assert all(got[i]["text"] == f"own {i}\nmid {i}" and got[i]["n_removed"] == 100_000 and got[i]["n_lines"] == 100_002 for i in (1, 2))
+
+
+def test_line_dedup_sql_agrees_on_null_and_repeated_ids(spark, odd_docs):
+    import duckdb
+
+    rows = [(None, "a\nb\nc", "x"), (None, "a\nz", "y"), (None, "a\nb", "z"), (5, "b\nq\nq", "x"), (5, "b\nq", "w"), (6, "q", None), (7, "q\n\n \n b ", "v"),
+            (2, "z", "x"), (1, "z\nz\n", "y"), (1, "z\nz\n", "y"), (8, "only null ids\nhave this", None), (8, None, None), (9, "", "x")]
+    rows += [(None, "solo", s) for s in "pqr"]
+    for d in (spark.createDataFrame(rows, "doc_id long, text string, source string"), odd_docs):
+        documents = d.toPandas()  # noqa: F841 - read by the SQL
+        con = duckdb.connect()
+        con.register("documents", documents.astype({"doc_id": "Int64"}))
+        want = con.execute(line_dedup.SQL.format(docs="documents")).fetchall()
+        got = [tuple(r) for r in line_dedup.query(d).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # -- 5 LM ---------------------------------------------------------------------
 
 def test_lm_base_matches_brute_force_and_model_beats_it_on_held_out(spark, sf):
