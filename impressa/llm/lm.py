@@ -8,15 +8,18 @@ its level.  Probabilities are smoothed with those counts: the bigram estimate
 is backed by the unigram one with weight ``SMOOTH`` (Dirichlet prior), and
 that by add-0.1.
 
-Rows are packed into pieces of about ``PIECE_BYTES`` of text.  A piece sends its
-distinct n-grams, each with its count in the training rows, to segments (the
-n-gram's hash chooses the segment).  A segment sums the counts, builds its own
-bit array, keeps the exact counts of its words (words are known by 64-bit hashes),
-and answers each piece with the levels that it reads for the piece's n-grams.
-The answers go back to the pieces by one cogroup.  The filter is the segments
-together; it takes about ``BITS`` bits for each filter entry, and neither the
-driver nor any one task holds it whole, so it grows with the n-grams and its
-false-positive rate does not depend on the size of the corpus.
+Tasks count the distinct n-grams of their training rows and send each with its
+count to a segment (the n-gram's hash chooses it).  A segment sums the counts
+and builds its own bit array; word counts stay exact beside it (words are known
+by 64-bit hashes).  The staged segments together are the filter.  It takes about ``BITS``
+bits for each filter entry, so it grows with the n-grams of the corpus and its
+false-positive rate does not.
+
+A filter of at most ``BROADCAST_BYTES`` (checked) is broadcast, and workers probe
+it for the distinct n-grams of a batch of rows.  A larger one stays where it
+is: rows are packed into pieces of about ``PIECE_BYTES`` of text, a piece sends its
+distinct n-grams to the segments, and these probe their own bits and send back
+levels.  Either way reads the same bits and gives the same scores.
 
 The base score needs exact counts of every token.  Words at or above a count
 chosen so that at most ``TOP`` words qualify are broadcast; all rarer words
@@ -33,13 +36,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +54,10 @@ from impressa.sources.sinks import stage
 #: A text's end; no word can hold a line break.
 END = b"\n"
 TOP = 1 << 18
-BITS = 8
-PROBES = 3
+BITS = 10
+PROBES = 4
+#: A filter up to this size is broadcast.
+BROADCAST_BYTES = 256 << 20
 LEVELS = 40
 SMOOTH = 2.0
 ADD = 0.1
@@ -60,6 +66,8 @@ SEGMENT_BYTES = 12_000_000
 MEMO = 500_000
 #: Text bytes of a piece, give or take one text.
 PIECE_BYTES = 8 << 20
+#: Distinct n-grams that a task holds while it counts.
+HELD = 3_000_000
 #: Tokens that are scored together.
 PIECE = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -148,14 +156,12 @@ class Ngrams:
         order = np.argsort(s, kind="stable")
         return order, np.searchsorted(s[order], np.arange(segments + 1))
 
-    def requests(self, train: np.ndarray) -> Iterator[tuple]:
-        """(segment, words, their counts, bigrams, their counts); ``train`` says for each token whether it counts."""
-        u = np.bincount(self.uni_back[train], minlength=len(self.uni))[self.uni_order]
-        b = np.bincount(self.bi_back[train], minlength=len(self.bi))[self.bi_order]
+    def requests(self) -> Iterator[tuple]:
+        """(segment, words, bigrams) for every segment that has some."""
         uni, bi = self.uni[self.uni_order], self.bi[self.bi_order]
         for i, (p, q, x, y) in enumerate(zip(self.uni_cut[:-1], self.uni_cut[1:], self.bi_cut[:-1], self.bi_cut[1:])):
             if q > p or y > x:
-                yield i, uni[p:q].tobytes(), narrow(u[p:q]), bi[x:y].tobytes(), narrow(b[x:y])
+                yield i, uni[p:q].tobytes(), bi[x:y].tobytes()
 
     def counts(self, answers: Iterable[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of ``uni`` and ``bi`` from the segments' levels."""
@@ -179,6 +185,21 @@ def wide(data: bytes, size: int) -> np.ndarray:
     return n
 
 
+def sent(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending distinct hashes and their counts, compressed."""
+    gaps = np.diff(h, prepend=np.uint64(0))
+    # byte by byte, so that the high bytes, mostly zero, lie together
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(h)).tobytes() + planes + narrow(n))
+
+
+def received(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    gaps = np.frombuffer(raw, np.uint8, 8 * size, 8).reshape(8, -1).T.copy().view("<u8").reshape(-1) if size else np.empty(0, np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64), wide(raw[8 + 8 * size:], size)
+
+
 def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes with the sums of their counts, those above 0."""
     h, back = np.unique(h, return_inverse=True)
@@ -190,7 +211,7 @@ def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Segments of the filter side by side, the frequent words with exact counts, and the totals."""
 
-    data: bytes
+    data: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
     frequent: np.ndarray
@@ -198,12 +219,27 @@ class Model:
     total: int
     vocabulary: int
 
+    @staticmethod
+    def of_segments(parts: dict[int, bytes], segments: int) -> Model:
+        """A model of the filter alone; a segment that is not there holds nothing."""
+        size = np.array([len(parts.get(i, b"\0")) for i in range(segments)], np.int64)
+        starts = np.cumsum(size) - size
+        data = np.zeros(int(size.sum()), np.uint8)
+        for i, part in parts.items():
+            data[starts[i]:starts[i] + size[i]] = np.frombuffer(part, np.uint8)
+        none = np.empty(0, np.uint64)
+        return Model(data, starts, (size * 8).astype(np.uint64), none, none.astype(np.int64), 0, 0)
+
+    def with_segments(self, parts: dict[int, bytes], segments: int) -> Model:
+        f = Model.of_segments(parts, segments)
+        return replace(self, data=f.data, starts=f.starts, bits=f.bits)
+
     def count_levels(self, h: np.ndarray) -> np.ndarray:
         """Levels read by repeated membership probes."""
         out = np.zeros(len(h), np.int64)
         if not len(self.starts):
             return out
-        byte = np.frombuffer(self.data, np.uint8)
+        byte = np.frombuffer(self.data, np.uint8)  # bytes or an array of them
         seg = (h % np.uint64(len(self.starts))).astype(np.int64)
         live, hh = np.arange(len(h)), h
         for j in range(1, LEVELS):
@@ -273,33 +309,115 @@ def unpacked(data: bytes, hasher: Hasher) -> tuple[pa.Table, list[np.ndarray]]:
     return t, [hasher.text(x) for x in t.column("text").to_pylist()]
 
 
-def answered(pieces: DataFrame, segments: int) -> DataFrame:
-    """(segment, words, counts, piece, levels): exact counts of a segment's words, and its answers to pieces."""
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = ["piece", "segment", "uni", "uni_n", "bi", "bi_n"]
+class Tally:
+    """Counts of distinct n-grams, gathered from batches and given out by segment."""
+
+    def __init__(self, segments: int):
+        self.segments, self.parts, self.held = segments, ([], []), 0
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        for part, h in zip(self.parts, (np.concatenate(texts), np.concatenate([bigrams(x) for x in texts]))):
+            part.append(np.unique(h, return_counts=True))
+            self.held += len(part[-1][0])
+        if self.held > HELD:
+            self._merge()
+
+    def _merge(self) -> None:
+        for part in self.parts:
+            if part:
+                part[:] = [summed(np.concatenate([h for h, _ in part]), np.concatenate([n for _, n in part]))]
+        self.held = sum(len(part[0][0]) for part in self.parts if part)
+
+    @property
+    def full(self) -> bool:
+        return self.held > HELD
+
+    def rows(self) -> Iterator[tuple]:
+        """(segment, words, bigrams), each as ``sent`` packs them."""
+        self._merge()
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        dealt = []
+        for part, key in zip(self.parts, (mix, lambda h: h)):
+            h, n = part[0] if part else none
+            order, cut = Ngrams.deal(key(h), self.segments)
+            dealt.append((h[order], n[order], cut))
+        (u, un, uc), (b, bn, bc) = dealt
+        for i in range(self.segments):
+            if uc[i + 1] > uc[i] or bc[i + 1] > bc[i]:
+                yield i, sent(u[uc[i]:uc[i + 1]], un[uc[i]:uc[i + 1]]), sent(b[bc[i]:bc[i + 1]], bn[bc[i]:bc[i + 1]])
+        self.parts, self.held = ([], []), 0
+
+
+def _batches(rows, kinds, names, size: int = 256) -> Iterator[pa.RecordBatch]:
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def grouped_texts(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Runs of texts of about ``PIECE`` tokens."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size > PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def built_filter(train: DataFrame, segments: int) -> DataFrame:
+    """(segment, words, counts, bits): exact counts of a segment's words, and its part of the filter."""
+
+    def send(batches):
+        hasher, tally = Hasher(), Tally(segments)
+
+        def rows():
+            for b in batches:
+                for texts in grouped_texts(hasher.text(x) for x in b.column("text").to_pylist()):
+                    tally.add(texts)
+                    if tally.full:
+                        yield from tally.rows()
+            yield from tally.rows()
+
+        yield from _batches(rows(), (pa.int32(), pa.binary(), pa.binary()), ["segment", "uni", "bi"])
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (w, c), (h, n) = (summed(*map(np.concatenate, zip(*map(received, pdf[k])))) for k in ("uni", "bi"))
+        data = build_segment(np.concatenate((mix(w), h)), np.concatenate((c, n)))
+        return pd.DataFrame({"segment": [key[0]], "words": [w.view(np.int64)], "counts": [c], "bits": [data]})
+
+    rows = train.select("text").mapInArrow(send, "segment int, uni binary, bi binary")
+    return rows.groupBy("segment").applyInPandas(build, "segment int, words array<long>, counts array<long>, bits binary")
+
+
+def answered(pieces: DataFrame, built: DataFrame, segments: int) -> DataFrame:
+    """(piece, segment, levels): the levels that segments read for the n-grams of pieces."""
 
     def send(batches):
         hasher = Hasher()
-        for b in batches:
-            for piece, data in zip(b.column("piece").to_pylist(), b.column("data")):
-                t, texts = unpacked(data.as_py(), hasher)
-                train = np.repeat(~t.column("held_out").to_numpy(), [len(x) for x in texts])
-                rows = [(piece, *x) for x in Ngrams(texts, segments).requests(train)]
-                for i in range(0, len(rows), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 512]), kinds)], names)
-
-    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        uni, bi = ([np.frombuffer(x, np.uint64) for x in pdf[k]] for k in ("uni", "bi"))
-        uni_n, bi_n = ([wide(x, len(h)) for x, h in zip(pdf[k], hs)] for k, hs in (("uni_n", uni), ("bi_n", bi)))
-        w, c = summed(np.concatenate(uni), np.concatenate(uni_n))
-        h, n = summed(np.concatenate(bi), np.concatenate(bi_n))
-        data, none = build_segment(np.concatenate((mix(w), h)), np.concatenate((c, n))), np.empty(0, np.uint64)
-        own = Model(data, np.zeros(1, np.int64), np.array([len(data) * 8], np.uint64), none, none, 0, 0)
-        levels = [own.count_levels(np.concatenate((mix(x), y))).astype(np.uint8).tobytes() for x, y in zip(uni, bi)]
-        return pd.DataFrame({"segment": [key[0]], "words": [w.view(np.int64)], "counts": [c], "piece": [pdf["piece"].to_numpy()], "levels": [levels]})
-
-    sent = pieces.mapInArrow(send, "piece long, segment int, uni binary, uni_n binary, bi binary, bi_n binary")
-    return sent.groupBy("segment").applyInPandas(answer, "segment int, words array<long>, counts array<long>, piece array<long>, levels array<binary>")
+
+        def rows():
+            for b in batches:
+                for piece, data in zip(b.column("piece").to_pylist(), b.column("data")):
+                    yield from ((piece, *x) for x in Ngrams(unpacked(data.as_py(), hasher)[1], segments).requests())
+
+        yield from _batches(rows(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ["piece", "segment", "uni", "bi"])
+
+    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        part = Model.of_segments({0: own["bits"].iloc[0]} if len(own) else {}, 1)
+        levels = [part.count_levels(np.concatenate((mix(np.frombuffer(u, np.uint64)), np.frombuffer(b, np.uint64)))).astype(np.uint8).tobytes()
+                  for u, b in zip(asked["uni"], asked["bi"])]
+        return pd.DataFrame({"piece": asked["piece"], "segment": asked["segment"], "levels": levels})
+
+    asked = pieces.mapInArrow(send, "piece long, segment int, uni binary, bi binary")
+    return asked.groupBy("segment").cogroup(built.groupBy("segment")).applyInPandas(answer, "piece long, segment int, levels binary")
 
 
 @dataclass(frozen=True)
@@ -307,18 +425,17 @@ class Fitted:
     model: Model
     counts: DataFrame  # (word, c), the word's hash and its exact count
     rare_below: int
-    pieces: DataFrame  # (piece, data)
-    answers: DataFrame  # (piece, segment, levels)
+    filter: DataFrame  # (segment, words, counts, bits)
     segments: int
+    filter_bytes: int
 
 
 def fit(docs: DataFrame) -> Fitted:
-    """Learn from the rows of ``docs`` that are not held_out (text as bytes), and read levels for all of them."""
+    """Learn from the rows of ``docs`` that are not held_out (text as bytes)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    segments = int(min(1 << 14, max(16, 2 * shuffle_partitions(spark), size // SEGMENT_BYTES)))
-    pieces = stage(packed(docs), "lm-pieces")
-    built = stage(answered(pieces, segments), "lm-segments")
+    segments = int(max(16, 2 * shuffle_partitions(spark), size // SEGMENT_BYTES))
+    built = stage(built_filter(docs.where(~F.col("held_out")), segments), "lm-filter")
     counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     by = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}
     total, vocabulary = sum(c * n for c, n in by.items()), sum(by.values())
@@ -330,39 +447,66 @@ def fit(docs: DataFrame) -> Fitted:
     often = counts.where(F.col("c") >= least).orderBy("word").collect()
     frequent = np.array([r["word"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
-    answers = built.select("segment", F.explode(F.arrays_zip("piece", "levels")).alias("x")).select("x.piece", "segment", "x.levels")
-    model = Model(b"", np.empty(0, np.int64), np.empty(0, np.uint64), frequent[order], np.array([r["c"] for r in often], np.int64)[order], total, vocabulary)
-    return Fitted(model, counts, least, pieces, answers, segments)
+    filter_bytes = built.agg(F.sum(F.length("bits"))).first()[0] or 0
+    model = Model(np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.uint64), frequent[order], np.array([r["c"] for r in often], np.int64)[order], total, vocabulary)
+    return Fitted(model, counts, least, built, segments, filter_bytes)
+
+
+_OWN = "rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+_OWN_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+
+def _by_broadcast(docs: DataFrame, fitted: Fitted, kept) -> DataFrame:
+    """Rows scored against the whole filter, which workers hold."""
+    parts = {r["segment"]: bytes(r["bits"]) for r in fitted.filter.select("segment", "bits").toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model.with_segments(parts, fitted.segments))
+    del parts
+    names = [f.name for f in kept] + [x.split()[0] for x in _OWN.split(", ")]
+
+    def run(batches):
+        m, rid, hasher = shared.value, TaskContext.get().partitionId() << 36, Hasher()
+        for b in batches:
+            out = []
+            for texts in grouped_texts(hasher.text(x) for x in b.column("text").to_pylist()):
+                g = Ngrams(texts, 1)
+                out += m.score(texts, g, middle(m.count_levels(mix(g.uni))), middle(m.count_levels(g.bi)))
+            if out:
+                cols = [np.arange(rid, rid + len(out)), *zip(*out)]
+                yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, _OWN_KINDS)], names)
+            rid += len(out)
 
+    return docs.mapInArrow(run, _schema(kept))
 
-def score(docs: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
-    """``keep`` columns, n_tokens, n_known, base_score and score for each row of ``docs``, the rows given to ``fit``."""
+
+def _schema(kept) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_OWN])
+
+
+def _by_segments(docs: DataFrame, fitted: Fitted, kept) -> DataFrame:
+    """Rows scored by pieces, which ask the segments for levels."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
-    kept = docs.select(*keep).schema
-    own = "rid long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [own])
-    names = [f.name for f in kept] + [x.split()[0] for x in own.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    names = [f.name for f in kept] + [x.split()[0] for x in _OWN.split(", ")]
     segments = fitted.segments
+    pieces = stage(packed(docs), "lm-pieces")
+    answers = answered(pieces, fitted.filter.select("segment", "bits"), segments)
 
-    def run(piece: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(piece: pa.Table, own: pa.Table) -> pa.Table:
         m, rid = shared.value, piece.column("piece")[0].as_py()
         t, texts = unpacked(piece.column("data")[0].as_py(), Hasher())
         g = Ngrams(texts, segments)
-        uni, bi = g.counts(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist()))
-        out, held, size = [], [], 0
-        for x in texts:
-            held.append(x)
-            size += len(x)
-            if size > PIECE:
-                out += m.score(held, g, uni, bi)
-                held, size = [], 0
-        if held:
-            out += m.score(held, g, uni, bi)
+        uni, bi = g.counts(zip(own.column("segment").to_pylist(), own.column("levels").to_pylist()))
+        out = [x for part in grouped_texts(texts) for x in m.score(part, g, uni, bi)]
         cols = [np.arange(rid, rid + len(out)), *zip(*out)]
-        return pa.Table.from_arrays([t.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        return pa.Table.from_arrays([t.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(cols, _OWN_KINDS)], names)
+
+    return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(run, _schema(kept))
 
-    first = stage(fitted.pieces.groupBy("piece").cogroup(fitted.answers.groupBy("piece")).applyInArrow(run, schema), "lm-scored")
+
+def score(docs: DataFrame, fitted: Fitted, keep: list[str], broadcast_bytes: int | None = None) -> DataFrame:
+    """``keep`` columns, n_tokens, n_known, base_score and score for each row of ``docs`` (text as bytes)."""
+    kept = docs.select(*keep).schema
+    small = fitted.filter_bytes <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    first = stage((_by_broadcast if small else _by_segments)(docs, fitted, kept), "lm-scored")
     log_all = F.lit(math.log10(fitted.model.total + ADD * (fitted.model.vocabulary + 1)))
     rare = first.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
     seen = fitted.counts.where(F.col("c") < fitted.rare_below)
