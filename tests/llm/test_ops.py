@@ -356,6 +356,42 @@ def test_flow_over_overlapping_sources_against_enumeration():
         assert (-sum(used.values()), sum(max(0, v - cap[p]) for p, v in used.items())) == best
 
 
+def test_mix_of_more_sources_than_the_driver_sees(spark):
+    n = 60_000
+    df = spark.range(2 * n).selectExpr("id AS doc_id", f"repeat('w ', CAST(id % 7 + (id % {n}) % 5 + 1 AS INT)) AS text", f"concat('s', lpad(id % {n}, 6, '0')) AS source")
+    size = {}
+    for i in range(2 * n):
+        size[i % n] = size.get(i % n, 0) + i % 7 + (i % n) % 5 + 1
+    goal = mixing.targets_by_weight([size[i] for i in range(n)], [(3, 1, 2)[i % 3] for i in range(n)])
+    rows = mixing.query(df).collect()
+    taken, most = Counter(), Counter()
+    for r in rows:
+        s = r["doc_id"] % n
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["source_size"] == size[s] and abs(r["target"] - goal[s]) < 1e-6
+        taken[s] += r["taken"]
+        most[s] = max(most[s], r["size"])
+    assert len(rows) == 2 * n and all(abs(taken[s] - goal[s]) <= most[s] for s in range(n))
+
+
+def test_mix_of_overlapping_and_lone_sources(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (i % 5 + 1), ["a"] if i % 4 == 0 else ["a", "b"] if i % 4 == 1 else ["c"] if i % 4 == 2 else ["lone", None]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, claims array<string>")
+    size = Counter()
+    for i, t, c in rows:
+        size[tuple(c)] += i % 5 + 1
+    quota = {"a": 200.0, "b": 150.0, "c": 450.0, "lone": 30.0, None: 20.0}
+    got = mixing.mix(d, F.col("claims"), quota).collect()
+    by = Counter()
+    for r in got:
+        by[tuple(r["claims"])] += r["taken"]
+        assert r["target"] == sum(quota[s] for s in r["claims"]) and r["taken"] <= 2 * r["size"]
+    want = mixing.min_cost_flow({("a",): size["a",], ("a", "b"): size["a", "b"]}, {"a": 200, "b": 150}, 2)
+    assert abs(by["a",] - want["a",]) <= 5 and abs(by["a", "b"] - want["a", "b"]) <= 5
+    assert abs(by["c",] - min(450, 2 * size["c",])) <= 5 and abs(by["lone", None] - 50) <= 5
+
+
 def test_mix_odd_rows(spark, odd_docs):
     got = mixing.query(odd_docs).collect()
     assert len(got) == 11 and {r["taken"] for r in got if not r["size"]} == {0}
