@@ -9,10 +9,9 @@ have no positional bias.  Sizes salted by their own name are independent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from impressa.operators.ordering import take_first
 from impressa.sources.sinks import stage
 
 PREFIX_DIGITS = 13              # 52 bits: exact in a double
@@ -51,6 +50,33 @@ class SampleShort(RuntimeError):
     pass
 
 
+ROWS_A_BUCKET = 100_000
+
+
+def _smallest(kept: DataFrame, key: str, n: int, below: int) -> DataFrame | None:
+    """The n rows of smallest (_h, key) among staged rows with hash prefixes ``_hp`` under ``below``; None if they are fewer.
+
+    A prefix is uniform, so equal parts of its span are buckets of about equal
+    size, in order, without a shuffle or a sample of bounds.  One count a
+    bucket tells which buckets pass whole and which one holds the n-th row;
+    only that one is ranked.
+    """
+    width = -(-below // max(1, n // ROWS_A_BUCKET))
+    bucketed = kept.withColumn("_bucket", F.floor(F.col("_hp") / F.lit(width)).cast("bigint"))
+    counts, before, last = sorted(bucketed.groupBy("_bucket").count().collect()), 0, None
+    for bucket, rows in counts:
+        if before + rows >= n:
+            last = bucket
+            break
+        before += rows
+    if last is None:
+        return None
+    whole = bucketed.where(F.col("_bucket") < last)
+    w = Window.partitionBy("_bucket").orderBy("_h", key)
+    part = bucketed.where(F.col("_bucket") == last).withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n - before)
+    return (part.drop("_nth") if not before else whole.unionByName(part.drop("_nth"))).drop("_bucket")
+
+
 def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None = None,
                  oversample: float = 1.03) -> DataFrame:
     """R2: exactly min(n, N) rows: the n smallest (md5(salt:key), key).
@@ -58,8 +84,9 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
     A Bernoulli pre-filter at ``oversample * n / N`` trims the input without a
     shuffle, and what it keeps is staged, so the input is read once for the
     count and once for the rows; if fewer than n rows are kept the threshold
-    doubles until n are.  The cut inside the kept rows is O3.  Null keys have no place in the order:
-    reading one raises, and so does a sample that comes out short.
+    doubles until n are.  The cut inside the kept rows counts buckets of the
+    hash.  Null keys have no place in the order: reading one raises, and so
+    does a sample that comes out short.
     """
     n = int(n)
     total = df.count() if total is None else int(total)
@@ -70,14 +97,14 @@ def exact_sample(df: DataFrame, key: str, n: int, salt: str, total: int | None =
     hashed = df.withColumn("_h", _strict_hash(key, salt)).withColumn("_hp", hash_prefix(F.col("_h")))
     frac = min(1.0, oversample * n / total)
     while True:
-        kept = stage(hashed.filter(F.col("_hp") < F.lit(int(frac * PREFIX_RANGE))), "sample-kept")
-        have = kept.count()
-        if have >= n:
-            break
+        below = int(frac * PREFIX_RANGE)
+        kept = stage(hashed.filter(F.col("_hp") < F.lit(below)), "sample-kept")
+        cut = _smallest(kept, key, n, below)
+        if cut is not None:
+            return cut.drop("_h", "_hp")
         if frac >= 1.0:
-            raise SampleShort(f"{have} rows, {n} asked of {total}")
+            raise SampleShort(f"under {n} of {total} rows asked for")
         frac = min(1.0, frac * 2)
-    return take_first(kept, ["_h", key], n).drop("_h", "_hp")
 
 
 def exact_samples(df: DataFrame, key: str, sizes: dict[str, int], total: int | None = None,
@@ -85,7 +112,7 @@ def exact_samples(df: DataFrame, key: str, sizes: dict[str, int], total: int | N
     """R2 for many named sizes with one scan of ``df``, each as ``exact_sample(df, key, n, salt=name)``.
 
     The scan stages a row once for every size whose pre-filter it passes; each
-    size is then cut by O3 from its own staged rows.  A size of all rows is
+    size is then cut from its own staged rows.  A size of all rows is
     ``df`` itself; one whose pre-filter kept too few rows is drawn alone.
     """
     total = df.count() if total is None else int(total)
@@ -96,13 +123,10 @@ def exact_samples(df: DataFrame, key: str, sizes: dict[str, int], total: int | N
     tags = [F.when(hash_prefix(_strict_hash(key, s)) < F.lit(b), F.lit(s)) for s, b in below.items()]
     near = stage(df.withColumn("_sample", F.explode(F.array_compact(F.array(*tags)))), "samples", partition_by="_sample")
     near = near.withColumn("_sample", F.col("_sample").cast("string"))
-    have = {r["_sample"]: r["count"] for r in near.groupBy("_sample").count().collect()}
-    for s in below:
-        if have.get(s, 0) < sizes[s]:
-            out[s] = exact_sample(df, key, sizes[s], s, total, 2 * oversample)
-        else:
-            kept = near.where(F.col("_sample") == s).drop("_sample").withColumn("_h", sample_hash(key, s))
-            out[s] = take_first(kept, ["_h", key], sizes[s]).drop("_h")
+    for s, b in below.items():
+        kept = near.where(F.col("_sample") == s).drop("_sample").withColumn("_h", sample_hash(key, s))
+        cut = _smallest(kept.withColumn("_hp", hash_prefix(F.col("_h"))), key, sizes[s], b)
+        out[s] = exact_sample(df, key, sizes[s], s, total, 2 * oversample) if cut is None else cut.drop("_h", "_hp")
     return out
 
 
