@@ -9,6 +9,7 @@ floating point.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -74,6 +75,59 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "p",
         F.try_divide(F.col("fp").cast("double"), F.lit(float(N))).alias("fpr"))
 
 
+def roc_buckets(df: DataFrame, label: str = "label", score: str = "p", points: int = 1000, accuracy: int = 100_000) -> DataFrame:
+    """Rows per bucket of scores: (bucket, low, high, pos, neg), under 2 x ``points`` rows, staged.
+
+    Buckets are cut before and behind ``points`` - 1 approximate quantiles of
+    all scores, from sketches that merge by aggregation.  So a score that many
+    rows share has a bucket of its own, and any other bucket holds about
+    1 / ``points`` of the rows at most; counts are exact.  Rows without a label
+    or a score count nowhere.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    own = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).cast("bigint").alias("y"), F.col(score).cast("double").alias("s"))
+    cuts = own.agg(F.percentile_approx("s", [k / points for k in range(1, points)], accuracy)).first()[0]
+    inf = float("inf")
+    splits = [-inf, *sorted({x for c in cuts or [0.0] for x in (float(c), math.nextafter(float(c), inf))}), inf]
+    placed = Bucketizer(splits=splits, inputCol="s", outputCol="bucket", handleInvalid="keep").transform(own)
+    return stage(placed.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(
+        F.min("s").alias("low"), F.max("s").alias("high"), F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg")), "roc-buckets")
+
+
+def roc_sketch(df: DataFrame, label: str = "label", score: str = "p", points: int = 1000, accuracy: int = 100_000) -> DataFrame:
+    """A5 with a bounded number of points: (threshold, tp, fp, tpr, fpr) from +inf down, at most 2 x ``points`` rows.
+
+    Every point lies on the exact curve of ``roc_curve``; only points between
+    are left out.
+    """
+    b = roc_buckets(df, label, score, points, accuracy)
+    tot = b.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    P, N = int(tot["P"] or 0), int(tot["N"] or 0)
+    cum = prefix_sums(b.withColumn("_down", -F.col("bucket")), ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True)
+    start = df.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, tp bigint, fp bigint")
+    return start.unionByName(cum.select(F.col("low").alias("threshold"), "tp", "fp")).select(
+        "threshold", "tp", "fp", F.try_divide(F.col("tp").cast("double"), F.lit(float(P))).alias("tpr"),
+        F.try_divide(F.col("fp").cast("double"), F.lit(float(N))).alias("fpr"))
+
+
+def auc_bounds(df: DataFrame, label: str = "label", score: str = "p", points: int = 1000, accuracy: int = 100_000) -> DataFrame:
+    """One row (auc_low, auc_high) that the exact AUC (A6) lies between, from ``roc_buckets``.
+
+    Pairs of different buckets are in known order and pairs of one score are
+    ties; only pairs inside a bucket of several scores are open, at most about
+    1 / ``points`` of all.
+    """
+    below = prefix_sums(roc_buckets(df, label, score, points, accuracy), ["bucket"], {"neg_below": F.col("neg")}, inclusive=False)
+    pos, neg, nb = (F.col(c).cast(D38) for c in ("pos", "neg", "neg_below"))
+    tied = F.col("low") == F.col("high")
+    sums = below.agg(F.sum(2 * pos * nb + F.when(tied, pos * neg).otherwise(F.lit(0).cast(D38))).alias("sure"),
+                     F.sum(F.when(~tied, 2 * pos * neg).otherwise(F.lit(0).cast(D38))).alias("open"), F.sum(pos).alias("P"), F.sum(neg).alias("N"))
+    whole = (2 * F.col("P") * F.col("N")).cast("double")
+    return sums.select(F.try_divide(F.col("sure").cast("double"), whole).alias("auc_low"),
+                       F.try_divide((F.col("sure") + F.col("open")).cast("double"), whole).alias("auc_high"))
+
+
 def metrics_from_histogram(hist: DataFrame, eps: float = LOGLOSS_EPS,
                            buckets: int | None = None) -> DataFrame:
     """A6 + A4 on a (score, pos, neg) histogram of probabilities.

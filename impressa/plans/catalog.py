@@ -790,6 +790,19 @@ def m10_parallelism_sweep(spark, sf):
     return parallelism_sweep(spark, sf)
 
 
+M10_CORES = (1, 2, 4)
+
+
+@register("m10_parallelism_sizes", W(
+    "SELECT tasks, (SELECT count(*) FROM imp WHERE day < (SELECT max(day) FROM imp)) AS train_rows FROM (VALUES "
+    + ", ".join(f"({p})" for p in M10_CORES) + ") v(tasks)"))
+def m10_parallelism_sizes(spark, sf):
+    """M10's columns that do not depend on the clock: tasks and rows of every fit."""
+    from impressa.plans.experiment import parallelism_sweep
+
+    return parallelism_sweep(spark, sf, M10_CORES).select("tasks", "train_rows")
+
+
 @register("a7_evaluator_auc")
 def a7_evaluator_auc(spark, sf):
     from impressa.plans.experiment import evaluator_agreement
@@ -857,6 +870,17 @@ def p16_positive_probability(spark, sf):
     return learn.predictions(model, test, key="event_id")
 
 
+@register("p16_bayes_probability", W("SELECT event_id, label, round(p, 4) AS p FROM pred", *_bayes_score_ctes()))
+def p16_bayes_probability(spark, sf):
+    """Test-day probabilities of class 1 out of the probability vectors of Spark ML's naive Bayes."""
+    from impressa.operators import learn
+    from impressa.plans.experiment import ml_datasets
+
+    train, test = ml_datasets(spark, sf, "bayes", M)
+    model = learn.make_classifier("bayes").fit(train.select("label", "features"))
+    return learn.predictions(model, test, key="event_id").withColumn("p", F.round("p", 4))
+
+
 # ---------------------------------------------------------------- streaming form of K3
 
 @register("k3_stream_convert", W(
@@ -1096,3 +1120,162 @@ def m6_nested_curve(spark, sf):
     from impressa.plans.experiment import nested_curve
 
     return nested_curve(spark, sf, m=M)
+
+
+# ---------------------------------------------------------------- fast hash
+
+@register("p10_fast_indices", W(
+    "SELECT event_id, CAST(len(l) AS INTEGER) AS n_idx, array_to_string(l, ',') AS indices FROM (SELECT event_id, "
+    "list_sort(list_distinct(list_filter([" + ", ".join(
+        O.fast_index(k, O.log_square(c) if c in NUMERIC_COLS else O.hex_to_uint(c), M) for k, c in enumerate(FEATURE_COLS, 1))
+    + "], lambda x: x IS NOT NULL))) AS l FROM imp)"))
+def p10_fast_indices(spark, sf):
+    """Fast mode of P10 over all rows: integer hashing of (feature, value) without text or MD5."""
+    imp = load_impressions(spark, sf).select("event_id", *ALL_COLS)
+    idx = hashing.with_fast_indices(imp, M, out="l")
+    return idx.select("event_id", F.size("l").cast("int").alias("n_idx"), F.array_join("l", ",").alias("indices"))
+
+
+# ---------------------------------------------------------------- reports over click rates by day and feature value
+
+_RATE_DAYS = [f"d{d}" for d in range(30)]
+
+
+def _rates_cte(name: str, columns: list[str]) -> str:
+    return (f"{name} AS (SELECT feature || '=' || v AS value, 'd' || day AS day, count(*) AS n, CAST(sum(label_click) AS BIGINT) AS clicks, "
+            f"CAST(sum(label_click) AS DOUBLE) / count(*) AS click_rate FROM (UNPIVOT (SELECT day, label_click, " + ", ".join(columns)
+            + " FROM imp) ON " + ", ".join(columns) + " INTO NAME feature VALUE v) GROUP BY ALL)")
+
+
+_RATES = _rates_cte("rates", CATEGORICAL_COLS)
+
+
+def _rates(spark, sf, columns=CATEGORICAL_COLS):
+    from impressa.plans.experiment import click_rates
+
+    return stage(click_rates(load_impressions(spark, sf), columns), "click-rates")
+
+
+def _rate_columns(metric: str) -> str:
+    return ", ".join(f"max(CASE WHEN day = '{d}' THEN {metric} END) AS {d}" for d in _RATE_DAYS)
+
+
+@register("v1_rate_pivot", W(f"SELECT value, {_rate_columns('click_rate')} FROM rates GROUP BY value", _RATES))
+def v1_rate_pivot(spark, sf):
+    """V1 over thousands of feature values: click rate, one column a day; the days are found (A3)."""
+    from impressa.operators import report
+
+    return report.pivot_metric(_rates(spark, sf), "click_rate", x="value", series="day")
+
+
+@register("j1_rate_merge", W(f"SELECT value, {_rate_columns('clicks')} FROM rates GROUP BY value", _RATES))
+def j1_rate_merge(spark, sf):
+    """J1 over thousands of feature values: clicks of all days, outer-merged; the days are found (A3)."""
+    from impressa.operators import report
+
+    return report.outer_merge(_rates(spark, sf), "clicks", x="value", series="day")
+
+
+@register("v2_rate_best_day", W(
+    "SELECT * FROM rates QUALIFY row_number() OVER (PARTITION BY value ORDER BY click_rate DESC, day) = 1", _RATES))
+def v2_rate_best_day(spark, sf):
+    """V2 over thousands of feature values: the day of the highest click rate."""
+    from impressa.operators import report
+
+    return report.best_per_size(_rates(spark, sf), "click_rate", lower_is_better=False, x="value", series="day")
+
+
+@register("v3_rate_ratio", W(
+    "SELECT a.value, a.click_rate AS a_value, b.click_rate AS b_value, CASE WHEN b.click_rate <> 0 THEN a.click_rate / b.click_rate END AS ratio, "
+    "(SELECT min(x.value) FROM rates x JOIN rates y ON x.value = y.value WHERE x.day = 'd1' AND y.day = 'd2' AND x.click_rate < y.click_rate) AS a_better_from "
+    "FROM rates a JOIN rates b ON a.value = b.value WHERE a.day = 'd1' AND b.day = 'd2'", _RATES))
+def v3_rate_ratio(spark, sf):
+    """V3 over thousands of feature values: click rate of one day against another's."""
+    from impressa.operators import report
+
+    return report.ratio_between(_rates(spark, sf), "d1", "d2", "click_rate", x="value", series="day")
+
+
+@register("v4_rate_combine", W("SELECT value, day, n, clicks, click_rate FROM rates UNION ALL SELECT value, day, n, clicks, click_rate FROM wide",
+                               _RATES, _rates_cte("wide", NUMERIC_COLS)))
+def v4_rate_combine(spark, sf):
+    """V4 over thousands of groups: rates of categorical and of numeric values, tables with different extra columns."""
+    from impressa.operators import report
+
+    a = _rates(spark, sf).withColumn("kind", F.lit("categorical"))
+    b = _rates(spark, sf, NUMERIC_COLS).withColumn("source_columns", F.lit(len(NUMERIC_COLS)))
+    return report.combine_common([a, b])
+
+
+# ---------------------------------------------------------------- logistic regression in SQL form
+
+STEP = 4.0
+
+
+@register("m1_logistic_step", W(
+    "SELECT CAST(idx AS INTEGER) AS idx, w, CAST(sum(g) AS BIGINT) AS g FROM (SELECT x.idx, w1.w, CAST(round((s.p - s.label) * 1e9) AS BIGINT) AS g FROM "
+    "(SELECT event_id, label, 1.0 / (1.0 + exp(-(CAST(sum(w) AS DOUBLE) / 1e9))) AS p FROM ix JOIN w1 USING (idx) GROUP BY event_id, label) s "
+    "JOIN ix x ON x.event_id = s.event_id JOIN w1 ON w1.idx = x.idx) GROUP BY idx, w",
+    O.hashed_rows_cte(M),
+    f"ix AS MATERIALIZED (SELECT event_id, label, unnest(list_prepend(-1, indices)) AS idx FROM hrows WHERE day < {_LAST_DAY})",
+    "g0 AS (SELECT idx, sum(CASE WHEN label = 1 THEN -500000000 ELSE 500000000 END) AS g FROM ix GROUP BY idx)",
+    f"w1 AS MATERIALIZED (SELECT idx, CAST(round(-(CAST(g AS DOUBLE) * {STEP}::DOUBLE / (SELECT count(DISTINCT event_id) FROM ix))) AS BIGINT) AS w FROM g0)"))
+def m1_logistic_step(spark, sf):
+    """M1, checked form: the weights after one full gradient step from zero, and the gradient there (idx -1: intercept)."""
+    from impressa.operators import logistic
+
+    train, _ = hashed_split_of(spark, sf)
+    n = train.count()
+    zero = linear.LinearModel(spark.createDataFrame([], "idx int, w bigint"), 0, 0, M)
+    first = stage(logistic.gradient(train, zero).select("idx", F.round(-(F.col("g").cast("double") * STEP / n)).cast("bigint").alias("w")), "lr-step")
+    intercept = first.where(F.col("idx") == logistic.INTERCEPT).first()["w"]
+    then = linear.LinearModel(first.where(F.col("idx") != logistic.INTERCEPT), intercept, 0, M)
+    return first.join(logistic.gradient(train, then).select("idx", "g"), "idx")
+
+
+@register("m1_logistic_fixed_point")
+def m1_logistic_fixed_point(spark, sf):
+    """M1 by fixed-point gradients with the reference's L2 of 0.03, fitted on the train days: exact metrics of the last day."""
+    from impressa.operators import learn, logistic
+
+    train, test = hashed_split_of(spark, sf)
+    got = logistic.fit(train, M, reg=learn.LR_PARAMS["regParam"], tol=1e-4)
+    m = metrics.binary_metrics(linear.linear_scores(test, got.model(spark), key="event_id"))
+    return m.select(F.lit(got.iterations).alias("iterations"), "n", "positives", "roc_auc", "log_loss")
+
+
+def hashed_split_of(spark, sf):
+    from impressa.plans.experiment import hashed_split
+
+    return hashed_split(spark, sf, M)
+
+
+# ---------------------------------------------------------------- bounded ROC curve
+
+ROC_POINTS = 64
+
+_BUCKETS = [
+    "cut AS (SELECT list(DISTINCT p) AS cl FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM pred) "
+    f"JOIN (SELECT unnest(range(1, {ROC_POINTS})) AS k) ON rn = CAST(ceil(k * n / {ROC_POINTS}.0) AS BIGINT))",
+    "bucket AS (SELECT len(list_filter(cl, lambda c: c <= p)) + len(list_filter(cl, lambda c: c < p)) AS b, min(p) AS low, max(p) AS high, CAST(sum(label) AS BIGINT) AS pos, "
+    "CAST(sum(1 - label) AS BIGINT) AS neg FROM pred, cut GROUP BY ALL)"]
+
+
+@register("a5_roc_sketch", W(
+    "SELECT round(low, 9) AS threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM bucket "
+    "WINDOW w AS (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0",
+    *_bayes_score_ctes(), *_BUCKETS))
+def a5_roc_sketch(spark, sf):
+    """A5 with at most 128 points: counts at quantiles of the scores, found by mergeable sketches."""
+    roc = metrics.roc_sketch(_bayes_predictions(spark, sf), points=ROC_POINTS)
+    return roc.select(r9(F.col("threshold")).alias("threshold"), "tp", "fp")
+
+
+@register("a5_auc_bounds", W(
+    "SELECT CAST(sum(sure) AS DOUBLE) / CAST(2 * sum(pos) * sum(neg) AS DOUBLE) AS auc_low, CAST(sum(sure) + sum(inside) AS DOUBLE) / "
+    "CAST(2 * sum(pos) * sum(neg) AS DOUBLE) AS auc_high FROM (SELECT pos::HUGEINT AS pos, neg::HUGEINT AS neg, 2 * pos * COALESCE(sum(neg) OVER "
+    "(ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN low = high THEN pos * neg ELSE 0 END AS sure, "
+    "CASE WHEN low < high THEN 2 * pos * neg ELSE 0 END AS inside FROM bucket)", *_bayes_score_ctes(), *_BUCKETS))
+def a5_auc_bounds(spark, sf):
+    """Bounds of the exact AUC from the bounded curve's counts."""
+    return metrics.auc_bounds(_bayes_predictions(spark, sf), points=ROC_POINTS)

@@ -124,19 +124,26 @@ def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str,
     return spark.createDataFrame(rows, ", ".join(f"{name} double" for name in [*grid, "cv_log_loss"]))
 
 
-def parallelism_sweep(spark: SparkSession, sf_dir: str, per_core=(1, 2, 4),
+def parallelism_sweep(spark: SparkSession, sf_dir: str, cores: Iterable[int] | None = None,
                       size: int = 10_000_000) -> DataFrame:
-    """LR train time at a fixed size against the number of input partitions per core."""
+    """LR train time at a fixed size against the cores at work: (cores, tasks, train_rows, train_time).
+
+    Every pass of the fit runs one task a partition, so a train set of p
+    partitions occupies p cores at most; the sweep doubles p up to the session's
+    parallelism.  (A resource profile a stage would bound executors as well,
+    but needs dynamic allocation, which a local session has not.)
+    """
     train, _ = ml_datasets(spark, sf_dir, "lr")
-    tr = sampling.exact_sample(train, "event_id", size, salt=py_size_to_name(size))
+    tr = stage(sampling.exact_sample(train, "event_id", size, salt=py_size_to_name(size)), "parallel-train")
+    most = spark.sparkContext.defaultParallelism
     rows = []
-    for p in (k * spark.sparkContext.defaultParallelism for k in per_core):
+    for p in cores or [k for k in (1 << i for i in range(31)) if k <= most]:
         with learn.persisted(tr.repartition(p)) as cached:
             n = cached.count()
             t0 = time.perf_counter()
             learn.make_classifier("lr").fit(cached)
-            rows.append((int(p), int(n), time.perf_counter() - t0))
-    return spark.createDataFrame(rows, "partitions int, train_rows bigint, train_time double")
+            rows.append((min(p, most), int(p), int(n), time.perf_counter() - t0))
+    return spark.createDataFrame(rows, "cores int, tasks int, train_rows bigint, train_time double")
 
 
 def fit_and_evaluate(spark: SparkSession, sf_dir: str, kind: str, overrides: dict | None = None
@@ -205,3 +212,11 @@ def nested_curve(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_
     scored = stage(grouped.scores(test, models, list(range(len(models)))).drop("indices"), "nested-scores")
     parts = {str(min(n, total)): scored.select("label", linear.sigmoid_fixed(F.col(f"score_{k}")).alias("p")) for k, n in enumerate(ladder_sizes)}
     return metrics.by_part(parts, metrics.binary_metrics).select(F.col("part").cast("bigint").alias("train_size"), "roc_auc", F.round("log_loss", 9).alias("log_loss"))
+
+
+def click_rates(imp: DataFrame, columns: list[str]) -> DataFrame:
+    """(value, day, n, clicks, click_rate) per feature value and day: a long metric table of any length for the report operators."""
+    long = imp.unpivot(["day", "label_click"], columns, "feature", "v").where("v IS NOT NULL")
+    per = long.groupBy(F.concat_ws("=", "feature", "v").alias("value"), F.concat(F.lit("d"), "day").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label_click").cast("bigint").alias("clicks"))
+    return per.withColumn("click_rate", F.col("clicks") / F.col("n"))

@@ -224,3 +224,14 @@ def boosted_tree_ctes(p, features: list[int], src: str = "imp") -> list[str]:
         "AS weight FROM stats)",
     ]
     return out
+
+
+def fast_index(feature: int, value: str, m: int) -> str:
+    """Fast mode of P10: ((v mod P) * a + (v div P) * b + c) * a, modulo P and then m."""
+    from impressa.functions.hashing import FAST_PRIME as p
+    from impressa.functions.hashing import fast_factors
+
+    a, b, c = fast_factors(feature)
+    mod = lambda x: f"((({x}) % {p} + {p}) % {p})"
+    mixed = f"(({mod(value)} * {a} + {mod(f'CAST(floor({value} / {p}.0) AS BIGINT)')} * {b} % {p} + {c}) % {p})"
+    return f"CAST({mixed} * {a} % {p} % {int(m)} AS INTEGER)"

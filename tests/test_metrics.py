@@ -68,3 +68,19 @@ def test_parts_are_measured_apart(spark):
     frames = {k: spark.createDataFrame(v, "label int, p double") for k, v in parts.items()}
     got = {r.part: r for r in metrics.by_part(frames, metrics.binary_metrics).collect()}
     assert {k: (r.n, r.roc_auc) for k, r in got.items()} == {"test": (2, 1.0), "train": (3, 0.0)}
+
+
+def test_bounded_curve_lies_on_the_exact_one_and_bounds_its_area(spark):
+    rng = random.Random(3)
+    rows = [(int(rng.random() < 0.3 + 0.4 * p), p) for p in (rng.choice([rng.random(), 0.5, 0.25]) for _ in range(6000))] + [(None, 0.5), (1, None)]
+    df = spark.createDataFrame(rows, "label int, p double").repartition(5)
+    exact = {(r["threshold"], r["tp"], r["fp"]) for r in metrics.roc_curve(df).collect()}
+    auc = metrics.roc_auc(df).first()[0]
+    for points in (2, 20, 500):
+        curve = metrics.roc_sketch(df, points=points).collect()
+        assert len(curve) <= 2 * points and {(r["threshold"], r["tp"], r["fp"]) for r in curve} <= exact
+        low, high = metrics.auc_bounds(df, points=points).first()
+        assert low <= auc <= high and high - low <= 1.5 / points
+    low, high = metrics.auc_bounds(df.where("p = 0.5"), points=9).first()
+    assert low == high == 0.5
+    assert metrics.auc_bounds(df.limit(0)).first()["auc_low"] is None and metrics.roc_sketch(df.limit(0)).count() == 1
