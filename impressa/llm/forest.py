@@ -1,15 +1,20 @@
 """Embedding near-duplicates by a random-projection tree forest (operator 9).
 
 Trees split recursively on random directions at the median; vectors within
-``spill`` of a split go both ways, so a pair separated by a split must lie
-further apart along that direction than pairs above the threshold do (bar
-three standard deviations).  The trees are fitted on a bounded sample
-(``sample`` distinct vectors of smallest hash) and every vector is routed
-through all of them.  Only vectors of one label that share a leaf are
-compared, by exact double-precision cosine.  A leaf is split as long as the
-fullest label in it is expected to hold more than ``leaf`` vectors and the split
-still divides; a larger leaf (a dense group that no split divides) is
-compared in chunk pairs of bounded size.
+``spill`` of a split go both ways.  The spill is narrow: a split parts about one
+in fifty of the pairs at the threshold, so a tree of 14 levels loses a quarter of
+these (fewer of closer pairs) and all trees together about one in ten thousand,
+while only one vector in sixteen is copied at a split.  (A spill that loses no
+pair copies a quarter, and copies grow with every level.)
+
+The upper part of a tree is fitted on a bounded sample (``sample`` distinct vectors
+of smallest hash) and every vector is routed through it.  A leaf that then holds
+too many vectors of a label is refitted on a bounded sample of its own, by the
+task that has this sample, and its vectors are routed on in chunks, until no leaf
+is too large or no split divides it; so the work a vector does not grow with the table.
+Only vectors of one label that share a leaf are compared, by exact
+double-precision cosine; a dense group that no split divides is compared in
+chunk pairs of bounded size.
 
 Equal vectors of a label are one node with a multiplicity, so copies are never
 expanded.  A pair that shares several leaves counts in its first one only, so a
@@ -24,6 +29,8 @@ is never kept); an empty table gives no rows; other columns are not returned.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +44,13 @@ from impressa.sources.sinks import stage
 TREES = 6
 LEAF = 1500
 SAMPLE = 20_000
-SPILL_SIGMAS = 3.0
+#: Width of the overlap at a split, in standard deviations of the gap of a pair at the threshold.
+SPILL_SIGMAS = 0.8
 MAX_DEPTH = 24
+#: Vectors that a leaf is refitted on, and that are routed on together.
+SUBSAMPLE = 4_000
+CHUNK = 20_000
+ROUNDS = 6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,12 +102,15 @@ class Tree:
             yield rows, node
 
 
+def spill(dim: int, threshold: float) -> float:
+    """Half the overlap: a part of the deviation that the gap of a pair at the threshold has along a random direction."""
+    return SPILL_SIGMAS * float(np.sqrt(max(0.0, 2 - 2 * threshold) / dim)) / 2
+
+
 def grow(x: np.ndarray, label: np.ndarray, total: int, threshold: float, trees: int, leaf: int, seed: int) -> list[Tree]:
-    """Spill: half the gap that a pair at the threshold has on a random direction, at three standard deviations."""
-    gap = np.sqrt(max(0.0, 2 - 2 * threshold) / x.shape[1])
     rng, out, first = np.random.default_rng(seed), [], 0
     for _ in range(trees):
-        t = Tree(x, label, max(1.0, total / len(x)), leaf, SPILL_SIGMAS * gap / 2, rng, first)
+        t = Tree(x, label, max(1.0, total / len(x)), leaf, spill(x.shape[1], threshold), rng, first)
         first = t.next
         out.append(t)
     return out
@@ -163,6 +178,61 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+_ROUTED = "node long, label string, mult long, leaf long, data binary, sig array<long>"
+
+
+def refined(routed: DataFrame, kind, threshold: float, leaf: int, seed: int) -> DataFrame:
+    """``routed`` with leaves of over 2 x ``leaf`` vectors of a label split further, and ``sig`` telling all leaves of a vector."""
+    changed = False
+    for level in range(ROUNDS):
+        size = routed.groupBy("label", "leaf").count()
+        big = stage(size.where(F.col("count") > 2 * leaf), "forest-large")
+        if big.isEmpty():
+            break
+        drawn = F.pmod(F.xxhash64("node", F.lit(seed + level)), F.col("count")) < SUBSAMPLE
+
+        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.frombuffer(b"".join(pdf["data"]), kind).reshape(len(pdf), -1))
+            rng = np.random.default_rng([seed, level, key[1] & 0x7FFFFFFF])
+            t = Tree(x, np.zeros(len(x), np.int8), max(1.0, pdf["count"].iloc[0] / len(x)), leaf, spill(x.shape[1], threshold), rng, 0)
+            if t.next == 1:
+                return pd.DataFrame({"label": np.empty(0, object), "leaf": np.empty(0, np.int64), "tree": np.empty(0, object)})
+            return pd.DataFrame({"label": [key[0]], "leaf": [key[1]], "tree": [pickle.dumps(t)]})
+
+        sample = routed.join(big, ["label", "leaf"]).where(drawn).select("label", "leaf", "count", "data")
+        trees = stage(sample.groupBy("label", "leaf").applyInPandas(fit, "label string, leaf long, tree binary"), "forest-trees")
+        split = trees.join(big, ["label", "leaf"]).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int"))
+        if trees.isEmpty():
+            break
+
+        def on(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.frombuffer(b"".join(rows["data"]), kind).reshape(len(rows), -1)) if len(rows) else None
+            if x is None:
+                return rows[_NAMES]
+            parts = [(r, np.full(len(r), at)) for r, at in pickle.loads(tree["tree"].iloc[0]).route(x)]
+            out = rows[_NAMES].iloc[np.concatenate([r for r, _ in parts])].copy()
+            # leaves below a leaf: its number mixed with theirs, clear of the first trees' small numbers
+            above, own = out["leaf"].to_numpy().astype(np.uint64), np.concatenate([a for _, a in parts]).astype(np.uint64)
+            h = (above * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out["leaf"] = ((h ^ (h >> np.uint64(29))) >> np.uint64(2) | np.uint64(1 << 61)).astype(np.int64)
+            return out
+
+        places = split.select("label", "leaf", "chunks")
+        moved = routed.join(places, ["label", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        by = split.select("label", "leaf", "tree", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        keys = ["label", "leaf", "chunk"]
+        moved = moved.groupBy(*keys).cogroup(by.groupBy(*keys)).applyInPandas(on, _ROUTED)
+        routed = stage(routed.join(places, ["label", "leaf"], "left_anti").unionByName(moved), "forest-routed")
+        changed = True
+    if not changed:
+        return routed
+    sigs = routed.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("sig"))
+    return stage(routed.drop("sig").join(sigs, "node").select("node", "label", "mult", "leaf", "data", "sig"), "forest-routed")
+
+
+_NAMES = [c.split()[0] for c in _ROUTED.split(", ")]
+
+
 def _search(spark, nodes: DataFrame, kind, threshold, trees, leaf, sample, seed) -> tuple[DataFrame, DataFrame]:
     """(node, n) link counts by leaf and (a, b) links, for nodes of one dimension."""
     total = nodes.count()
@@ -182,22 +252,21 @@ def _search(spark, nodes: DataFrame, kind, threshold, trees, leaf, sample, seed)
             for t in forest.value:
                 for r, at in t.route(z):
                     rows.append(r)
-                    leaves.append(np.full(len(r), at, np.int32))
+                    leaves.append(np.full(len(r), at, np.int64))
             rows, leaves = np.concatenate(rows), np.concatenate(leaves)
             order = np.lexsort((leaves, rows))
             sig = np.split(leaves[order], np.cumsum(np.bincount(rows, minlength=m))[:-1])
             data = [raw[i].tobytes() for i in range(m)]
-            sigs = [s.tobytes() for s in sig]
             for i in range(0, len(rows), 20_000):
                 r = rows[i:i + 20_000]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("node").take(take), b.column("label").take(take), b.column("mult").take(take), pa.array(leaves[i:i + 20_000]),
-                     pa.array([data[j] for j in r], pa.binary()), pa.array([sigs[j] for j in r], pa.binary())],
+                     pa.array([data[j] for j in r], pa.binary()), pa.array([sig[j] for j in r], pa.list_(pa.int64()))],
                     ["node", "label", "mult", "leaf", "data", "sig"])
 
-    routed = nodes.select("node", "label", "mult", "x").mapInArrow(route, "node long, label string, mult long, leaf int, data binary, sig binary")
-    routed = stage(routed, "forest-routed")
+    routed = nodes.select("node", "label", "mult", "x").mapInArrow(route, _ROUTED)
+    routed = refined(stage(routed, "forest-routed"), kind, threshold, leaf, seed)
     size = routed.groupBy("label", "leaf").count()
     chunks = size.select("label", "leaf", F.ceil(F.col("count") / (2 * leaf)).cast("int").alias("k")).where("k > 1")
     r = routed.join(chunks, ["label", "leaf"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
@@ -208,8 +277,8 @@ def _search(spark, nodes: DataFrame, kind, threshold, trees, leaf, sample, seed)
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, at, i, j = key
         z = unit(np.frombuffer(b"".join(pdf["data"]), kind).reshape(len(pdf), -1))
-        sigs = [np.frombuffer(s, np.int32) for s in pdf["sig"]]
-        sig = np.full((len(sigs), max(map(len, sigs))), -1, np.int32)
+        sigs = [np.asarray(s, np.int64) for s in pdf["sig"]]
+        sig = np.full((len(sigs), max(map(len, sigs))), -1, np.int64)
         for n, s in enumerate(sigs):
             sig[n, :len(s)] = s
         side = None if i == j else (pdf["own"] == j).to_numpy()
