@@ -63,11 +63,11 @@ SMOOTH = 2.0
 ADD = 0.1
 #: Text bytes that one segment stands for, on average, at most.
 SEGMENT_BYTES = 12_000_000
-MEMO = 500_000
+MEMO = 200_000
 #: Text bytes of a piece, give or take one text.
 PIECE_BYTES = 8 << 20
 #: Distinct n-grams that a task holds while it counts.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Tokens that are scored together.
 PIECE = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
