@@ -9,7 +9,8 @@ FAST = ["a1_row_count", "a2_count_per_day", "p1_libsvm_line", "p3_hex_to_uint",
         "p15_sample_names", "f3_holdout_split", "w1_row_index", "w2_prefix_sum", "o1_shuffle_order",
         "o3_take_n", "r1_bernoulli_sample", "r2_exact_sample", "m7_collision_rate", "m9_cardinality",
         "a8_evaluate", "a5_roc_curve", "m5_bayes_weights", "s1_scan_tsv", "s2_scan_text",
-        "r3_sample_ladder", "v1_pivot_metric", "v3_metric_ratio"]
+        "r3_sample_ladder", "v1_pivot_metric", "v3_metric_ratio", "w1_file_order", "j2_pair_lines",
+        "p10_fast_indices", "m4_first_tree", "v1_rate_pivot", "m9_one_hot_rows"]
 
 
 @pytest.mark.parametrize("name", FAST)
