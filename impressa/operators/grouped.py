@@ -87,24 +87,14 @@ def scores(rows: DataFrame, models: GroupedModels, pick: list[Column | int], ind
     every = spark.range(models.m).select(F.col("id").cast("int").alias("idx")).join(models.weights, "idx", "left")
     entry = F.struct("idx", *[F.coalesce(n, F.lit(d)).alias(n) for n, d in zip(names, models.defaults)])
     sorted_all = every.agg(F.sort_array(F.collect_list(entry)).alias("a"))
-    dense = sorted_all.select(F.struct(*[F.col(f"a.{n}").alias(n) for n in names]).alias("a")).scalar()
-    ids = F.coalesce(F.col(indices), F.array().cast("array<int>"))
+    # All weights, model after model.  Used once below, so that Spark keeps the scalar inside that expression: as a
+    # column of its own it would be copied with every row.
+    dense = sorted_all.select(F.concat(*[F.col(f"a.{n}") for n in names]).alias("a")).scalar()
+    numbers = [F.lit(k) if isinstance(k, int) else k.cast("int") for k in pick]
     columns = rows.columns
-    out = rows.withColumns({"_w": dense, "_ids": ids})
-
-    def chosen(number, of) -> Column:
-        if isinstance(number, int):
-            return of(number)
-        pick_one = F.when(number == 0, of(0))
-        for k in range(1, len(models)):
-            pick_one = pick_one.when(number == k, of(k))
-        return pick_one
-
-    result = []
-    for i, number in enumerate(pick):
-        w = chosen(number, lambda k: F.col(f"_w.w{k}"))
-        b = chosen(number, lambda k: F.lit(models.intercepts[k]))
-        own = F.struct(w.alias("w"))
-        s = F.transform(F.array(own), lambda o: F.aggregate(F.col("_ids"), F.lit(0).cast("bigint"), lambda acc, j: acc + F.get(o["w"], j)))
-        result.append((b + F.get(s, F.lit(0))).cast("bigint").alias(f"score_{i}"))
-    return out.select(*columns, *result)
+    ids = F.coalesce(F.col(indices), F.array().cast("array<int>"))
+    sums = F.transform(F.array(*[k * models.m for k in numbers]),
+                       lambda first: F.aggregate(ids, F.lit(0).cast("bigint"), lambda acc, j: acc + F.get(F.col("_w"), first + j)))
+    intercepts = F.array(*[F.lit(b).cast("bigint") for b in models.intercepts])
+    out = rows.withColumn("_w", dense).select(*columns, sums.alias("_sums"))
+    return out.select(*columns, *[(F.get(intercepts, k) + F.get("_sums", F.lit(i))).cast("bigint").alias(f"score_{i}") for i, k in enumerate(numbers)])

@@ -68,3 +68,14 @@ def test_one_hot_of_a_column_above_a_million_labels(spark):
     got = onehot.encode(df, d, ["c"], "k").agg(F.count("*").alias("n"), F.sum((F.col("positions")[0] == 0).cast("int")).alias("hot"),
                                                F.count_distinct(F.col("positions")[0]).alias("places")).first()
     assert (got["n"], got["hot"], got["places"]) == (n, math.ceil(n / 3), labels)
+
+
+def test_the_weights_of_all_models_are_no_column_of_the_rows(spark):
+    df = hashed_rows(spark, 60)
+    counts, n1, n0 = grouped.group_counts(df, "g", 4)
+    models = grouped.fit_from_counts(counts, n1, n0, [[0], [1], [2]], 50, [1.0])
+    path = staging_dir(spark, "grouped-rows")
+    df.write.parquet(path)
+    for pick in ([0, 1, 2], [F.col("g"), F.lit(2) - F.col("g")]):
+        scored = grouped.scores(spark.read.parquet(path), models, pick)
+        assert " AS _w#" not in scored._jdf.queryExecution().optimizedPlan().toString()
