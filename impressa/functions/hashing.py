@@ -97,15 +97,20 @@ def with_hashed_indices(df: DataFrame, m: int = DEFAULT_HASH_SPACE, out: str = "
     stage with per-expression generated code, still faster than the
     interpreted path (see README, Open work).
     """
+    return with_hash_spaces(df, {out: m}, tokens)
+
+
+def with_hash_spaces(df: DataFrame, spaces: dict[str, int], tokens: list[str] | None = None) -> DataFrame:
+    """``with_hashed_indices`` for several hash spaces, {column: m}, from one digest a token."""
     toks = token_sql() if tokens is None else tokens
     dn = [f"_d{k}" for k in range(len(toks))]
     digests = df.selectExpr("*", *[f"md5({t}) AS {n}" for t, n in zip(toks, dn)])
     words = digests.selectExpr(*[f"`{c}`" for c in df.columns],
                                *[f"{_be_word_sql(n, 0)} AS {n}a" for n in dn],
                                *[f"{_be_word_sql(n, 4)} AS {n}b" for n in dn])
-    idx = "array(" + ", ".join(words_to_index_sql(f"{n}a", f"{n}b", m) for n in dn) + ")"
     keep = [f"`{c}`" for c in df.columns]
-    return words.selectExpr(*keep, f"sort_array(array_except({idx}, array(CAST(NULL AS INT)))) AS `{out}`")
+    idx = {out: "array(" + ", ".join(words_to_index_sql(f"{n}a", f"{n}b", m) for n in dn) + ")" for out, m in spaces.items()}
+    return words.selectExpr(*keep, *[f"sort_array(array_except({i}, array(CAST(NULL AS INT)))) AS `{out}`" for out, i in idx.items()])
 
 
 # ---------------------------------------------------------------- fast mode of P10 (not bit-compatible with the MD5 hash)

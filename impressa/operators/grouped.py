@@ -51,11 +51,33 @@ def group_counts(rows: DataFrame, group: str, groups: int, label: str = "label",
     return counts, [tot[f"c1_{k}"] for k in range(groups)], [tot[f"c0_{k}"] for k in range(groups)]
 
 
+def member_counts(rows: DataFrame, members: list[Column], label: str = "label", indices: str = "indices"
+                  ) -> tuple[DataFrame, list[int], list[int]]:
+    """``group_counts`` for groups that may overlap: group k has the rows for which ``members[k]`` holds (at most 62 groups)."""
+    if len(members) > 62:
+        raise ValueError(f"{len(members)} groups do not fit one number a row")
+    mask = F.lit(0).cast("bigint")
+    for k, member in enumerate(members):
+        mask = mask + F.when(member, F.lit(1 << k)).otherwise(F.lit(0))
+    y = F.col(label).cast("bigint")
+    own = rows.select(mask.cast("bigint").alias("_in"), y.alias("_y"), F.col(indices).alias("_i")).where("_y IS NOT NULL AND _in <> 0")
+    own = own.select(F.when(F.col("_y") == 1, F.col("_in")).otherwise(0).alias("_in1"), F.when(F.col("_y") == 0, F.col("_in")).otherwise(0).alias("_in0"), "_i")
+    sums = [F.sum(F.shiftright(f"_in{c}", k).bitwiseAND(F.lit(1))).cast("bigint").alias(f"c{c}_{k}") for k in range(len(members)) for c in (1, 0)]
+    # the rows without an index are the totals, so that one pass gives both
+    keyed = own.select("_in1", "_in0", F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("_i", F.array().cast("array<int>")))).alias("idx"))
+    counts = stage(keyed.groupBy("idx").agg(*sums), "member-counts")
+    tot = counts.where("idx = -1").first()
+    n1, n0 = ([int(tot[f"c{c}_{k}"]) if tot else 0 for k in range(len(members))] for c in (1, 0))
+    return counts.where("idx >= 0"), n1, n0
+
+
 def fit_from_counts(counts: DataFrame, n1: list[int], n0: list[int], uses: list[list[int]], m: int,
-                    alphas: list[float], scale: int = SCALE) -> GroupedModels:
+                    alphas: list[float], scale: int = SCALE, seen_only: bool = False) -> GroupedModels:
     """A model for every set of groups in ``uses`` and every smoothing in ``alphas`` (the latter varies fastest).
 
-    Weights are those of ``linear.fit_bernoulli_bayes`` on the rows of these groups.
+    Weights are those of ``linear.fit_bernoulli_bayes`` on the rows of these
+    groups; with ``seen_only`` an index that none of them holds has the weight
+    of unseen indices, as there, to the last digit.
     """
     cols, intercepts, defaults, sums = [], [], [], []
     models = [(u, a) for u in uses for a in alphas]
@@ -66,14 +88,18 @@ def fit_from_counts(counts: DataFrame, n1: list[int], n0: list[int], uses: list[
         lt1, lt0 = F.log(c1 + alpha) - F.lit(d1), F.log(c0 + alpha) - F.lit(d0)
         ln1 = F.log(F.lit(t1 + 2 * alpha) - c1 - alpha) - F.lit(d1)
         ln0 = F.log(F.lit(t0 + 2 * alpha) - c0 - alpha) - F.lit(d0)
-        cols += [F.round((lt1 - ln1 - lt0 + ln0) * scale).cast("bigint").alias(f"w{k}"), F.round((ln1 - ln0) * scale).cast("bigint").alias(f"absent{k}")]
-        sums.append(F.sum(f"absent{k}").alias(f"absent{k}"))
-        u, v = math.log(alpha), (math.log(t1 + alpha) - d1) - (math.log(t0 + alpha) - d0)
-        defaults.append(_q((u - d1) - (math.log(t1 + alpha) - d1) - (u - d0) + (math.log(t0 + alpha) - d0), scale))
+        w, absent = F.round((lt1 - ln1 - lt0 + ln0) * scale).cast("bigint"), F.round((ln1 - ln0) * scale).cast("bigint")
+        if seen_only:
+            w, absent = F.when(c1 + c0 > 0, w), F.when(c1 + c0 > 0, absent)
+        cols += [w.alias(f"w{k}"), absent.alias(f"absent{k}")]
+        sums += [F.sum(f"absent{k}").alias(f"absent{k}"), F.count(f"w{k}").alias(f"n{k}")]
+        u, v1, v0 = math.log(alpha), math.log(t1 + alpha) - d1, math.log(t0 + alpha) - d0
+        v = v1 - v0
+        defaults.append(_q(((u - d1) - v1) - ((u - d0) - v0) if seen_only else (u - d1) - v1 - (u - d0) + v0, scale))
         intercepts.append((_q(math.log(t1 + alpha) - math.log(t0 + alpha), scale), v))
     weights = stage(counts.select(F.col("idx").cast("int").alias("idx"), *cols), "group-weights")
-    seen = weights.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    total = [prior + int(seen[f"absent{k}"] or 0) + _q((m - seen["n"]) * v, scale) for k, (prior, v) in enumerate(intercepts)]
+    seen = weights.agg(*sums).first()
+    total = [prior + int(seen[f"absent{k}"] or 0) + _q((m - seen[f"n{k}"]) * v, scale) for k, (prior, v) in enumerate(intercepts)]
     return GroupedModels(weights.select("idx", *[f"w{k}" for k in range(len(models))]), total, defaults, m)
 
 

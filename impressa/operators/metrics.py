@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impressa.operators.ordering import prefix_sums
@@ -177,6 +177,34 @@ def by_part(parts: dict[str, DataFrame], measure) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def many_metrics(scored: DataFrame, probabilities: dict[str, Column], label: str = "label") -> DataFrame:
+    """A8 for many scores of the same rows: ``binary_metrics`` of each entry of ``probabilities``, its name in ``part``.
+
+    One scan of the rows makes the histograms of all scores, and one order of
+    (part, score) their running counts.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), p.cast("double").alias("score")) for name, p in probabilities.items()]))
+    y = F.col(label).cast("bigint")
+    long = scored.where(F.col(label).isNotNull()).select(y.alias("y"), each.alias("e")).select("y", "e.*").where("score IS NOT NULL")
+    hist = stage(long.groupBy("part", "score").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg")), "score-hists")
+    below = prefix_sums(hist, ["part", "score"], {"neg_below": F.col("neg")}, inclusive=False)
+    first = hist.groupBy("part").agg(F.sum("neg").alias("N"))
+    # negatives of the parts in front count in the running sums and are taken off again
+    before = {name: 0 for name in probabilities}
+    acc = 0
+    for r in sorted(first.collect()):
+        before[r["part"]], acc = acc, acc + r["N"]
+    offsets = scored.sparkSession.createDataFrame(list(before.items()), "part string, _before bigint")
+    pos, neg, nb = F.col("pos").cast(D38), F.col("neg").cast(D38), (F.col("neg_below") - F.col("_before")).cast(D38)
+    q = clipped("score")
+    ll = F.col("pos") * -F.log(q) + F.col("neg") * -F.log(1.0 - q)
+    agg = offsets.join(below, "part", "left").groupBy("part").agg(
+        F.sum(2 * pos * nb + pos * neg).alias("num"), F.sum(pos).alias("P"), F.sum(neg).alias("N"), F.sum(ll).alias("ll"))
+    return agg.select("part", (F.col("P") + F.col("N")).cast("bigint").alias("n"), F.col("P").cast("bigint").alias("positives"),
+                      F.try_divide(F.col("num").cast("double"), (2 * F.col("P") * F.col("N")).cast("double")).alias("roc_auc"),
+                      F.try_divide(F.col("ll"), (F.col("P") + F.col("N")).cast("double")).alias("log_loss"))
+
+
 def evaluator_auc(predictions: DataFrame, label: str = "label",
                   raw: str = "probability", exact: bool = True) -> float:
     """Spark ML's evaluator; ``numBins=0`` makes it exact (no down-sampling)."""

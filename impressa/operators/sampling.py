@@ -130,6 +130,49 @@ def exact_samples(df: DataFrame, key: str, sizes: dict[str, int], total: int | N
     return out
 
 
+def sample_members(df: DataFrame, key: str, sizes: dict[str, int], row: str, total: int) -> dict[str, Column]:
+    """R2 for many named sizes as conditions on the rows of ``df``: who is among the n smallest (md5(name:key), key, ``row``).
+
+    ``df`` is staged and ``row`` a number of its rows, unique, that settles
+    equal keys.  One scan counts rows a bucket of each size's hash, a second one
+    ranks the bucket that holds the n-th row; no row is written or moved.
+    """
+    out = {s: F.lit(n >= total) for s, n in sizes.items()}
+    inside = {s: int(n) for s, n in sizes.items() if 0 < n < total}
+    if not inside:
+        return out
+    width = -(-PREFIX_RANGE // max(1, total // ROWS_A_BUCKET))
+
+    def bucket(s: str) -> Column:
+        return F.floor(hash_prefix(_strict_hash(key, s)) / F.lit(width)).cast("bigint")
+
+    names = list(inside)
+    placed = df.select(F.posexplode(F.array(*[bucket(s) for s in names])).alias("_s", "_bucket"))
+    counts: dict[str, list] = {s: [] for s in names}
+    for r in placed.groupBy("_s", "_bucket").count().collect():
+        counts[names[r["_s"]]].append((r["_bucket"], r["count"]))
+    last, nth = {}, {}
+    for s, n in inside.items():
+        before = 0
+        for b, rows in sorted(counts[s]):
+            if before + rows >= n:
+                last[s], nth[s] = b, n - before
+                break
+            before += rows
+        else:
+            raise SampleShort(f"under {n} of {total} rows asked for")
+    near = F.array(*[F.when(bucket(s) == last[s], F.struct(F.lit(s).alias("s"), sample_hash(key, s).alias("h"), F.col(key).alias("key"), F.col(row).alias("row")))
+                     for s in names])
+    ranked = df.select(F.explode(F.array_compact(near)).alias("r")).select("r.*")
+    w = Window.partitionBy("s").orderBy("h", "key", "row")
+    want = F.coalesce(*[F.when(F.col("s") == s, F.lit(n)) for s, n in nth.items()])
+    for r in ranked.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == want).collect():
+        h = sample_hash(key, r["s"])
+        tied = (F.col(key) < r["key"]) | ((F.col(key) == r["key"]) & (F.col(row) <= r["row"]))
+        out[r["s"]] = (h < r["h"]) | ((h == r["h"]) & tied)
+    return out
+
+
 def count_per_day(df: DataFrame, day: str = "day") -> DataFrame:
     """A2: rows per day plus the total (``rollup``: the total row has day null)."""
     return df.rollup(day).agg(F.count(F.lit(1)).alias("n_rows"))

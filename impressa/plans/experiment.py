@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -49,23 +50,27 @@ def hashed_split(spark: SparkSession, sf_dir: str, m: int) -> tuple[DataFrame, D
 
 def bayes_sweep(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_LADDER,
                 hash_spaces: Iterable[int] = SWEEP_HASH_SPACES) -> DataFrame:
-    """M6 + M7 (SQL form): (engine, train_size, roc_auc, log_loss) per hash space x size."""
-    cells = []
-    for m in hash_spaces:
-        train, test = hashed_split(spark, sf_dir, m)
-        total = train.count()
-        engine = f"bayes-{py_size_to_name(m)}"
-        for n in sizes_upto(sizes, total):
-            tr = sampling.exact_sample(train, "event_id", n, salt=py_size_to_name(n), total=total)
-            model = linear.fit_bernoulli_bayes(tr, m)
-            met = metrics.binary_metrics(linear.linear_scores(test, model, key="event_id"))
-            cells.append(met.select(F.lit(engine).alias("engine"),
-                                    F.lit(min(int(n), total)).cast("bigint").alias("train_size"),
-                                    "roc_auc", F.round("log_loss", 9).alias("log_loss")))
-    out = cells[0]
-    for c in cells[1:]:
-        out = out.unionByName(c)
-    return stage(out, "bayes-sweep", files=1)
+    """M6 + M7 (SQL form): (engine, train_size, roc_auc, log_loss) per hash space x size.
+
+    The impressions are hashed once for all spaces, the samples are conditions
+    on the staged rows, and one scan a hash space counts for all sizes.
+    """
+    spaces = {f"indices_{m}": int(m) for m in hash_spaces}
+    coded = hashing.with_hash_spaces(load_impressions(spark, sf_dir), spaces).select("event_id", "day", "label", *spaces)
+    rows = stage(coded.withColumn("_row", F.monotonically_increasing_id()), "hashed-spaces", partition_by="day")
+    train, test = sampling.holdout_split(rows)
+    total = train.count()
+    ladder_sizes = sizes_upto(sizes, total)
+    members = sampling.sample_members(train, "event_id", {py_size_to_name(n): n for n in ladder_sizes}, "_row", total)
+    out = []
+    for column, m in spaces.items():
+        counts, n1, n0 = grouped.member_counts(train, list(members.values()), indices=column)
+        models = grouped.fit_from_counts(counts, n1, n0, [[k] for k in range(len(ladder_sizes))], m, [1.0], seen_only=True)
+        scored = grouped.scores(test.select("event_id", "label", column), models, list(range(len(models))), column)
+        met = metrics.many_metrics(scored, {str(min(int(n), total)): linear.sigmoid_fixed(F.col(f"score_{k}")) for k, n in enumerate(ladder_sizes)})
+        out.append(met.select(F.lit(f"bayes-{py_size_to_name(m)}").alias("engine"), F.col("part").cast("bigint").alias("train_size"),
+                              "roc_auc", F.round("log_loss", 9).alias("log_loss")))
+    return stage(reduce(DataFrame.unionByName, out), "bayes-sweep", files=1)
 
 
 def ml_datasets(spark: SparkSession, sf_dir: str, kind: str, m: int = 100_000):
@@ -209,9 +214,9 @@ def nested_curve(spark: SparkSession, sf_dir: str, sizes: Iterable[int] = SWEEP_
         rung = F.when(F.col("_rank") < ladder_sizes[k], F.lit(k)).otherwise(rung)
     counts, n1, n0 = grouped.group_counts(ranked.withColumn("rung", rung), "rung", len(ladder_sizes))
     models = grouped.fit_from_counts(counts, n1, n0, [list(range(k + 1)) for k in range(len(ladder_sizes))], m, [1.0])
-    scored = stage(grouped.scores(test, models, list(range(len(models)))).drop("indices"), "nested-scores")
-    parts = {str(min(n, total)): scored.select("label", linear.sigmoid_fixed(F.col(f"score_{k}")).alias("p")) for k, n in enumerate(ladder_sizes)}
-    return metrics.by_part(parts, metrics.binary_metrics).select(F.col("part").cast("bigint").alias("train_size"), "roc_auc", F.round("log_loss", 9).alias("log_loss"))
+    scored = grouped.scores(test, models, list(range(len(models))))
+    parts = {str(min(n, total)): linear.sigmoid_fixed(F.col(f"score_{k}")) for k, n in enumerate(ladder_sizes)}
+    return metrics.many_metrics(scored, parts).select(F.col("part").cast("bigint").alias("train_size"), "roc_auc", F.round("log_loss", 9).alias("log_loss"))
 
 
 def click_rates(imp: DataFrame, columns: list[str]) -> DataFrame:

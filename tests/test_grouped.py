@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from impressa.operators import grouped, linear, onehot
+from impressa.operators import grouped, linear, metrics, onehot, sampling
 from impressa.session import staging_dir
 
 
@@ -79,3 +79,32 @@ def test_the_weights_of_all_models_are_no_column_of_the_rows(spark):
     for pick in ([0, 1, 2], [F.col("g"), F.lit(2) - F.col("g")]):
         scored = grouped.scores(spark.read.parquet(path), models, pick)
         assert " AS _w#" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sample_members_are_the_exact_sample_and_settle_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "ROWS_A_BUCKET", 50)
+    path = staging_dir(spark, "member-rows")
+    spark.range(700).select((F.col("id") % 350).alias("event_id"), F.col("id").alias("_row")).write.parquet(path)
+    df = spark.read.parquet(path)
+    sizes = {"1": 1, "101": 101, "699": 699, "9k": 9000}
+    for name, member in sampling.sample_members(df, "event_id", sizes, "_row", 700).items():
+        rows = [r["event_id"] for r in df.where(member).collect()]
+        want = [r["event_id"] for r in sampling.exact_sample(df, "event_id", sizes[name], name, 700).collect()]
+        assert sorted(rows) == sorted(want)
+    with pytest.raises(sampling.SampleShort):
+        sampling.sample_members(df, "event_id", {"800": 800}, "_row", 900)
+
+
+def test_overlapping_groups_give_the_fits_and_metrics_of_their_rows(spark):
+    m, df = 50, hashed_rows(spark).where("label IS NOT NULL")
+    members = [F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.lit(True), F.col("event_id") < 5]
+    counts, n1, n0 = grouped.member_counts(df, members)
+    models = grouped.fit_from_counts(counts, n1, n0, [[k] for k in range(len(members))], m, [1.0], seen_only=True)
+    scored = grouped.scores(df, models, list(range(len(members))))
+    got = {r["part"]: r for r in metrics.many_metrics(scored, {str(k): linear.sigmoid_fixed(F.col(f"score_{k}")) for k in range(len(members))}).collect()}
+    for k, member in enumerate(members):
+        one = linear.linear_scores(df, linear.fit_bernoulli_bayes(df.where(member), m), key="event_id")
+        assert {(r[0], r[1]) for r in one.select("event_id", "score").collect()} == {(r[0], r[1]) for r in scored.select("event_id", f"score_{k}").collect()}
+        want = metrics.binary_metrics(one).first()
+        assert (got[str(k)]["n"], got[str(k)]["positives"], got[str(k)]["roc_auc"]) == (want["n"], want["positives"], want["roc_auc"])
+        assert math.isclose(got[str(k)]["log_loss"], want["log_loss"], rel_tol=1e-12)
