@@ -22,23 +22,47 @@ def _parsed(lines: DataFrame, column: str = "value") -> DataFrame:
         F.col("r.label").alias("label"), F.col("r.features").alias("features"))
 
 
+#: A label, then pairs of plain numbers: what the P1 writer makes.
+PLAIN_LINE = r"[+-]?[0-9]{1,9}(?: [1-9][0-9]{0,8}:-?[0-9]{1,18})*+"
+
+
+def _values(lines: DataFrame, column: str = "value") -> DataFrame:
+    """LibSVM lines -> (label, kv): values by index, both as text, so that a plain line is split once by a built-in.
+
+    Other lines go through ``parse_libsvm``, which tells empty, odd and malformed pairs apart.
+    """
+    pairs = F.transform(encode.parse_libsvm(column)["features"],
+                        lambda t: F.struct(t["idx"].cast("string").alias("key"), t["val"].cast("string").alias("value")))
+    rest = f"substr(`{column}`, instr(`{column}`, ' ') + 1)"
+    plain = F.when(F.instr(F.col(column), " ") == 0, F.expr("CAST(map() AS MAP<STRING, STRING>)")).otherwise(F.expr(f"str_to_map({rest}, ' ', ':')"))
+    return lines.select(F.split_part(F.col(column), F.lit(" "), F.lit(1)).cast("int").alias("label"),
+                        F.when(F.col(column).rlike(f"^{PLAIN_LINE}$"), plain).otherwise(F.map_from_entries(pairs)).alias("kv"))
+
+
+def _value_sql(c: str) -> str:
+    return f"CAST(element_at(kv, '{FEATURE_INDEX[c]}') AS BIGINT)"
+
+
 def impressions_from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """LibSVM lines -> impression layout (label, i1..i13 BIGINT, c14..c39 hex text).
 
     Each index occurs at most once per line, so the parsed pairs become a map
     and every feature a flat ``element_at``: no nested lambda functions.
     """
-    p = _parsed(lines, column).select("label", F.map_from_entries("features").alias("kv"))
-    cols = [f"CAST(element_at(kv, {FEATURE_INDEX[c]}) AS BIGINT) AS {c}" for c in NUMERIC_COLS]
-    cols += [f"{encode.uint_to_hex8_sql(f'element_at(kv, {FEATURE_INDEX[c]})')} AS {c}"
-             for c in CATEGORICAL_COLS]
-    return p.selectExpr("label", *cols)
+    cols = [f"{_value_sql(c)} AS {c}" for c in NUMERIC_COLS]
+    cols += [f"{encode.uint_to_hex8_sql(_value_sql(c))} AS {c}" for c in CATEGORICAL_COLS]
+    return _values(lines, column).selectExpr("label", *cols)
 
 
 def hashed_from_lines(lines: DataFrame, m: int = DEFAULT_HASH_SPACE, column: str = "value") -> DataFrame:
-    """LibSVM lines -> (label DOUBLE, indices ARRAY<INT>): P4 -> P7..P11 in SQL."""
-    imp = impressions_from_lines(lines, column)
-    return hashing.with_hashed_indices(imp, m).select(
+    """LibSVM lines -> (label DOUBLE, indices ARRAY<INT>): P4 -> P7..P11 in SQL.
+
+    Values are numbers already, so categoricals are rendered (P8) straight into
+    their tokens, without the check of their hex text.
+    """
+    numbers = _values(lines, column).selectExpr("label", *[f"{_value_sql(c)} AS {c}" for c in NUMERIC_COLS + CATEGORICAL_COLS])
+    tokens = hashing.token_sql(categorical=[]) + [f"concat('{FEATURE_INDEX[c]}_', {encode.uint_to_hex8_sql(c)})" for c in CATEGORICAL_COLS]
+    return hashing.with_hashed_indices(numbers, m, tokens=tokens).select(
         F.col("label").cast("double").alias("label"), "indices")
 
 
