@@ -16,7 +16,7 @@ from impressa.functions import encode, hashing, names
 from impressa.operators import linear, metrics, ordering, sampling
 from impressa.plans import oracle as O
 from impressa.schema import CATEGORICAL_COLS, DEFAULT_HASH_SPACE, FEATURE_COLS, NUMERIC_COLS
-from impressa.sources.events import load_impressions
+from impressa.sources.events import impressions_by_day, load_impressions
 from impressa.sources.sinks import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,8 +677,7 @@ def _day_files(spark, sf, value) -> str:
     from impressa.session import staging_dir
 
     path = staging_dir(spark, "day-lines")
-    rows = load_impressions(spark, sf).select("day", "event_id", value.alias("value"))
-    rows.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    impressions_by_day(spark, sf).select("day", value.alias("value")).write.partitionBy("day").text(path)
     return path
 
 
@@ -706,7 +705,8 @@ def o1_vw_shuffled_text(spark, sf):
 
     src = numbered_lines(spark, _day_files(spark, sf, encode.libsvm_line()))
     dst = staging_dir(spark, "vw-shuffled")
-    sinks.write_text(index_hash_order(src.select(encode.vw_line().alias("value"), "line_no")), dst)
+    # converted after the sort, which reads its input twice
+    sinks.write_text(index_hash_order(src).select(encode.vw_line().alias("value")), dst)
     return numbered_lines(spark, dst).select("line_no", "value")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from impressa.schema import CATEGORICAL_COLS, NUMERIC_COLS
 
@@ -30,8 +31,11 @@ def _md5_hex(prefix: str, src: str, digits: int) -> str:
     return f"substr(md5(concat('{prefix}', CAST({src} AS STRING))), 1, {digits})"
 
 
-def impressions_from_events(events: DataFrame) -> DataFrame:
-    """events -> (event_id, day, label_click, label, i1..i13, c14..c39).
+DAY_SQL = f"CAST(datediff(to_date(ts), DATE'{EPOCH}') AS INT)"
+
+
+def impressions_from_events(events: DataFrame, *keep: str) -> DataFrame:
+    """events -> (event_id, day, label_click, label, i1..i13, c14..c39, *keep).
 
     Two ``selectExpr`` projections (Catalyst collapses them into one).
     """
@@ -40,7 +44,7 @@ def impressions_from_events(events: DataFrame) -> DataFrame:
         "CAST(user_id AS BIGINT) AS user_id", "event_type",
         "CAST(value AS DOUBLE) AS value",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
-        "CAST(hour(ts) AS BIGINT) AS hr",
+        "CAST(hour(ts) AS BIGINT) AS hr", *keep,
     )
     u = f"CAST(conv({_md5_hex('y_', 'event_id', 7)}, 16, 10) AS BIGINT)"
     thr = (f"({LABEL_BASE} + CASE WHEN k >= 50 THEN {LABEL_K_BONUS} ELSE 0 END"
@@ -70,17 +74,21 @@ def impressions_from_events(events: DataFrame) -> DataFrame:
         cats.append(f"{c} AS {name}")
     return base.selectExpr(
         "event_id",
-        f"CAST(datediff(to_date(ts), DATE'{EPOCH}') AS INT) AS day",
+        f"{DAY_SQL} AS day",
         "CAST(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS INT) AS label_click",
         f"CAST(CASE WHEN {u} % 1000 < {thr} THEN 1 ELSE 0 END AS INT) AS label",
         *[f"CAST({numeric[c]} AS BIGINT) AS {c}" for c in NUMERIC_COLS],
-        *cats,
+        *cats, *keep,
     )
 
 
 ROWS_A_TASK = 250_000
 
 
+def task_count(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+
+
 def spread(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """Tasks of at most about ``rows_a_task`` rows, and one for every core at least.
 
@@ -89,11 +97,21 @@ def spread(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     groups, are too few and uneven.  The rows are dealt round-robin while they
     are narrow; a table with enough splits is left alone.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(par, -(-df.count() // rows_a_task))
+    tasks = task_count(df, rows_a_task)
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def load_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impressions_from_events(spread(read_table(spark, sf_dir, "events")))
 
+
+
+def impressions_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions in ascending (day, event_id) over the partitions and within them.
+
+    Events are ordered before they are encoded, while a row is narrow; a day may be cut over several tasks.
+    """
+    events = read_table(spark, sf_dir, "events").withColumn("_day", F.expr(DAY_SQL))
+    at = ["_day", "event_id"]
+    placed = events.repartitionByRange(task_count(events), *at).sortWithinPartitions(*at)
+    return impressions_from_events(placed, "_day").drop("day").withColumnRenamed("_day", "day")

@@ -22,23 +22,27 @@ from impressa.sources.impressions import read_lines
 from impressa.sources.sinks import stage
 
 UNEQUAL = "inputs of unequal length"
+RESPLIT = "lines were split otherwise when they were counted"
 _PLACE = ["_file", "_start"]
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str], out: str = "line_no", value: str = "value") -> DataFrame:
     """W1 of text files: (value, ``out``), 0-based in the order of file paths and of lines within them.
 
-    The place is staged with the line, so that every later job, also one
-    rerun after an executor loss, sees the same one.
+    Only the splits, a row for each, are staged and broadcast: no line is
+    written again or shuffled.  The lines are scanned anew; should a later scan be
+    split otherwise (other settings, small files and other cores), some
+    line falls outside its split's count, and the job that reads it raises.
     """
     scan = read_lines(spark, paths).select(
         F.col("value").alias(value), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
-    placed = stage(scan, "lines")
-    splits = stage(placed.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")), "line-splits")
+    splits = stage(scan.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")), "line-splits")
     before = prefix_sums(splits, _PLACE, {"_before": F.col("_n")}, inclusive=False)
-    joined = placed.join(before.select(*_PLACE, "_first", "_before"), _PLACE)
-    return joined.select(value, (F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint").alias(out))
+    joined = scan.join(F.broadcast(before), _PLACE, "left")
+    within = F.col("_row") - F.col("_first")
+    line = F.when((within >= 0) & (within < F.col("_n")), F.col("_before") + within).otherwise(F.raise_error(F.lit(RESPLIT)).cast("bigint"))
+    return joined.select(value, line.cast("bigint").alias(out))
 
 
 def first_field(column: str, kind: str):
