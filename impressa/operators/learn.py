@@ -12,15 +12,12 @@ import contextlib
 import time
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from impressa.functions.vectors import positive_probability
-from impressa.operators import metrics
+from impressa.operators import forests, metrics
 
 SEED = 42
 
@@ -51,7 +48,7 @@ def make_classifier(kind: str, rows: int | None = None, **overrides):
     if kind == "lr":
         return LogisticRegression(**{**LR_PARAMS, **overrides})
     if kind == "rf":
-        return RandomForestClassifier(seed=SEED, **{**RF_PARAMS, **overrides})
+        return forests.RandomForest(seed=SEED, **{**RF_PARAMS, **overrides})
     if kind == "gbt":
         return GBTClassifier(seed=SEED, **{**GBT_PARAMS, **(gbt_limits(rows) if rows else {}), **overrides})
     if kind == "tree":
