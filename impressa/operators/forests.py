@@ -123,8 +123,22 @@ def find_cuts(x: DataFrame, features: int, bins: int, accuracy: int = 10_000) ->
     return cuts
 
 
-def _pieces(batches, width: int):
-    """(row numbers, labels, bins) of up to about ``ROWS_A_PIECE`` rows at a time."""
+def packed_rows(train: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """(id, label, bins): the rows of (label, x) numbered, with a byte for the bin of each feature."""
+    @F.arrow_udf("binary")
+    def packed(x):
+        import pyarrow as pa
+
+        bins = _bins(_matrix(x), cuts) if len(x) else np.empty((0, len(cuts)), np.uint8)
+        ends = (np.arange(len(x) + 1) * len(cuts)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(bins.tobytes())])
+
+    label = F.when(F.col("label").isin(0, 1), F.col("label").cast("tinyint")).otherwise(F.raise_error(F.lit("a label is neither 0 nor 1")).cast("tinyint"))
+    return train.select(F.monotonically_increasing_id().alias("id"), label.alias("label"), packed(F.col("x")).alias("bins"))
+
+
+def _pieces(batches, width: int, most: int = ROWS_A_PIECE):
+    """(row numbers, labels, bins) of up to about ``most`` rows at a time."""
     kept, n = [], 0
 
     def piece():
@@ -139,7 +153,7 @@ def _pieces(batches, width: int):
         bins = np.frombuffer(packed.buffers()[2], np.uint8, len(packed) * width, first).reshape(-1, width)
         kept.append((batch.column("id").to_numpy().astype(np.uint64), batch.column("label").to_numpy().astype(np.int64), bins.copy()))
         n += batch.num_rows
-        if n >= ROWS_A_PIECE:
+        if n >= most:
             yield piece()
             kept, n = [], 0
     if kept:
@@ -284,16 +298,7 @@ class RandomForest:
 
     def binned(self, train: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
         """(id, label, bins): rows numbered and packed, staged, so that every level reads the same numbers."""
-        @F.arrow_udf("binary")
-        def packed(x):
-            import pyarrow as pa
-
-            bins = _bins(_matrix(x), cuts) if len(x) else np.empty((0, len(cuts)), np.uint8)
-            ends = (np.arange(len(x) + 1) * len(cuts)).astype(np.int32)
-            return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(bins.tobytes())])
-
-        label = F.when(F.col("label").isin(0, 1), F.col("label").cast("tinyint")).otherwise(F.raise_error(F.lit("a label is neither 0 nor 1")).cast("tinyint"))
-        return stage(train.select(F.monotonically_increasing_id().alias("id"), label.alias("label"), packed(F.col("x")).alias("bins")), "forest-rows")
+        return stage(packed_rows(train, cuts), "forest-rows")
 
     def fit(self, train: DataFrame) -> ForestModel:
         first = train.select(F.size(vector_to_array("features")).alias("n")).first()

@@ -12,12 +12,12 @@ import contextlib
 import time
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from impressa.functions.vectors import positive_probability
-from impressa.operators import forests, metrics
+from impressa.operators import forests, gbt, metrics
 
 SEED = 42
 
@@ -27,7 +27,7 @@ RF_PARAMS = dict(featureSubsetStrategy="sqrt", impurity="entropy", minInstancesP
                  maxBins=64, maxDepth=10, numTrees=160)
 # Boosted trees with logistic loss: depth 7, 200 rounds, eta 0.2, row subsample
 # 0.8, column subsample 0.8; split loss reduction 0.4 and child weight 20 are
-# sums over rows, see ``gbt_limits``.  (L1/L2 leaf penalties have no Spark equivalent.)
+# sums over rows, see ``gbt_limits``.  (No L1/L2 leaf penalties, as in Spark ML.)
 GBT_PARAMS = dict(maxDepth=7, maxIter=200, stepSize=0.2, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8")
 GBT_GAMMA, GBT_CHILD_WEIGHT = 0.4, 20
@@ -50,7 +50,7 @@ def make_classifier(kind: str, rows: int | None = None, **overrides):
     if kind == "rf":
         return forests.RandomForest(seed=SEED, **{**RF_PARAMS, **overrides})
     if kind == "gbt":
-        return GBTClassifier(seed=SEED, **{**GBT_PARAMS, **(gbt_limits(rows) if rows else {}), **overrides})
+        return gbt.BoostedTrees(seed=SEED, **{**GBT_PARAMS, **(gbt_limits(rows) if rows else {}), **overrides})
     if kind == "tree":
         return DecisionTreeClassifier(seed=SEED, **overrides)
     if kind == "bayes":
