@@ -131,9 +131,8 @@ def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str,
     return spark.createDataFrame(rows, ", ".join(f"{name} double" for name in [*grid, "cv_log_loss"]))
 
 
-def parallelism_sweep(spark: SparkSession, sf_dir: str, cores: Iterable[int] | None = None,
-                      size: int = 10_000_000) -> DataFrame:
-    """LR train time at a fixed size against the cores at work: (cores, tasks, train_rows, train_time).
+def parallelism_sweep(spark: SparkSession, sf_dir: str, cores: Iterable[int] | None = None) -> DataFrame:
+    """LR train time on all train rows against the cores at work: (cores, tasks, train_rows, train_time).
 
     Every pass of the fit runs one task a partition, so a train set of p
     partitions occupies p cores at most; the sweep doubles p up to the session's
@@ -141,7 +140,7 @@ def parallelism_sweep(spark: SparkSession, sf_dir: str, cores: Iterable[int] | N
     but needs dynamic allocation, which a local session has not.)
     """
     train, _ = ml_datasets(spark, sf_dir, "lr")
-    tr = stage(sampling.exact_sample(train, "event_id", size, salt=py_size_to_name(size)), "parallel-train")
+    tr = stage(train, "parallel-train")
     most = spark.sparkContext.defaultParallelism
     rows = []
     for p in cores or [k for k in (1 << i for i in range(31)) if k <= most]:
