@@ -111,11 +111,9 @@ def ml_sweep(spark: SparkSession, sf_dir: str, kinds: Iterable[str], sizes: Iter
         rows, "engine string, train_size bigint, roc_auc double, log_loss double, train_time double")
 
 
-def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str, Iterable],
-                   folds: int = 5, sample: int = 1_000_000) -> DataFrame:
-    """M8: k-fold CV of a classifier over all combinations of ``grid``, on a train sample, by log loss."""
+def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str, Iterable], folds: int = 5) -> DataFrame:
+    """M8: k-fold CV of a classifier over all combinations of ``grid``, on all train rows, by log loss."""
     train, _ = ml_datasets(spark, sf_dir, kind)
-    tr = sampling.exact_sample(train, "event_id", sample, salt=py_size_to_name(sample))
     classifier = learn.make_classifier(kind)
     build = ParamGridBuilder()
     for name, values in grid.items():
@@ -124,7 +122,7 @@ def cross_validate(spark: SparkSession, sf_dir: str, kind: str, grid: dict[str,
     ev = MulticlassClassificationEvaluator(metricName="logLoss")
     cv = CrossValidator(estimator=classifier, estimatorParamMaps=cells, evaluator=ev, numFolds=folds,
                         seed=learn.SEED, parallelism=min(4, len(cells)))
-    with learn.persisted(tr.select("label", "features")) as cached:
+    with learn.persisted(train.select("label", "features")) as cached:
         model = cv.fit(cached)
     rows = [(*(float(cell[classifier.getParam(name)]) for name in grid), float(v))
             for cell, v in zip(cells, model.avgMetrics)]

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from impressa.operators import sampling
@@ -23,3 +24,11 @@ def train(spark, monkeypatch):
 def test_parallelism_sweep_fits_on_all_rows(spark, train):
     got = experiment.parallelism_sweep(spark, "", (1, 2)).collect()
     assert [(r["tasks"], r["train_rows"]) for r in got] == [(1, 300), (2, 300)]
+
+
+@pytest.mark.parametrize("kind, grid", [("lr", {"regParam": (0.01, 0.1)})])
+def test_cross_validation_reads_all_rows(spark, train, monkeypatch, kind, grid):
+    seen, fit = [], CrossValidator.fit
+    monkeypatch.setattr(CrossValidator, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
+    got = experiment.cross_validate(spark, "", kind, grid, folds=2).collect()
+    assert seen == [300] and len(got) == (2 if kind == "lr" else 4) and all(r["cv_log_loss"] > 0 for r in got)
