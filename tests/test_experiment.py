@@ -26,7 +26,7 @@ def test_parallelism_sweep_fits_on_all_rows(spark, train):
     assert [(r["tasks"], r["train_rows"]) for r in got] == [(1, 300), (2, 300)]
 
 
-@pytest.mark.parametrize("kind, grid", [("lr", {"regParam": (0.01, 0.1)})])
+@pytest.mark.parametrize("kind, grid", [("lr", {"regParam": (0.01, 0.1)}), ("tree", {"maxDepth": (1, 2), "maxBins": (8, 16)})])
 def test_cross_validation_reads_all_rows(spark, train, monkeypatch, kind, grid):
     seen, fit = [], CrossValidator.fit
     monkeypatch.setattr(CrossValidator, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
