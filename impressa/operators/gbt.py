@@ -10,16 +10,15 @@ the probability.  Cuts lie at approximate quantiles of all rows, midpoints where
 a feature has at most ``maxBins`` values.
 
 Rows are binned once to a byte a feature, packed in pieces of about
-``ROWS_A_PIECE`` rows, feature by feature, and staged.  A round keeps every
-piece with its scores and targets in memory or on disk; a level is one job: a
+``ROWS_A_PIECE`` rows, feature by feature, and staged.  The workers keep them, with
+scores, targets and nodes, in files of their own (``pieces``); a level is one job: a
 task adds its pieces' sums by (node, feature, bin) in one array, the sums are
 shuffled by node, and the best cut of every node comes to the driver, where a
 tree is an array in heap order (children of i: 2i+1, 2i+2).  What is shuffled is
 bounded by tasks x nodes x features x bins and not by rows; the sums of a level
 that take up to ``DRIVER_BYTES`` in all tasks together are added by the driver,
-and then of two children only the one with fewer rows is summed.  After
-``ROUNDS_A_CHAIN`` rounds scores are built from the staged pieces and all trees
-again, in the same order of additions, so that lineage stays short.
+and then of two children only the one with fewer rows is summed.  A job
+carries the last ``ROUNDS_A_CHAIN`` trees, from which scores are stepped on.
 
 Targets are fixed point, so sums do not depend on the order of pieces; draws are
 hashes of (piece, row, round), so a retried task draws the same.
@@ -31,41 +30,25 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import RDD, StorageLevel
+from pyspark import RDD
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impressa.operators import forests
+from impressa.operators import forests, pieces
+from impressa.operators.pieces import Tree
 from impressa.sources.events import task_count
 from impressa.sources.sinks import stage
 
 ROWS_A_PIECE = 65_536
-ROUNDS_A_CHAIN = 16
-DRIVER_BYTES = 8 << 20  # sums of a level that the driver adds up itself, which saves a stage
+ROUNDS_A_CHAIN = 2
+DRIVER_BYTES = 32 << 20  # sums of a level that the driver adds up itself, which saves a stage
 SCALE = float(1 << 30)
 
 
-@dataclass(frozen=True)
-class Tree:
-    """Nodes in heap order: ``feature`` (-1: a leaf), ``cut`` (its last bin to the left), ``value``: what a leaf adds to the score."""
-
-    feature: np.ndarray
-    cut: np.ndarray
-    value: np.ndarray
-
-
 def _ends(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The node in which each row of ``bins`` (features x rows) ends."""
-    flat, first = bins.reshape(-1), feature.astype(np.int64) * bins.shape[1]
-    at = np.zeros(bins.shape[1], np.int64)
-    todo = np.arange(len(at)) if feature[0] >= 0 else np.empty(0, np.int64)
-    while len(todo):
-        k = at[todo]
-        k = 2 * k + 1 + (flat[first[k] + todo] > cut[k])
-        at[todo] = k
-        todo = todo[first[k] >= 0]
-    return at
+    return pieces.ends(bins, np.arange(bins.shape[1]), Tree(feature, cut, cut))
 
 
 def _pack(batches, width: int):
@@ -89,35 +72,29 @@ def drawn_rows(piece: int, n: int, seed: int, tree: int, share: float) -> np.nda
     return (forests._mix(ids ^ forests._salt(seed, tree)) >> np.uint64(11)) < share * 2.0**53
 
 
-def _step(pieces, trees: list[Tree], p: BoostedTrees, tree: int):
+def targets(labels: np.ndarray, score: np.ndarray, tree: int) -> np.ndarray:
+    """What round ``tree`` is fitted to, in fixed point."""
+    y = 2.0 * labels - 1.0
+    with np.errstate(over="ignore"):
+        return np.rint((4.0 * y / (1.0 + np.exp(2.0 * y * score)) if tree else y) * SCALE)
+
+
+def _step(parts, trees: list[Tree], p: BoostedTrees, tree: int):
     """(piece, labels, bins, scores, targets, drawn) for round ``tree``: the values of ``trees`` are added to the scores."""
-    for piece, labels, bins, score, *_ in pieces:
+    for piece, labels, bins, score, *_ in parts:
         for t in trees:
             score = score + t.value[_ends(bins, t.feature, t.cut)]
-        y = 2.0 * labels - 1.0
-        with np.errstate(over="ignore"):
-            target = 4.0 * y / (1.0 + np.exp(2.0 * y * score)) if tree else y
-        yield piece, labels, bins, score, np.rint(target * SCALE), drawn_rows(piece, len(y), p.seed, tree, p.subsamplingRate)
-
-
-def _sums(pieces, nodes: np.ndarray, feature: np.ndarray, cut: np.ndarray, cells: int):
-    """(node, sums) of one task: rows and targets by feature and bin.  A piece's sums are integers under 2^53, so exact as doubles."""
-    place = np.full(len(feature), -1, np.int64)
-    place[nodes] = np.arange(len(nodes))
-    total = None
-    for _, _, bins, _, target, drawn in pieces:
-        slot = place[_ends(bins, feature, cut)]
-        own = np.flatnonzero(drawn & (slot >= 0))
-        first, target, size = slot[own] * cells, target[own], len(nodes) * cells
-        if total is None:
-            total = np.zeros((2, len(bins), size), np.int64)
-        for f, b in enumerate(bins):
-            key = first + b[own]
-            total[0, f] += np.bincount(key, minlength=size)
-            total[1, f] += np.bincount(key, target, size).astype(np.int64)
-    if total is not None:
-        for k, node in enumerate(nodes.tolist()):
-            yield node, total[:, :, k * cells:(k + 1) * cells]
+        yield piece, labels, bins, score, targets(labels, score, tree), drawn_rows(piece, len(labels), p.seed, tree, p.subsamplingRate)
+
+
+def _sums(parts, nodes: np.ndarray, feature: np.ndarray, cut: np.ndarray, cells: int):
+    """(node, sums) of one task: rows and targets by feature and bin, from what ``_step`` gives."""
+    def views():
+        for _, _, bins, _, target, drawn in parts:
+            rows = np.flatnonzero(drawn)
+            yield bins, None, rows, pieces.ends(bins, rows, Tree(feature, cut, cut)), [target[rows]]
+
+    return pieces.add_up(views(), nodes, len(feature), cells)
 
 
 def best_cut(sums: np.ndarray, features: np.ndarray, least: float, gain: float) -> tuple:
@@ -196,31 +173,40 @@ class BoostedTrees:
             raise ValueError("no rows to fit on")
         x = train.select("label", vector_to_array("features").alias("x"))
         cuts = forests.find_cuts(x, first["n"], self.maxBins)
-        pieces = self.pieces(x, cuts)
-        rows = pieces.agg(F.sum(F.octet_length("labels"))).first()[0]
-        return self.boost(pieces.rdd.map(_unpack), cuts, max(self.minInstancesPerNode, self.minWeightFractionPerNode * rows))
+        packed = self.pieces(x, cuts)
+        rows = packed.agg(F.sum(F.octet_length("labels"))).first()[0]
+        # tasks hold no rows, so one a core is enough, and their sums are fewest
+        dealt = packed.repartition(packed.sparkSession.sparkContext.defaultParallelism)
+        return self.boost(dealt.rdd.map(_unpack), cuts, max(self.minInstancesPerNode, self.minWeightFractionPerNode * rows))
 
-    def boost(self, pieces: RDD, cuts: list[np.ndarray], least: float) -> BoostedModel:
+    def boost(self, source: RDD, cuts: list[np.ndarray], least: float) -> BoostedModel:
         """All trees, one after the other; a child of a cut keeps ``least`` rows."""
-        p, trees, before = self, [], None
-        for tree in range(self.maxIter):
-            source, own = (before, trees[-1:]) if tree % ROUNDS_A_CHAIN else (pieces, trees[:])
-            rows = source.mapPartitions(lambda part, own=own, tree=tree: _step(part, own, p, tree)).persist(StorageLevel.MEMORY_AND_DISK)
-            trees.append(self.grow(rows, tree, len(cuts), least))
-            if before is not None:
-                before.unpersist()
-            before = rows
-        before.unpersist()
-        return BoostedModel(cuts, trees)
-
-    def grow(self, rows: RDD, tree: int, width: int, least: float) -> Tree:
+        p = self
+
+        def step(piece, tree, labels, score):
+            rows = np.flatnonzero(drawn_rows(piece, len(labels), p.seed, tree, p.subsamplingRate)).astype(np.int32)
+            return rows, [targets(labels, score, tree)[rows]]
+
+        kept = pieces.Pieces(source.map(lambda row: row[:3]), step, self.maxBins, self.maxDepth, np.float64, ROUNDS_A_CHAIN, 2 * 8 * len(cuts) * self.maxBins)
+        try:
+            for tree in range(self.maxIter):
+                kept.trees.append(self.grow(kept, tree, len(cuts), least))
+        finally:
+            kept.close()
+        return BoostedModel(cuts, kept.trees)
+
+    def grow(self, rows: pieces.Pieces, tree: int, width: int, least: float) -> Tree:
         """One tree, a job a level."""
-        size = (2 << self.maxDepth) - 1
+        p, size, take = self, (2 << self.maxDepth) - 1, self.drawn_features(width)
         feature, cut, value = np.full(size, -1, np.int16), np.zeros(size, np.uint8), np.zeros(size)
         weight = self.stepSize if tree else 1.0
+
+        def best(node, total):
+            return best_cut(total, forests.drawn(p.seed, tree, np.array([node]), width, take)[0], least, p.minInfoGain)
+
         nodes, count, above = np.zeros(1, np.int64), {}, {}
         for depth in range(max(1, self.maxDepth)):
-            found, above = self.level(rows, nodes, count, above, feature, cut, tree, width, least)
+            found, above = rows.level(nodes, count, above, Tree(feature.copy(), cut.copy(), value[:0]), depth, best, DRIVER_BYTES)
             ahead, count = [], {}
             for node, (n, s, f, c, nl, sl) in found:
                 if node == 0:
@@ -236,28 +222,3 @@ class BoostedTrees:
             if not len(nodes):
                 break
         return Tree(feature, cut, value)
-
-    def level(self, rows: RDD, nodes: np.ndarray, count: dict[int, int], above: dict[int, np.ndarray], feature: np.ndarray, cut: np.ndarray,
-              tree: int, width: int, least: float) -> tuple[list[tuple], dict[int, np.ndarray]]:
-        """(node, its ``best_cut``) of the ``nodes`` of one level, and their sums if the driver has added them.
-
-        Where the driver has the sums of a parent (``above``), the child with fewer rows (``count``) is summed; the other has the rest.
-        """
-        p, feature, cut, take = self, feature.copy(), cut.copy(), self.drawn_features(width)
-
-        def best(node, total):
-            return node, best_cut(total, forests.drawn(p.seed, tree, np.array([node]), width, take)[0], least, p.minInfoGain)
-
-        def sums(of):
-            return rows.mapPartitions(lambda part: _sums(part, of, feature, cut, p.maxBins))
-
-        parent, other = {k: (k - 1) // 2 for k in nodes.tolist()}, {k: k + 1 if k % 2 else k - 1 for k in nodes.tolist()}
-        few = np.array(sorted({min(k, other[k], key=count.get) if parent[k] in above else k for k in other}), np.int64)
-        if rows.getNumPartitions() * len(few) * 2 * 8 * width * p.maxBins <= DRIVER_BYTES:
-            total: dict[int, np.ndarray] = {}
-            for node, own in sums(few).collect():
-                total[node] = total[node] + own if node in total else own
-            own = {k: total[k] if k in total else above[parent[k]] - total[other[k]] for k in other if k in total or parent[k] in above}
-            return [best(*item) for item in own.items()], own
-        found = sums(nodes).reduceByKey(np.add, min(len(nodes), rows.context.defaultParallelism))
-        return found.map(lambda item: best(*item)).collect(), {}
